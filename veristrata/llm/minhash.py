@@ -7,11 +7,13 @@
 3. In each band bucket every class is paired with the bucket's smallest class. Pairs whose
    collision-corrected estimate, from counting equal bits, is far below the threshold go.
 4. The rest are confirmed on the full shingle sets, and components are formed.
-5. Buckets that still hold several components are gone over again: their classes outside the
-   bucket's largest component are joined with the others in the bucket, estimates decide in
-   the join itself which pairs come out, and the best untested ones of each class are confirmed.
-   The number taken grows eightfold each time until no untested pair is left, so nothing is
-   capped, while groups that step 3 has linked never give all their pairs.
+5. What step 3 can't see: pairs of a bucket of which neither is the smallest class. Estimates
+   of step 3 cluster the classes. In buckets that hold several clusters, the classes outside
+   the largest one are estimated against all of the bucket; clusters that are near merge.
+   Then, in clusters that hold several components, the classes outside the largest one are
+   compared with all of the cluster on full sets. Both go in bounded blocks and give a
+   spanning forest of what they find, never all pairs; groups that step 4 has linked, however
+   large, aren't gone over.
 """
 
 from __future__ import annotations
@@ -19,9 +21,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veristrata.llm.blocks import deal, edges, forest, parts
 from veristrata.llm.common import stage, text_batches, words
 from veristrata.llm.components import components
 
@@ -142,9 +145,9 @@ def _plausible(a: str, b: str, percent: int) -> Column:
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (estimate(a, b) >= F.lit(_floor(percent)))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, text_col: str, id_col: str, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = stage(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+def _sets(ids: DataFrame, docs: DataFrame, text_col: str, id_col: str, width: int) -> DataFrame:
+    """(id, shingles) of the documents that ids names."""
+    ids = stage(ids, "ids")
 
     def run(batches):
         for part, texts in text_batches(batches, "text"):
@@ -153,7 +156,13 @@ def confirm(pairs: DataFrame, docs: DataFrame, text_col: str, id_col: str, perce
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
-    sets = stage(texts.mapInArrow(run, "id long, shingles array<long>").dropDuplicates(["id"]), "sets")
+    return texts.mapInArrow(run, "id long, shingles array<long>")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, text_col: str, id_col: str, percent: int, width: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = stage(_sets(ids, docs, text_col, id_col, width), "sets")
     a, b = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     union = F.size("sa") + F.size("sb") - both
@@ -179,18 +188,10 @@ def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     first = star.alias("p").join(slim.alias("y"), F.expr("p.b = y.id")).join(slim.alias("x"), F.expr("p.a = x.id"))
     tested = stage(first.filter(_plausible("x", "y", percent)).select("p.a", "p.b"), "pairs")
     links = stage(confirm(tested, docs, text_col, id_col, percent, width), "links")
-    labels = stage(components(links), "labels")
-    members = stage(keys.join(heads.filter("m > 2").select("key"), "key"), "members")
-    take = 8
-    while True:
-        new = stage(_across(members, slim, labels, tested, percent, take), "pairs")
-        if new.isEmpty():
-            break
-        more = confirm(new, docs, text_col, id_col, percent, width)
-        links = stage(links.union(more), "links")
-        tested = stage(tested.union(new), "pairs")
-        labels = stage(components(links), "labels")
-        take *= 8
+    members = keys.join(heads.filter("m > 2").select("key"), "key")
+    wider = stage(tested.select("a", "b").union(_across(members, slim, components(tested), percent)), "plausible")
+    more = _exact(components(wider), components(links), docs, text_col, id_col, percent, width)
+    labels = stage(components(stage(links.union(more), "links")), "labels")
     own = sig.alias("s").join(
         cls.select("f1", "f2", "n", "id").alias("c").join(labels.alias("l"), F.expr("c.id = l.node"), "left").select("f1", "f2", "n", F.coalesce("label", "id").alias("label")),
         ["f1", "f2", "n"],
@@ -200,19 +201,63 @@ def near_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     return own.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
 
 
-def _across(members: DataFrame, slim: DataFrame, labels: DataFrame, tested: DataFrame, percent: int, take: int) -> DataFrame:
-    """Untested plausible pairs of one bucket and two components: each class's `take` best."""
-    marked = members.join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    marked = stage(marked, "marked")
-    sizes = marked.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
-    mixed = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("m", "label")).alias("main")).filter("labels > 1")
-    own = marked.join(mixed.select("key", "main"), "key").join(slim, "id")
-    own = stage(own, "mixed")
-    x, y = own.filter("label <> main").alias("x"), own.alias("y")
-    meet = F.expr("x.key = y.key AND x.label <> y.label AND (y.label = y.main OR x.id < y.id)")
-    pairs = x.join(y, meet & _plausible("x", "y", percent)).select(
-        F.expr("x.id").alias("of"), F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"), estimate("x", "y").alias("e")
-    )
-    pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("e"), "a", "b"))
-    return pairs.withColumn("r", rank).filter(F.col("r") <= take).select("a", "b").distinct()
+def _minority(rows: DataFrame) -> DataFrame:
+    """Rows (g, id, label) of groups with several labels; minor: not of the group's commonest label."""
+    rows = stage(rows, "marked")
+    sizes = rows.groupBy("g", "label").agg(F.count(F.lit(1)).alias("m"))
+    mixed = sizes.groupBy("g").agg(F.count(F.lit(1)).alias("labels"), F.max_by("label", F.struct("m", "label")).alias("main")).filter("labels > 1")
+    return stage(rows.join(mixed.select("g", "main"), "g").select("g", "id", "label", (F.col("label") != F.col("main")).alias("minor")), "mixed")
+
+
+def _across(members: DataFrame, slim: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that join clusters with plausible pairs in a common bucket."""
+    named = members.join(clusters, F.col("id") == F.col("node"), "left").select(F.col("key").alias("g"), "id", F.coalesce("label", "id").alias("label"))
+    rows = _minority(named).join(slim, "id")
+    floor = _floor(percent)
+    ones = np.uint64(sum(1 << (B * i) for i in range(K // 4)))
+
+    def run(batches):
+        for t, x, y in parts(batches):
+            ids, label, n = (t.column(c).to_numpy() for c in ("id", "label", "n"))
+            s = np.column_stack([t.column(f"s{i}").to_numpy() for i in range(4)]).view(np.uint64)
+            differ = np.zeros((len(x), len(y)), np.int64)
+            for i in range(4):
+                z = s[x, i][:, None] ^ s[y, i][None, :]
+                differ += np.bitwise_count((z | (z >> np.uint64(1))) & ones)
+            e = (1 - differ / K - 1 / 2**B) / (1 - 1 / 2**B)
+            a, b = n[x][:, None], n[y][None, :]
+            i, j = np.nonzero((e >= floor) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent) & (label[x][:, None] != label[y][None, :]))
+            if len(i):
+                yield from edges(forest(ids[x[i]], ids[y[j]]))
+
+    return deal(rows.select("g", "id", "minor", "label", "n", "s0", "s1", "s2", "s3")).mapInArrow(run, "a long, b long")
+
+
+def _exact(clusters: DataFrame, components_: DataFrame, docs: DataFrame, text_col: str, id_col: str, percent: int, width: int) -> DataFrame:
+    """Links (a, b) between components of a cluster, from full sets."""
+    named = clusters.select(F.col("label").alias("g"), F.col("node").alias("id")).join(components_.withColumnRenamed("label", "own"), F.col("id") == F.col("node"), "left")
+    rows = _minority(named.select("g", "id", F.coalesce("own", "id").alias("label")))
+    sets = _sets(rows.select("id").distinct(), docs, text_col, id_col, width)
+
+    def run(batches):
+        for t, x, y in parts(batches):
+            ids, column = t.column("id").to_numpy(), t.column("shingles").combine_chunks()
+            flat, ends = np.asarray(column.flatten()), np.asarray(column.value_lengths()).cumsum()
+            starts, size = np.r_[0, ends[:-1]], np.diff(np.r_[0, ends])
+            names, code = np.unique(flat, return_inverse=True)
+            own = np.concatenate([code[starts[k] : ends[k]] for k in y])
+            at = np.r_[0, size[y].cumsum()[:-1]]
+            flag, left, right = np.zeros(len(names), np.int32), [], []
+            for k in x:
+                mine = code[starts[k] : ends[k]]
+                flag[mine] = 1
+                both = np.add.reduceat(flag[own], at)
+                flag[mine] = 0
+                near = y[(both * 100 >= (size[k] + size[y] - both) * percent) & (ids[y] != ids[k])]
+                left.append(np.full(len(near), ids[k]))
+                right.append(ids[near])
+            a, b = np.concatenate(left), np.concatenate(right)
+            if len(a):
+                yield from edges(forest(a, b))
+
+    return deal(rows.join(sets, "id").select("g", "id", "minor", "shingles")).mapInArrow(run, "a long, b long")
