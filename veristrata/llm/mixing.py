@@ -25,7 +25,7 @@ RANGES = 2048
 
 def quality_weight(text: Column, size: Column) -> Column:
     """1.0 for texts whose words have 3 to 10 characters on average (blanks included), else 0.25."""
-    mean = F.char_length(text).cast("double") / size.cast("double")
+    mean = F.try_divide(F.char_length(text).cast("double"), size.cast("double"))
     return F.when((size > 0) & mean.between(3.0, 10.0), F.lit(1.0)).otherwise(F.lit(0.25))
 
 
@@ -84,7 +84,7 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     ranked = drawn.select("doc_id", "source", "size", "range", F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("inner"))
     rows = ranked.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double")))).otherwise(F.lit(0)).cast("long")
     rest = F.col("target") - epochs * F.col("source_size")
     middle = (F.col("offset") + F.col("inner")).cast("double") + F.col("size").cast("double") / 2
     copies = epochs + F.when((middle <= rest) & (rest > 0), F.lit(1)).otherwise(F.lit(0))

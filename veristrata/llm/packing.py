@@ -66,7 +66,7 @@ def best_fit(lengths: np.ndarray, capacity: tuple[float, float, float], weights:
     left, name = np.empty((1024, 3)), np.empty(1024, np.int64)
     used = made = 0
     least = float(lengths.min()) if len(lengths) else 0.0
-    for count, i in enumerate(order):
+    for i in order:
         n = float(lengths[i])
         need = np.array([n, 1.0, n * n])
         if (need > cap).any():
