@@ -293,7 +293,6 @@ def test_histogram(docs, empty):
     assert histogram.context_table(histogram.length_histogram(empty)).count() == 0
 
 
-@pytest.mark.xfail(reason="open: of sf0.1's held-out good documents at least one is rejected", strict=False)
 def test_cotraining(spark, empty):
     path = Path("/root/testdata/sf0.1")  # sf0.01 has 150 labels to fit on, too few: 0.90 to 0.94 right
     if path.exists():

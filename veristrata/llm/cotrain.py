@@ -12,7 +12,9 @@ a hash of the id over the whole table); scoring covers every document.
 
 from __future__ import annotations
 
+import re
 import zlib
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -29,32 +31,41 @@ CONFIDENT = 0.98
 #: Documents below this probability of good quality are rejected.
 REJECT_BELOW = 0.35
 SOURCES = 32
+#: Words count as so many characters at most in a text's word lengths.
+LONG_WORD = 20
+#: L2 penalty of the calibration, which has few weights and may have few rows.
+CALIBRATION_PENALTY = 0.1
 
 _CLASS = np.zeros(256, np.int64)
 for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b" ", b"\n", b"!", b"|", b".", b",", b"?", b"#*_=~-+<>[]{}()/\\&%$@^", b":;'\"`"), 1):
     _CLASS[list(_chars)] = _k
 _CLASS[128:] = 13
-TEXT_FEATURES = 14 + 12
+_SYMBOLS = frozenset(bytes([c]) for c in b"|#*_=~-+<>[]{}()/\\&%$@^!?.,:;")
+#: A word that ends in a repeated symbol.
+_NOISY = re.compile(rb"([#*_=~+<>/\\&%$@^|])\1(?=\s|\Z)")
+TEXT_FEATURES = 14 + 15
 META_FEATURES = 4 + 8 + SOURCES
 
 
 def text_features(text: str) -> np.ndarray:
-    """Shares of character classes, word and line statistics of a whole text."""
+    """Shares of character classes, word and line statistics, repeated words and symbol noise of a whole text."""
     raw = text.encode("utf-8", "surrogatepass")
     shares = np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=14) / max(1, len(raw))
     ws = raw.lower().split()
     n = len(ws)
     lines = [x for x in text.split("\n") if x.strip()]
     size = np.fromiter(map(len, ws), np.int64, n) if n else np.zeros(1, np.int64)
+    longest, size = size.max(), np.minimum(size, LONG_WORD)  # one key or link doesn't move the mean
     distinct = len(set(ws))
     counts: dict[bytes, int] = {}
     for w in ws:
         counts[w] = counts.get(w, 0) + 1
     pairs = len(set(zip(ws, ws[1:]))) if n > 1 else 1
     extra = [
-        np.log1p(n), size.mean(), size.std(), size.max() / 100, distinct / max(1, n), max(counts.values(), default=0) / max(1, n),
+        np.log1p(n), size.mean(), size.std(), np.log1p(longest) / 5, distinct / max(1, n), max(counts.values(), default=0) / max(1, n),
         pairs / max(1, n - 1), len(lines) / max(1, n), 1 - len(set(lines)) / max(1, len(lines)), np.log1p(max(map(len, lines), default=0)),
         (size == 1).mean() if n else 0.0, n / max(1, len(raw)) * 5,
+        np.sqrt(sum(map(eq, ws, ws[1:])) / max(1, n - 1)), np.sqrt(len(_NOISY.findall(raw)) / max(1, n)), np.sqrt(sum(map(_SYMBOLS.__contains__, ws)) / max(1, n)),
     ]
     return np.concatenate([np.sqrt(shares), extra])
 
@@ -130,9 +141,9 @@ class CoTrained:
         self.views = fitted
         test = [v[held] for v in (text, meta)]
         own = y[held].astype(float)
-        self.platt = [Logistic(self.views[k].logit(test[k])[:, None], own) for k in (0, 1)]
+        self.platt = [Logistic(self.views[k].logit(test[k])[:, None], own, penalty=CALIBRATION_PENALTY) for k in (0, 1)]
         both = np.column_stack([self.platt[k].logit(self.views[k].logit(test[k])[:, None]) for k in (0, 1)])
-        self.joint = Logistic(both, own)
+        self.joint = Logistic(both, own, penalty=CALIBRATION_PENALTY)
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated text, metadata and combined probabilities of good quality."""
