@@ -18,7 +18,7 @@ BROADCAST_IDS = 500_000
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents that ids (doc_id) names; one row of those that repeat a doc_id with the same text."""
+    """The documents that ids (doc_id) names; rows that repeat a doc_id stay or go together."""
     return docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
 
 
