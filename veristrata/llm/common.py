@@ -48,6 +48,7 @@ def text_batches(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int
         for part in slices(batch, column, max_bytes):
             texts = part.column(part.schema.get_field_index(column)).to_pylist()
             yield part, ["" if t is None else t for t in texts]
+    pa.default_memory_pool().release_unused()  # the worker lives on, other stages need the memory
 
 
 def words(text: str) -> list[bytes]:

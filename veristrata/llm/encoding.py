@@ -15,7 +15,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Entries a worker's cache takes; once it is full new chunks are encoded each time, so memory is bounded.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 200_000
 #: Chunks longer than this are encoded but not cached.
 CACHED_CHARS = 64
 _PROBE = "It's 42 naïve cafés,  two\n\nlines … <|endoftext|> ça! "

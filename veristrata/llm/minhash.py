@@ -34,7 +34,7 @@ BANDS = K // R
 MARGIN = 4.0
 #: Ids of documents in candidate pairs that are broadcast at most; beyond that they are joined by key.
 BROADCAST_IDS = 500_000
-_VOCABULARY = 300_000
+_VOCABULARY = 200_000
 
 _rng = np.random.default_rng(20240229)
 _MUL = (_rng.integers(0, 2**32, K, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
