@@ -11,8 +11,10 @@ earliest line is all that has to be known: groups are aggregated before they are
 and no pair of a group but (member, earliest) ever exists. The edit distance of those pairs
 is verified on the words.
 
-Only lines that share their first or last words with another one emit variants: of lines one
-edit apart, either the first h or the last h words agree if both have 2h + 1 words.
+Only lines that can have a partner emit variants: of lines one edit apart, either the first
+or the last h words agree if both have 2h + 1 words, h being a power of two that grows with
+the line. Of these, the words are dealt into BLOCKS blocks; lines one edit apart agree in all
+but one block, and only the variants of such a block are emitted.
 """
 
 from __future__ import annotations
@@ -23,24 +25,37 @@ from pyspark.sql import functions as F
 from veristrata.llm.common import stage
 
 MIN_WORDS = 5
-#: (h, fewest words, most words): lines compare their first and last h words. Neighbouring
-#: classes overlap in one length, as alike lines may differ by one word.
-CLASSES = ((2, 5, 9), (4, 9, 33), (16, 33, 2**31 - 1))
+#: Blocks of a line: a variant of block q is emitted only if another line agrees in all other blocks.
+BLOCKS = 8
 #: Digests of lines that are broadcast at most; more are joined by key.
 BROADCAST_LINES = 1_000_000
 _NULL_ID = str(2**63)  # orders lines of a null doc_id after all others
 
 
 def normal(line: Column) -> Column:
-    """Words with A-Z in lower case, joined by single spaces; empty for a blank line."""
-    one = F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))
-    return F.translate(one, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """Words with A-Z in lower case, joined by single spaces; empty for a blank line.
+
+    Only runs that aren't one space are replaced, and lower() is used where it can meet
+    nothing but ASCII: both are many times faster than replacing every run and character.
+    """
+    one = F.trim(F.regexp_replace(line, r"\x20[\x20\x09-\x0D]+|[\x09-\x0D][\x20\x09-\x0D]*", " "))
+    other = F.translate(one, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.when(F.octet_length(one) == F.length(one), F.lower(one)).otherwise(other)
 
 
 def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """doc_id, line_no (from 0), norm of every line that isn't blank."""
+    """doc_id, line_no (from 0), line of every line that isn't blank."""
     split = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
-    return split.select("doc_id", "line_no", normal(F.col("line")).alias("norm")).filter("norm <> ''")
+    return split.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _n_words(norm: str) -> Column:
+    return F.octet_length(norm) - F.octet_length(F.replace(F.col(norm), F.lit(" "), F.lit(""))) + 1
+
+
+def _edge(norm: str, count: Column) -> Column:
+    """The first count words of a normal line, or its last -count words."""
+    return F.call_function("substring_index", F.col(norm), F.lit(" "), count)
 
 
 def _order() -> Column:
@@ -49,13 +64,30 @@ def _order() -> Column:
     return (own * F.lit(2**31).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(38,0)")
 
 
-def _ends(words: Column, n: Column) -> Column:
-    """Keys of the first and last words, per class that a line of n words is in."""
+def _ends() -> Column:
+    """Keys of the first and last h words of a line (norm, n, h), h the largest power of two with 2h + 1 <= n.
+
+    Lines of 2h + 1 words carry the keys of h / 2 as well, as alike lines of 2h words do.
+    """
+    h, lower = F.col("h_words"), (F.col("n") == 2 * F.col("h_words") + 1) & (F.col("h_words") > 2)
+    half = (h / 2).cast("int")
+    keys = [F.xxhash64(k, _edge("norm", k)) for k in (h, -h)]
+    return F.array_compact(F.array(*keys, *[F.when(lower, F.xxhash64(k, _edge("norm", k))) for k in (half, -half)]))
+
+
+def _blocks() -> Column:
+    """(short, q, key) of a line (norm, n): its words but those of block q of BLOCKS, hashed.
+
+    As itself (short = false) the line has n words. As what is left of a longer line of
+    n + 1 words, of which one in block q was deleted, it has the key of that line's block q.
+    """
     out = []
-    for h, low, high in CLASSES:
-        on = (n >= low) & (n <= high)
-        out.append(F.when(on, F.xxhash64(F.lit(h), F.array_join(F.slice(words, 1, h), " "))))
-        out.append(F.when(on, F.xxhash64(F.lit(-h), F.array_join(F.slice(words, F.greatest(n - h + 1, F.lit(1)), F.lit(h)), " "))))
+    for short in (False, True):
+        n = F.col("n") + int(short)
+        for q in range(BLOCKS):
+            low, high = F.floor(n * q / BLOCKS).cast("int"), F.floor(n * (q + 1) / BLOCKS).cast("int")
+            key = F.xxhash64(n, F.lit(q), _edge("norm", low), _edge("norm", high - n))
+            out.append(F.when(low < high, F.struct(F.lit(short).alias("short"), F.lit(q).alias("q"), key.alias("key"))))
     return F.array_compact(F.array(*out))
 
 
@@ -76,28 +108,37 @@ def repeated_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     counts even if it is itself removed.
     """
     hashed = F.unhex(F.md5("norm"))
-    words = F.split(F.col("norm"), " ")
-    n = F.size(words)
-    occ = stage(_lines(docs, text_col, id_col).select("doc_id", "line_no", hashed.alias("h"), _order().alias("ord"), F.when(n >= MIN_WORDS, _ends(words, n)).alias("ends")), "occurrences")
-    firsts = occ.groupBy("h").agg(F.min("ord").alias("first"))
-    starts = occ.filter("ends IS NOT NULL").groupBy("h").agg(F.min("ord").alias("first"), F.any_value("ends").alias("ends"))
-    ends = stage(starts.select("h", "first", F.explode("ends").alias("end")), "ends")
+    norms = _lines(docs, text_col, id_col).select("doc_id", "line_no", normal(F.col("line")).alias("norm")).withColumn("n", _n_words("norm"))
+    power = F.expr("shiftleft(1, length(bin((greatest(n, 3) - 1) div 2)) - 1)")
+    occ = norms.withColumn("h_words", power).select("doc_id", "line_no", hashed.alias("h"), _order().alias("ord"), F.when(F.col("n") >= MIN_WORDS, _ends()).alias("ends"))
+    occ = stage(occ, "occurrences")
+    firsts = stage(occ.groupBy("h").agg(F.min("ord").alias("first"), F.any_value("ends").alias("ends")), "firsts")
+    ends = firsts.filter("ends IS NOT NULL").select("h", "first", F.explode("ends").alias("end"))
     shared = ends.groupBy("end").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("end")
     some = stage(ends.join(shared, "end").groupBy("h").agg(F.min("first").alias("first")), "candidates")
     side = F.broadcast(some) if some.count() <= BROADCAST_LINES else some
-    texts = _lines(docs, text_col, id_col).select(hashed.alias("h"), _order().alias("ord"), "norm").join(side, "h").filter("ord = first")
-    texts = stage(texts.groupBy("h", "first").agg(F.any_value("norm").alias("norm")), "lines")
+    # rows that repeat a doc_id may hold other lines in the same place, hence both h and ord
+    places = side.select(F.col("first").alias("ord"), F.col("h").alias("of"))
+    texts = _lines(docs, text_col, id_col).withColumn("ord", _order()).join(places, "ord").select("ord", "of", normal(F.col("line")).alias("norm"))
+    texts = texts.select(hashed.alias("h"), "ord", "of", "norm").filter("h = of").groupBy("h", F.col("ord").alias("first")).agg(F.any_value("norm").alias("norm"))
+    texts = stage(texts.withColumn("n", _n_words("norm")), "lines")
+    blocks = texts.select("h", F.explode(_blocks()).alias("b")).select("h", "b.short", "b.q", "b.key")
+    met = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bool_and("short").alias("only_short")).filter("m > 1 AND NOT only_short").select("key")
+    at = F.when(F.col("short"), F.lit(1 << BLOCKS)).otherwise(F.expr("shiftleft(1, q)"))
+    open_blocks = blocks.join(met, "key").groupBy("h").agg(F.bit_or(at).alias("mask"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = texts.repartition(parts, "h").select("h", F.col("first").alias("ord"), F.posexplode(F.split("norm", " ")).alias("p", "word"))
-    dealt = dealt.select("h", "ord", (F.col("p") + 1).alias("i"), F.xxhash64("word", F.col("p") + 1).alias("here"), F.xxhash64("word", "p").alias("moved"))
+    dealt = texts.join(open_blocks, "h").repartition(parts, "h").select("h", "n", "mask", F.col("first").alias("ord"), F.posexplode(F.split("norm", " ")).alias("p", "word"))
+    dealt = dealt.select("h", "n", "mask", "ord", (F.col("p") + 1).alias("i"), F.xxhash64("word", F.col("p") + 1).alias("here"), F.xxhash64("word", "p").alias("moved"))
     line = Window.partitionBy("h").orderBy("i")
-    left = F.coalesce(F.bit_xor("here").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    right = F.bit_xor("moved").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).bitwiseXOR(F.bit_xor("moved").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = F.bit_xor("here").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    variants = dealt.select("h", "ord", "i", left.bitwiseXOR(right).alias("v"), whole.alias("w"))
+    before, through = line.rowsBetween(Window.unboundedPreceding, -1), line.rowsBetween(Window.unboundedPreceding, 0)
+    entire = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    left = F.coalesce(F.bit_xor("here").over(before), F.lit(0))
+    right = F.bit_xor("moved").over(entire).bitwiseXOR(F.bit_xor("moved").over(through))
+    variants = dealt.select("h", "n", "mask", "ord", "i", left.bitwiseXOR(right).alias("v"), F.bit_xor("here").over(entire).alias("w"))
     # i = 0 stands for the whole line; the first word's row emits it besides its own variant
-    both = F.when(F.col("i") == 1, F.array(F.struct(F.lit(0).alias("i"), F.col("w").alias("v")), F.struct("i", "v"))).otherwise(F.array(F.struct("i", "v")))
-    keys = stage(variants.select("h", "ord", F.explode(both).alias("k")).select("h", "ord", "k.i", "k.v"), "variants")
+    own = F.when(F.expr("getbit(mask, (i * %d - 1) div n) = 1" % BLOCKS), F.struct("i", "v"))
+    whole = F.when((F.col("i") == 1) & (F.col("mask") >= 1 << BLOCKS), F.struct(F.lit(0).alias("i"), F.col("w").alias("v")))
+    keys = stage(variants.select("h", "ord", F.explode(F.array_compact(F.array(own, whole))).alias("k")).select("h", "ord", "k.i", "k.v"), "variants")
     by_place = keys.groupBy("v", "i").agg(F.min("ord").alias("low"), F.count(F.lit(1)).alias("m"))
     alike = by_place.filter("m > 1 AND i > 0").select("v", "i", "low")
     substituted = keys.join(alike, ["v", "i"]).filter("low < ord").select("h", "ord", "low")
