@@ -32,20 +32,26 @@ BROADCAST_LINES = 1_000_000
 _NULL_ID = str(2**63)  # orders lines of a null doc_id after all others
 
 
-def normal(line: Column) -> Column:
-    """Words with A-Z in lower case, joined by single spaces; empty for a blank line.
+def normal(df: DataFrame, line: str) -> DataFrame:
+    """df with norm: the line's words with A-Z in lower case, joined by single spaces; empty for a blank line.
 
-    Only runs that aren't one space are replaced, and lower() is used where it can meet
-    nothing but ASCII: both are many times faster than replacing every run and character.
+    Each step is a projection of its own, so that no later expression repeats it. The pattern
+    is tried only on lines that hold more than words between single spaces, and lower() is
+    used only where it can meet nothing but ASCII; both spare most of the time.
     """
-    one = F.trim(F.regexp_replace(line, r"\x20[\x20\x09-\x0D]+|[\x09-\x0D][\x20\x09-\x0D]*", " "))
-    other = F.translate(one, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.when(F.octet_length(one) == F.length(one), F.lower(one)).otherwise(other)
+    odd = F.col(line).contains("  ")
+    for c in "\t\x0b\x0c\r\n":
+        odd = odd | F.col(line).contains(c)
+    one = F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(F.col(line)))
+    other = F.translate("_one", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    ascii_only = F.octet_length("_one") == F.length("_one")
+    return df.withColumn("_one", one).withColumn("norm", F.when(ascii_only, F.lower("_one")).otherwise(other)).drop("_one", line)
 
 
 def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     """doc_id, line_no (from 0), line of every line that isn't blank."""
-    split = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
+    # outer, as for an inner explode the optimiser adds filters that split the text again
+    split = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode_outer(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
     return split.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
@@ -72,7 +78,7 @@ def _ends() -> Column:
     h, lower = F.col("h_words"), (F.col("n") == 2 * F.col("h_words") + 1) & (F.col("h_words") > 2)
     half = (h / 2).cast("int")
     keys = [F.xxhash64(k, _edge("norm", k)) for k in (h, -h)]
-    return F.array_compact(F.array(*keys, *[F.when(lower, F.xxhash64(k, _edge("norm", k))) for k in (half, -half)]))
+    return F.array(*keys, *[F.when(lower, F.xxhash64(k, _edge("norm", k))) for k in (half, -half)])
 
 
 def _blocks() -> Column:
@@ -88,7 +94,7 @@ def _blocks() -> Column:
             low, high = F.floor(n * q / BLOCKS).cast("int"), F.floor(n * (q + 1) / BLOCKS).cast("int")
             key = F.xxhash64(n, F.lit(q), _edge("norm", low), _edge("norm", high - n))
             out.append(F.when(low < high, F.struct(F.lit(short).alias("short"), F.lit(q).alias("q"), key.alias("key"))))
-    return F.array_compact(F.array(*out))
+    return F.array(*out)
 
 
 def _one_edit(a: str, b: str) -> Column:
@@ -108,21 +114,22 @@ def repeated_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     counts even if it is itself removed.
     """
     hashed = F.unhex(F.md5("norm"))
-    norms = _lines(docs, text_col, id_col).select("doc_id", "line_no", normal(F.col("line")).alias("norm")).withColumn("n", _n_words("norm"))
+    norms = normal(_lines(docs, text_col, id_col), "line").withColumn("n", _n_words("norm"))
     power = F.expr("shiftleft(1, length(bin((greatest(n, 3) - 1) div 2)) - 1)")
     occ = norms.withColumn("h_words", power).select("doc_id", "line_no", hashed.alias("h"), _order().alias("ord"), F.when(F.col("n") >= MIN_WORDS, _ends()).alias("ends"))
     occ = stage(occ, "occurrences")
     firsts = stage(occ.groupBy("h").agg(F.min("ord").alias("first"), F.any_value("ends").alias("ends")), "firsts")
-    ends = firsts.filter("ends IS NOT NULL").select("h", "first", F.explode("ends").alias("end"))
+    ends = firsts.filter("ends IS NOT NULL").select("h", "first", F.explode("ends").alias("end")).filter("end IS NOT NULL")
     shared = ends.groupBy("end").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("end")
     some = stage(ends.join(shared, "end").groupBy("h").agg(F.min("first").alias("first")), "candidates")
     side = F.broadcast(some) if some.count() <= BROADCAST_LINES else some
     # rows that repeat a doc_id may hold other lines in the same place, hence both h and ord
     places = side.select(F.col("first").alias("ord"), F.col("h").alias("of"))
-    texts = _lines(docs, text_col, id_col).withColumn("ord", _order()).join(places, "ord").select("ord", "of", normal(F.col("line")).alias("norm"))
-    texts = texts.select(hashed.alias("h"), "ord", "of", "norm").filter("h = of").groupBy("h", F.col("ord").alias("first")).agg(F.any_value("norm").alias("norm"))
-    texts = stage(texts.withColumn("n", _n_words("norm")), "lines")
-    blocks = texts.select("h", F.explode(_blocks()).alias("b")).select("h", "b.short", "b.q", "b.key")
+    texts = normal(_lines(docs, text_col, id_col).withColumn("ord", _order()).join(places, "ord"), "line").withColumn("h", hashed)
+    texts = texts.groupBy("h", "of", F.col("ord").alias("first")).agg(F.any_value("norm").alias("norm"))
+    # the filter comes after the written table, or else every line would be hashed to join on it
+    texts = stage(texts.withColumn("n", _n_words("norm")), "lines").filter("h = of")
+    blocks = texts.select("h", F.explode(_blocks()).alias("b")).filter("b IS NOT NULL").select("h", "b.short", "b.q", "b.key")
     met = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bool_and("short").alias("only_short")).filter("m > 1 AND NOT only_short").select("key")
     at = F.when(F.col("short"), F.lit(1 << BLOCKS)).otherwise(F.expr("shiftleft(1, q)"))
     open_blocks = blocks.join(met, "key").groupBy("h").agg(F.bit_or(at).alias("mask"))
