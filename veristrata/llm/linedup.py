@@ -26,7 +26,7 @@ from veristrata.llm.common import stage
 
 MIN_WORDS = 5
 #: Blocks of a line: a variant of block q is emitted only if another line agrees in all other blocks.
-BLOCKS = 8
+BLOCKS = 4
 #: Digests of lines that are broadcast at most; more are joined by key.
 BROADCAST_LINES = 1_000_000
 _NULL_ID = str(2**63)  # orders lines of a null doc_id after all others
@@ -37,15 +37,16 @@ def normal(df: DataFrame, line: str) -> DataFrame:
 
     Each step is a projection of its own, so that no later expression repeats it. The pattern
     is tried only on lines that hold more than words between single spaces, and lower() is
-    used only where it can meet nothing but ASCII; both spare most of the time.
+    used only where no letter beyond ASCII would change; both spare most of the time.
     """
     odd = F.col(line).contains("  ")
     for c in "\t\x0b\x0c\r\n":
         odd = odd | F.col(line).contains(c)
     one = F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(F.col(line)))
     other = F.translate("_one", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    ascii_only = F.octet_length("_one") == F.length("_one")
-    return df.withColumn("_one", one).withColumn("norm", F.when(ascii_only, F.lower("_one")).otherwise(other)).drop("_one", line)
+    # every character that lower() changes has one of these properties, unknown to older tables (Cn) included
+    plain = (F.octet_length("_one") == F.length("_one")) | ~F.col("_one").rlike(r"[\p{IsUppercase}\p{Lt}\p{Cn}&&[^\x00-\x7F]]")
+    return df.withColumn("_one", one).withColumn("norm", F.when(plain, F.lower("_one")).otherwise(other)).drop("_one", line)
 
 
 def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -130,6 +131,7 @@ def repeated_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     # the filter comes after the written table, or else every line would be hashed to join on it
     texts = stage(texts.withColumn("n", _n_words("norm")), "lines").filter("h = of")
     blocks = texts.select("h", F.explode(_blocks()).alias("b")).filter("b IS NOT NULL").select("h", "b.short", "b.q", "b.key")
+    blocks = stage(blocks, "blocks")
     met = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bool_and("short").alias("only_short")).filter("m > 1 AND NOT only_short").select("key")
     at = F.when(F.col("short"), F.lit(1 << BLOCKS)).otherwise(F.expr("shiftleft(1, q)"))
     open_blocks = blocks.join(met, "key").groupBy("h").agg(F.bit_or(at).alias("mask"))
