@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from veristrata.functions import names, normalize
-from veristrata.operators import issues, resolve
+from veristrata.operators import infer, issues, resolve, state
 from veristrata.operators.views import create_view
+from veristrata.plans import more  # noqa: F401
 from veristrata.plans.queries import ORACLES, QUERIES
-from veristrata.sources import tabular
+from veristrata.sources import grid, sheet, tabular
 
 DATA = "/root/testdata/sf0.001"
 
@@ -55,7 +56,12 @@ def test_scalars(spark):
     assert one(spark, "N/A", normalize.text) is None
     words = normalize.vocabulary({"RN": ["registered nurse"], "LPN": ["practical nurse"]})
     assert one(spark, "Senior Registered Nurse II", lambda c: normalize.code(c, words)[0]) == "RN"
-    assert one(spark, "WALSH, Ann Marie jr", lambda c: names.parse_person(c)["display"]) == "Ann Marie Walsh"
+    assert one(spark, "WALSH jr, Ann Marie", lambda c: names.parse_person(c)["last"]) == "walsh"
+    assert one(spark, "DE LA CRUZ, mary-ann", lambda c: F.to_json(names.parse_person(c))) == '{"first":"mary","middle":"ann","last":"delacruz","display":"Mary-Ann De La Cruz","org":false}'
+    assert one(spark, "Ann O'connor RN md", lambda c: names.parse_person(c)["display"]) == "Ann O'Connor"
+    assert one(spark, "Cher", lambda c: names.parse_person(c)["last"]) == "cher"
+    assert one(spark, " ", lambda c: names.parse_person(c)) is None
+    assert one(spark, "The Acme  Corp.", lambda c: names.parse_org(c)["last"]) == "acme"
 
 
 def test_decisions_and_lifecycle(spark):
@@ -77,3 +83,72 @@ def test_tabular(spark, tmp_path):
     assert (bound, free, share) == ({"name": 0, "hours": 1}, ["Notes"], 1.0)
     got = tabular.records(cells, bound, 3).orderBy("row_num").select("locator", "name", "hours").collect()
     assert [tuple(r) for r in got] == [("row 4", "José", "8"), ("row 6", "Ann", "4")]
+
+
+def test_candidates(spark):
+    rows = [(1, "Bob Smith"), (2, "Smith Ann"), (3, "J. Doe"), (4, "Bob Smith"), (5, None)]
+    r = spark.createDataFrame(rows, "id int, n string").select("id", names.parse_person(F.col("n")).alias("name"))
+    e = spark.createDataFrame([("A", "Robert Smith"), ("B", "Ann Smith"), ("C", "John Doe")], "k string, n string").select("k", names.parse_person(F.col("n")).alias("name"))
+    got = names.candidates(r, e, "id", "k", names.nickname_groups(["robert rob bob"]))
+    best = {(x["rec"], x["entity"]): (x["score"], x["how"]) for x in got.collect()}
+    assert best[1, "A"] == best[4, "A"] == (0.95, "nickname")
+    assert best[2, "B"] == (0.9, "swapped")
+    assert best[3, "C"] == (0.85, "initial")
+
+
+def test_grid(spark):
+    text = "Harborside East — Weekly Staff Schedule\n7a-3p, 3p-11p are 8 hours"
+    table = [["Staff", "Role", "Mon 9/14", "Tue 9/15", "Wed 9/16"], ["Ann Lee", "RN", "7a-3p", "OFF", "3p-11:30p"], ["Bob Ray", "CNA", "PTO", "zzz", "7-3"], [""] * 5]
+    plain = "East\nStaff Mon 9/14 Tue 9/15 Wed 9/16 Thu 9/17 Fri 9/18\nAnn Lee RN 7a-3p OFF 7a-3p 7a-3p PTO"
+    pages = spark.createDataFrame([("f", 1, text, table), ("f", 2, plain, None), ("f", 3, None, None)], grid.PAGES)
+    got = [(r["row_num"], r["staff_name"], r["role"], r["facility"], str(r["date"])[-2:], r["hours"], r["leave"], r["problem"] is not None) for r in grid.weekly_grid(pages, "2026-10-04").orderBy("row_num", "date").collect()]
+    a, b = "Harborside East", "Bob Ray"
+    assert got[:6] == [(1001, "Ann Lee", "RN", a, "14", 8.0, False, False), (1001, "Ann Lee", "RN", a, "15", 0.0, False, False), (1001, "Ann Lee", "RN", a, "16", 8.5, False, True), (1002, b, "CNA", a, "14", 0.0, True, False), (1002, b, "CNA", a, "15", None, False, True), (1002, b, "CNA", a, "16", 8.0, False, True)]
+    assert [(r[0], r[3], r[5]) for r in got[6:]] == [(2002, "East", h) for h in (8.0, 0.0, 8.0, 8.0, 0.0)]
+
+
+def test_sheet(spark, tmp_path):
+    import zipfile
+
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="x" sheetId="1" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/s.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>Name</t></si></sst>')
+        z.writestr("xl/worksheets/s.xml", f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>Day</t></is></c></row><row r="3"><c r="A3"><v>5</v></c><c r="C3" s="1"><v>44289</v></c></row></sheetData></worksheet>')
+    got = [tuple(r["cells"]) for r in sheet.read_cells(spark, f"file://{tmp_path}").orderBy("row_num").collect()]
+    assert got == [("Name", "", "Day"), ("", "", ""), ("5", "", "2021-04-03")]
+
+
+def test_setup(spark):
+    hr = spark.createDataFrame([(f"E-{i:04d}", f"Name{i}, Ann", f"2026-01-0{i % 9 + 1}") for i in range(40)], "`Employee ID` string, `Employee Name` string, `License Expires` string")
+    pay = spark.createDataFrame([(f"e-{i:04d}", str(i), "2026-02-01") for i in range(30)], "`Emp ID` string, `Hours` string, `Pay Date` string")
+    found = infer.propose({"hr": hr, "pay": pay})
+    assert found["master"] == "hr" and found["links"]["hr -> pay"] == [("Employee ID", "Emp ID", 1.0)]
+    assert {"type": "expiration", "source": "hr", "attribute": "License Expires"} in found["rules"]
+    types = {c: p["type"] for f in found["profiles"].values() for c, p in f["columns"].items()}
+    assert types == {"Employee ID": "codeid", "Employee Name": "person_name", "License Expires": "date", "Emp ID": "codeid", "Hours": "number", "Pay Date": "date"}
+    assert infer.build_config(found)["entity"] == {"anchor": "hr"}
+    assert infer.header_row([["Title", ""], ["1", "2"], ["Name", "Hours"]]) == 2
+
+
+def test_workspace(spark, tmp_path):
+    w = state.Workspace(spark, f"file://{tmp_path}/ws")
+    found = spark.createDataFrame([("f1", "status", "warning", "C", "1", "T"), ("f2", "large", "info", "C", "2", "T"), ("f3", "status", "critical", "C", "3", "T")], "fingerprint string, rule string, severity string, category string, entity_key string, title string")
+    assert {r["status"] for r in w.rebuild(found).collect()} == {"open"}
+    w.decide("f1", "dismiss")
+    w.learn("large", "acknowledge", "info")
+    state_of = lambda df: {r["fingerprint"]: (r["active"], r["status"]) for r in df.collect()}
+    assert state_of(w.rebuild(found.filter("fingerprint <> 'f3'"))) == {"f1": (True, "dismissed"), "f2": (True, "auto"), "f3": (False, "open")}
+    w.reopen("f2")
+    assert state_of(w.rebuild(found)) == {"f1": (True, "dismissed"), "f2": (True, "open"), "f3": (True, "open")}
+    with pytest.raises(ValueError):
+        w.decide("f1", "choose", "x", ["y"])
+    w.set("as_of", "2026-01-01")
+    w.set("as_of", "2026-01-02")
+    assert w.get("as_of") == "2026-01-02" and w.get("other") is None
+    w.receive("hr", "a.csv", found)
+    w.receive("hr", "b.csv", found.limit(1))
+    assert w.records("hr").count() == 1 and w.records("pay") is None
+    assert "ws_issues" in w.catalog() and w.browse("ws_events", 2).count() == 2

@@ -16,42 +16,135 @@ from pyspark.sql.types import DoubleType
 from veristrata.functions.normalize import is_empty, simplify
 
 # Suffixes that aren't part of a last name.
-SUFFIXES = ("jr", "sr", "ii", "iii", "iv")
+SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "md", "rn", "lpn", "cna", "phd")
+# Words that don't tell organisations apart.
+ORG_WORDS = (
+    "inc", "incorporated", "llc", "ltd", "limited", "corp", "corporation", "co", "company", "the", "gmbh", "plc", "lp", "llp", "pllc", "sa", "ag",
+    "pty", "group", "holdings", "ab", "oy", "as", "bv", "nv", "srl", "spa", "kk", "sarl", "pte", "sas", "intl", "international",
+)
+NAME = "struct<first:string,middle:string,last:string,display:string,org:boolean>"
+
+
+def _title(c: Column) -> Column:
+    """Each run of letters with its first letter in upper case."""
+    return F.array_join(F.transform(F.split(F.trim(c), r"(?<=[^\p{L}])(?=\p{L})"), F.initcap), "")
+
+
+def _words(c: Column) -> Column:
+    return F.filter(F.split(simplify(c), " "), lambda w: w != "")
+
+
+def _struct(first: Column, last: Column) -> Column:
+    f, rest = _words(first), F.filter(_words(last), lambda w: ~w.isin(*SUFFIXES))
+    show = F.trim(F.concat(_title(first), F.lit(" "), _title(last)))
+    made = F.struct(F.coalesce(F.get(f, F.lit(0)), F.lit("")).alias("first"), F.array_join(F.slice(f, 2, F.greatest(F.size(f) - 1, F.lit(0))), " ").alias("middle"), F.array_join(rest, "").alias("last"), show.alias("display"), F.lit(False).alias("org"))
+    return F.when((F.size(f) > 0) | (F.size(rest) > 0), made)
+
+
+def person(first: Column, last: Column) -> Column:
+    """Name struct of given and family name; null if both are empty."""
+    return _struct(F.coalesce(first, F.lit("")), F.coalesce(last, F.lit("")))
 
 
 def parse_person(full: Column) -> Column:
-    """struct<first, middle, last, display> from 'First Middle Last' or 'LAST, FIRST MIDDLE'; null if empty."""
-    comma = F.contains(full, F.lit(","))
-    turned = F.when(comma, F.concat_ws(" ", F.substring_index(full, ",", -1), F.substring_index(full, ",", 1))).otherwise(full)
-    words = F.filter(F.split(simplify(turned), " "), lambda w: (w != "") & ~w.isin(*SUFFIXES))
-    n = F.size(words)
-    first, last = F.get(words, F.lit(0)), F.when(n > 1, F.element_at(words, -1)).otherwise(F.lit(""))
-    middle = F.array_join(F.slice(words, 2, F.greatest(n - 2, F.lit(0))), " ")
-    return F.when(~is_empty(full) & (n > 0), F.struct(first.alias("first"), middle.alias("middle"), last.alias("last"), F.initcap(F.array_join(words, " ")).alias("display")))
+    """Name struct from 'First Middle Last' or 'LAST, FIRST MIDDLE'; null if empty.
+
+    Trailing suffixes go as long as two words stay; words of a family name are joined.
+    """
+    text = F.trim(F.coalesce(full, F.lit("")))
+    comma = F.contains(text, F.lit(","))
+    words = F.split(text, r"\s+")
+    held = F.array_max(F.transform(words, lambda w, i: F.when(simplify(w).isin(*SUFFIXES), F.least(i + 1, F.lit(2))).otherwise(i + 1)))
+    words = F.slice(words, 1, held)
+    tail = F.element_at(words, -1)
+    before = F.array_join(F.slice(words, 1, F.size(words) - 1), " ")
+    first = F.when(comma, F.regexp_replace(text, r"^[^,]*,", "")).otherwise(before)
+    last = F.when(comma, F.substring_index(text, ",", 1)).otherwise(tail)
+    return F.when(~is_empty(full), _struct(first, last))
+
 
+def parse_org(c: Column) -> Column:
+    """Name struct of an organisation: what is left without ORG_WORDS, or all if nothing is."""
+    own = F.array_join(F.filter(_words(c), lambda w: ~w.isin(*ORG_WORDS)), " ")
+    last = F.when(own == "", simplify(c)).otherwise(own)
+    return F.when(~is_empty(c), F.struct(F.lit("").alias("first"), F.lit("").alias("middle"), last.alias("last"), F.trim(F.regexp_replace(c, r"\s+", " ")).alias("display"), F.lit(True).alias("org")))
 
-def name_key(name: Column) -> Column:
-    return F.concat_ws("|", name["last"], name["first"])
+
+def nickname_groups(groups: list[str]) -> dict[str, list[int]]:
+    """Name -> numbers of its groups, from groups such as "robert rob bob"."""
+    out: dict[str, list[int]] = {}
+    for i, g in enumerate(groups):
+        for n in g.split():
+            out.setdefault(n, []).append(i)
+    return out
+
+
+def _groups_of(first: Column, nicknames: dict[str, list[int]] | None) -> Column:
+    if not nicknames:
+        return F.array().cast("array<int>")
+    table = F.create_map(*(x for n, g in nicknames.items() for x in (F.lit(n), F.array(*map(F.lit, g)))))
+    return F.coalesce(F.try_element_at(table, first), F.array().cast("array<int>"))
+
+
+def name_key(name: Column, nicknames: dict[str, list[int]] | None = None) -> Column:
+    """last|first; a nickname stands as # and its lowest group."""
+    group = F.array_min(_groups_of(name["first"], nicknames))
+    return F.concat_ws("|", name["last"], F.coalesce(F.concat(F.lit("#"), group.cast("string")), name["first"]))
 
 
 @F.pandas_udf(DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching characters; the order of the arguments matters."""
-    return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() if x and y else 0.0 for x, y in zip(a, b)])
+    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
-def score_pairs(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Add score and how to pairs of name structs: exact, swapped, initial, shortened, fuzzy.
+def score_pairs(pairs: DataFrame, a: str = "a", b: str = "b", nicknames: dict[str, list[int]] | None = None) -> DataFrame:
+    """Add score and how to pairs of name structs: exact, nickname, initial, swapped, shortened, fuzzy; organisations by words and ratio.
 
-    Rows that a cheap rung settles never reach Python.
+    Rows that a cheap rung settles never reach Python. A null name scores 0.
     """
     fa, la, fb, lb = F.col(a)["first"], F.col(a)["last"], F.col(b)["first"], F.col(b)["last"]
-    initial = (F.length(fa) == 1) | (F.length(fb) == 1)
-    prefix = (F.least(F.length(fa), F.length(fb)) >= 3) & (F.startswith(fa, fb) | F.startswith(fb, fa))
-    rungs = [((fa == fb) & (la == lb), 1.0, "exact"), ((fa == lb) & (la == fb), 0.9, "swapped"), ((la == lb) & prefix, 0.9, "shortened"), ((la == lb) & initial & (F.substring(fa, 1, 1) == F.substring(fb, 1, 1)), 0.85, "initial")]
+    org = F.coalesce(F.col(a)["org"], F.lit(False)) | F.coalesce(F.col(b)["org"], F.lit(False))
+    nick = F.arrays_overlap(_groups_of(fa, nicknames), _groups_of(fb, nicknames)) if nicknames else F.lit(False)
+    given, prefix = (fa != "") & (fb != ""), F.startswith(fa, fb) | F.startswith(fb, fa)
+    same, alone = la == lb, (F.length(fa) == 1) | (F.length(fb) == 1)
+    initial = same & given & alone & (F.substring(fa, 1, 1) == F.substring(fb, 1, 1))
+    rungs = (
+        (F.col(a).isNull() | F.col(b).isNull(), 0.0, "none"),
+        (org & same, 1.0, "same organisation"),
+        (~org & same & (fa == fb), 1.0, "exact"),
+        (~org & same & nick, 0.95, "nickname"),
+        (~org & initial, 0.85, "initial"),
+        (~org & (fa == lb) & (la == fb), 0.9, "swapped"),
+        (~org & same & prefix & (F.least(F.length(fa), F.length(fb)) >= 3), 0.9, "shortened"),
+    )
     score, how = F.lit(None).cast("double"), F.lit(None).cast("string")
     for on, value, label in reversed(rungs):
         score, how = F.when(on, F.lit(value)).otherwise(score), F.when(on, F.lit(label)).otherwise(how)
-    known = pairs.withColumns({"score": score, "how": how})
-    rest = known.filter("score IS NULL").withColumns({"score": F.round(0.6 * ratio(la, lb) + 0.4 * ratio(fa, fb), 3), "how": F.lit("fuzzy")})
-    return known.filter("score IS NOT NULL").unionByName(rest)
+    known = pairs.withColumns({"score": score, "how": how, "_org": org})
+    rest = known.filter("score IS NULL")
+    x, y = F.split(la, " "), F.split(lb, " ")
+    shared = F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+    people = F.round(0.6 * ratio(la, lb) + 0.4 * F.when((fa == fb) | nick, F.lit(1.0)).otherwise(ratio(fa, fb)), 3)
+    orgs = rest.filter("_org").withColumns({"score": F.round(F.greatest(shared, ratio(la, lb)), 3), "how": F.lit("similar organisation")})
+    fuzzy = rest.filter("NOT _org").withColumns({"score": people, "how": F.lit("fuzzy")})
+    return known.filter("score IS NOT NULL").unionByName(orgs).unionByName(fuzzy).drop("_org")
+
+
+def candidates(records: DataFrame, entities: DataFrame, rec: str, entity: str, nicknames: dict[str, list[int]] | None = None) -> DataFrame:
+    """(rec, entity, a, b) of names (column name) that share a blocking key, each pair once.
+
+    Keys: the family name, the two names in either order, and the family name's first four
+    letters with the given name's first letter. Distinct names are compared, not rows: copies of a name meet
+    the entities once and are joined back, so a frequent name costs no more than a rare one.
+    """
+
+    def blocks(df: DataFrame, side: str) -> DataFrame:
+        n = F.col("name")
+        keys = F.array(F.concat(F.lit("l|"), n["last"]), F.concat(F.lit("s|"), F.least(n["first"], n["last"]), F.lit("|"), F.greatest(n["first"], n["last"])), F.concat(F.lit("p|"), F.substring(n["last"], 1, 4), F.lit("|"), F.substring(n["first"], 1, 1)))
+        return df.select("name").filter("name IS NOT NULL").distinct().select(n.alias(side), F.explode(F.array_distinct(keys)).alias("block"))
+
+    pairs = blocks(records, "a").join(blocks(entities, "b"), "block").select("a", "b").distinct()
+    scored = score_pairs(pairs, nicknames=nicknames)
+    r, e = records.select(F.col(rec).alias("rec"), F.col("name").alias("a")), entities.select(F.col(entity).alias("entity"), F.col("name").alias("b"))
+    return r.join(scored, "a").join(e, "b").select("rec", "entity", "a", "b", "score", "how")

@@ -61,3 +61,15 @@ def reconcile(evidence: DataFrame, entities: DataFrame, authority: list[str]) ->
     status = F.when(F.col("n_values").isNull(), "MISSING").when(F.col("n_values") > 1, "CONFLICT").when(F.col("n_sources") > 1, "CONFIRMED").otherwise("SINGLE_SOURCE")
     j = entities.select("entity_key").join(one, "entity_key", "left")
     return j.select("entity_key", F.col("b.value").alias("value"), status.alias("status"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"), F.coalesce("n_values", F.lit(0)).alias("n_values"))
+
+
+def review_groups(pairs: DataFrame, name_key: str, candidate: str, order: str, most: int = 6) -> DataFrame:
+    """(name_key, candidate, n, evidence): records that await one decision, with the first `most` of them.
+
+    The first records are ranked in salted parts before they meet, so that no task sorts a whole group.
+    """
+    by = [name_key, candidate]
+    salted = pairs.select(*by, order, F.pmod(F.xxhash64(order), F.lit(64)).alias("_p"))
+    ranked = salted.withColumn("_r", F.row_number().over(Window.partitionBy(*by, "_p").orderBy(order))).filter(F.col("_r") <= most)
+    first = ranked.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list(order)), 1, most).alias("evidence"))
+    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(first, by)

@@ -29,12 +29,19 @@ def decode(data: bytes) -> str:
 
 
 def rows(data: bytes) -> list[list[str]]:
-    """Stripped cells of every row, the delimiter sniffed from the first 4096 characters."""
+    """Stripped cells of every row, the delimiter sniffed from the first 4096 characters.
+
+    Where that fails (a title above a few rows) it is the comma if there is any, else the commonest other one.
+    """
     text = decode(data)
     try:
         dialect = csv.Sniffer().sniff(text[:4096], DELIMITERS)
     except csv.Error:
-        dialect = csv.excel
+        most = max(DELIMITERS, key=text[:4096].count)
+
+        class dialect(csv.excel):
+            delimiter = "," if "," in text[:4096] else most
+
     return [[c.strip() for c in r] for r in csv.reader(io.StringIO(text), dialect)]
 
 
