@@ -152,3 +152,12 @@ def test_workspace(spark, tmp_path):
     w.receive("hr", "b.csv", found.limit(1))
     assert w.records("hr").count() == 1 and w.records("pay") is None
     assert "ws_issues" in w.catalog() and w.browse("ws_events", 2).count() == 2
+
+
+def test_source_detection():
+    sources = {"hr": {"label": "HR roster", "fields": {"name": ["staff name"], "hired": ["hire date"]}, "required": ["name"]}, "payroll": {"fields": {"name": ["employee"], "hours": ["hours paid"]}, "required": ["name", "hours"]}}
+    head = [["Report", ""], ["Employee", "Hours Paid", "Notes"], ["Ann", "8", ""]]
+    assert tabular.detect_source(head, "march.csv", sources) == ("payroll", 1, {"name": 0, "hours": 1}, ["Notes"])
+    assert tabular.detect_source([["Staff Name", "Hire Date"]], "march.csv", sources)[0] == "hr"
+    with pytest.raises(ValueError):
+        tabular.detect_source([["x", "y"]], "march.csv", {"hr": sources["hr"] | {"label": "HR"}})

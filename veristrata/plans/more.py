@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veristrata.functions import names, normalize, schedule
-from veristrata.operators import infer, issues, resolve, state, views
+from veristrata.operators import codes, infer, issues, resolve, state, views
 from veristrata.plans.queries import _last_order, query, table
 
 
@@ -93,3 +93,10 @@ def review_groups(spark, d):
 def code_events(spark, d):
     value, problem = normalize.code(F.col("event_type"), normalize.vocabulary({"C": ["click"], "V": ["view"]}))
     return table(spark, d, "events").select("event_id", value.alias("code"), problem.isNotNull().alias("problem"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE 'F' END AS code, o_orderkey % 3 = 2 AS problem FROM orders")
+def code_similar(spark, d):
+    k = F.col("o_orderkey") % 3
+    o = table(spark, d, "orders").select("o_orderkey", F.when(k == 0, "Facilty").when(k == 1, "the facility").otherwise("zebra").alias("v"))
+    return codes.with_codes(o, "v", normalize.vocabulary({"F": ["facility"], "W": ["warehouse"]})).select("o_orderkey", "code", F.col("code_problem").isNotNull().alias("problem"))

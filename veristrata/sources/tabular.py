@@ -98,3 +98,26 @@ def records(cells: DataFrame, binding: dict[str, int], header_row: int) -> DataF
     body = cells.filter((F.col("row_num") > header_row) & F.exists("cells", lambda c: c != ""))
     width = max(binding.values(), default=-1) + 1
     return body.select("file", "row_num", F.concat(F.lit("row "), F.col("row_num")).alias("locator"), *(F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(f) for f, i in binding.items()), F.slice("cells", width + 1, F.greatest(F.size("cells") - width, F.lit(0))).alias("overflow"))
+
+
+def detect_source(head: list[list[str]], filename: str, sources: dict[str, dict], forced: str | None = None) -> tuple[str, int, dict[str, int], list[str]]:
+    """(source, header row from 0, binding, unbound headers) of a file by its first rows.
+
+    sources: name -> label, fields (name -> synonyms) and required (names). Each of the first 15 rows with two
+    cells or more is tried as the header of each source; its points are the share of fields bound, 1 more if all
+    required ones are and 0.25 more if the file's name holds the source's. The earliest of the best wins.
+    """
+    stem, best = _plain(filename), (0.0, None)
+    for at, row in enumerate(head[:15]):
+        if sum(c != "" for c in row) < 2:
+            continue
+        for name in [forced] if forced else sources:
+            spec = sources[name]
+            binding, free, points = bind_headers(row, spec["fields"])
+            points += all(f in binding for f in spec.get("required", ()))
+            points += 0.25 * (name in stem or _plain(spec.get("label", "")) in stem)
+            if points > best[0]:
+                best = (points, (name, at, binding, [h for h in free if h]))
+    if best[0] < 0.5:
+        raise ValueError("the columns of this file fit none of the sources")
+    return best[1]
