@@ -1,15 +1,16 @@
 """A corpus from documents: quality, exact and near copies, mixing, packing.
 
-Each stage gets the documents its predecessor kept, read again from Parquet.
+Each stage gets the documents its predecessor kept, read again from Parquet. Documents without
+a doc_id are judged, kept and repeated like any other, each on its own; their doc_id stays null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veristrata.llm import cotrain, exthash, minhash, mixing, packing
-from veristrata.llm.common import shared_dir
+from veristrata.llm.common import shared_dir, stage
 
 #: DuckDB SQL for run()'s rows: none, as SQL can't express the classifier and the tokenizer.
 ORACLE_SQL = None
@@ -17,33 +18,64 @@ ORACLE_SQL = None
 BROADCAST_IDS = 500_000
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents that ids (doc_id) names; rows that repeat a doc_id stay or go together."""
-    return docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
+def _named(docs: DataFrame) -> tuple[DataFrame, list]:
+    """(docs with an id of its own for each row that has none, columns that give docs' rows back).
+
+    These ids follow all others, so a row with a doc_id stays before its copies without one. They
+    number the rows in the order of their content, so that reruns agree.
+    """
+    back = [F.when(~F.col("_anon"), F.col(c)).alias(c) if c == "doc_id" else F.col(c) for c in docs.columns]
+    none = docs.filter("doc_id IS NULL")
+    n = none.count()
+    if not n:
+        return docs.withColumn("_anon", F.lit(False)), back
+    tie = F.monotonically_increasing_id()  # rows of equal content needn't share a partition
+    ordered = none.withColumns({"_hash": F.xxhash64(*docs.columns), "_tie": tie}).orderBy("_hash", "_tie").drop("_hash", "_tie")
+    ordered = stage(ordered.withColumn("_at", F.monotonically_increasing_id()), "anonymous")
+    last = docs.agg(F.max("doc_id")).first()[0]
+    base = 0 if last is None else max(last + 1, 0)
+    if base + n >= 2**63 - 1:
+        raise ValueError(f"no ids are left after {last} for {n} documents without one")
+    part = F.shiftright("_at", 33)
+    sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    own = F.lit(base) + F.col("_offset") + F.col("_at").bitwiseAND(F.lit(2**33 - 1))
+    rows = ordered.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumns({"doc_id": own, "_anon": F.lit(True)})
+    return docs.filter("doc_id IS NOT NULL").withColumn("_anon", F.lit(False)).unionByName(rows.select(*docs.columns, "_anon")), back
+
+
+def _only(named: DataFrame, ids: DataFrame, back: list) -> DataFrame:
+    """The documents that ids (doc_id) names; rows that repeat a doc_id stay or go together, rows without one each on their own."""
+    return named.join(ids, "doc_id", "left_semi").select(*back)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the co-trained classifier rejects."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = cotrain.fit(docs, labels)
-    bad = cotrain.score(docs, model).filter("NOT kept AND doc_id IS NOT NULL").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    named, back = _named(docs)
+    bad = cotrain.score(named, model).filter("NOT kept").select("doc_id")
+    return named.join(bad, "doc_id", "left_anti").select(*back)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of equal texts."""
-    return _only(docs, exthash.exact_dedup(docs).filter("kept").select("doc_id"))
+    named, back = _named(docs)
+    return _only(named, exthash.exact_dedup(named).filter("kept").select("doc_id"), back)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies."""
-    return _only(docs, minhash.near_dedup(docs).filter("kept").select("doc_id"))
+    named, back = _named(docs)
+    return _only(named, minhash.near_dedup(named).filter("kept").select("doc_id"), back)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or drops documents so that the sources come near their targets."""
-    copies = mixing.mix(docs).filter("copies > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return docs.join(copies, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).select(*docs.columns)
+    named, back = _named(docs)
+    copies = mixing.mix(named).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    return named.join(copies, "doc_id").select(*named.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).select(*back)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +89,8 @@ STAGES = [("quality", quality), ("exact", exact), ("near", near), ("mix", mixtur
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = shared_dir(spark)
-    for k, (name, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
+    for k, (name, step) in enumerate(STAGES):
+        out = step(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
         out.write.parquet(f"{base}/{k}-{name}")

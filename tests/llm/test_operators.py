@@ -329,3 +329,35 @@ def test_pipeline(spark):
         else:
             assert {r[0] for r in out.select("doc_id").collect()} == {r[0] for r in docs.select("doc_id").collect()}
     assert sizes[0] > sizes[1] > sizes[2]
+
+
+def test_pipeline_without_ids(spark, tmp_path):
+    """A third of the rows has no doc_id: unique texts stay, copies go, ids stay null, kept rows are packed."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(3)
+    text = lambda: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(40))
+    own, loose = [text() for _ in range(8)], [text() for _ in range(4)]
+    rows = [(i, t) for i, t in enumerate(own)] + [(None, t) for t in loose] + [(None, loose[0]), (None, loose[0]), (None, own[0])]
+    rows += [(None, loose[1] + " more"), (None, own[1] + " more"), (None, None), (None, " ")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(d, t, "en", "web", len(t or "")) for d, t in rows], schema)
+    ids = lambda df: sorted((-1 if r[0] is None else r[0], r[1].removesuffix(" more").strip() if r[1] else "") for r in df.select("doc_id", "text").collect())
+    got = spark.createDataFrame(corpus_pipeline.exact(spark, docs, "").toArrow())
+    want = [*enumerate(own), *((-1, t) for t in loose), (-1, loose[1]), (-1, own[1]), (-1, "")]
+    assert got.columns == docs.columns and ids(got) == sorted(want)
+    got = spark.createDataFrame(corpus_pipeline.near(spark, got, "").toArrow())
+    want = [*enumerate(own), *((-1, t) for t in loose), (-1, "")]
+    assert got.columns == docs.columns and ids(got) == sorted(want)
+    mixed = corpus_pipeline.mixture(spark, got, "")
+    assert mixed.columns == docs.columns
+    copies = Counter(ids(mixed))
+    assert set(copies.values()) <= {1, 2} and set(copies) == set(want) and sum(n for (_, t), n in copies.items() if t) in (17, 18, 19)
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert ids(corpus_pipeline.quality(spark, docs, f"{tmp_path}/none")) == ids(docs)
+    bad = text()
+    labelled = [(100 + i, bad if i % 2 else text(), i % 2) for i in range(60)]
+    spark.createDataFrame([(i, 1 - b) for i, _, b in labelled], "doc_id long, quality int").write.parquet(f"{tmp_path}/two/labels.parquet")
+    more = docs.unionByName(spark.createDataFrame([(d, "!!! $$ 1 2 3" if b else t, "en", "web", 12 if b else len(t)) for d, t, b in [*labelled, (None, bad, 1)]], schema))
+    left = ids(corpus_pipeline.quality(spark, more, f"{tmp_path}/two"))
+    assert (-1, "!!! $$ 1 2 3") not in left and {(-1, t) for t in loose} <= set(left)
