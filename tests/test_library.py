@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veristrata.functions import names, normalize
-from veristrata.operators import infer, issues, resolve, state
+from veristrata.operators import infer, issues, resolve, rules, state
 from veristrata.operators.views import create_view
 from veristrata.plans import more  # noqa: F401
 from veristrata.plans.queries import ORACLES, QUERIES
@@ -161,3 +161,15 @@ def test_source_detection():
     assert tabular.detect_source([["Staff Name", "Hire Date"]], "march.csv", sources)[0] == "hr"
     with pytest.raises(ValueError):
         tabular.detect_source([["x", "y"]], "march.csv", {"hr": sources["hr"] | {"label": "HR"}})
+
+
+def test_duplicate_entity_any(spark):
+    rows = [(1, "a@x", "11", "p"), (2, "a@x", "22", "p"), (3, None, "22", "p"), (4, "", None, "p"), (5, "", None, None), (6, "b@x", "22", "q")]
+    e = spark.createDataFrame(rows, "k int, email string, phone string, city string")
+    show = lambda df: {(r["k1"], r["k2"]): ([tuple(x) for x in r["reasons"]], r["hot"]) for r in df.collect()}
+    mail, phone, city = ("email", "a@x"), ("phone", "22"), ("city", "p")
+    got = show(rules.duplicate_entity(e, "k", ["email", "phone", "city"]))
+    assert got == {(1, 2): ([city, mail], False), (1, 3): ([city], False), (1, 4): ([city], False), (2, 3): ([city, phone], False), (2, 4): ([city], False), (3, 4): ([city], False), (2, 6): ([phone], False), (3, 6): ([phone], False)}
+    got = show(rules.duplicate_entity(e, "k", ["email", "phone", "city"], pairs_up_to=3))
+    assert got == {(1, 2): ([city, mail], True), (1, 3): ([city], True), (1, 4): ([city], True), (2, 3): ([city, phone], False), (2, 6): ([phone], False), (3, 6): ([phone], False)}
+    assert show(rules.duplicate_entity(e, "k", [("phone", "city")])) == {(2, 3): ([("phone+city", '{"phone":"22","city":"p"}')], False)}

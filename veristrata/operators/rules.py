@@ -60,11 +60,36 @@ def unusual_value(df: DataFrame, value: Column, expected: list[str], critical_pa
 
 
 @rule
-def duplicate_entity(entities: DataFrame, key: str, match_on: list[str]) -> DataFrame:
-    """Pairs k1 < k2 that share every one of the match_on columns (nulls never match)."""
-    a = entities.select(F.col(key).alias("k1"), *match_on)
-    b = entities.select(F.col(key).alias("k2"), *match_on)
-    return a.join(b, match_on).filter("k1 < k2").select("k1", "k2", *match_on)
+def duplicate_entity(entities: DataFrame, key: str, match_on: list[str | tuple[str, ...]], pairs_up_to: int | None = 100) -> DataFrame:
+    """Pairs k1 < k2 that share a value of any match_on attribute: k1, k2, reasons (attribute, value), hot.
+
+    A tuple of columns is one attribute, shared if all its columns are; nulls and empty texts never match.
+    reasons holds all that the two share. A value of more than pairs_up_to entities is hot: it isn't
+    spelt out in pairs but as its class, one row (smallest key, member) each with hot = true. Null: no value is hot.
+    """
+
+    def attribute(m):
+        cols = [m] if isinstance(m, str) else list(m)
+        known = F.array(*(F.col(c).cast("string") for c in cols))
+        value = F.col(m).cast("string") if isinstance(m, str) else F.to_json(F.struct(*cols))
+        return F.when(F.forall(known, lambda v: F.coalesce(v != "", F.lit(False))), F.struct(F.lit("+".join(cols)).alias("attribute"), value.alias("value")))
+
+    has = entities.filter(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.explode(F.array_compact(F.array(*map(attribute, match_on)))).alias("v")).distinct()
+    sizes = has.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("head")).filter("n > 1")
+    over = F.lit(False) if pairs_up_to is None else F.col("n") > pairs_up_to
+    member = has.join(sizes.select("v", "head", over.alias("hot")), "v")
+    few = member.filter("NOT hot")
+    pairs = few.select(F.col("k").alias("k1"), "v").join(few.select(F.col("k").alias("k2"), "v"), "v").filter("k1 < k2").select("k1", "k2", "v", F.lit(False).alias("hot"))
+    if pairs_up_to is not None:
+        many = member.filter("hot").select("k", "v", "head")
+        pairs = pairs.unionByName(many.filter("k <> head").select(F.col("head").alias("k1"), F.col("k").alias("k2"), "v", F.lit(True).alias("hot")))
+        # hot values that pairs of other values share besides
+        classes = many.groupBy("k").agg(F.collect_list("v").alias("vs"))
+        found = pairs.groupBy("k1", "k2").agg(F.collect_set("v").alias("vs"), F.bool_or("hot").alias("hot"))
+        j = found.join(classes.select(F.col("k").alias("k1"), F.col("vs").alias("x")), "k1", "left").join(classes.select(F.col("k").alias("k2"), F.col("vs").alias("y")), "k2", "left")
+        both = F.coalesce(F.array_intersect("x", "y"), F.array().cast("array<struct<attribute:string,value:string>>"))
+        return j.select("k1", "k2", F.array_sort(F.array_union("vs", both)).alias("reasons"), "hot")
+    return pairs.groupBy("k1", "k2").agg(F.array_sort(F.collect_set("v")).alias("reasons"), F.bool_or("hot").alias("hot"))
 
 
 @rule

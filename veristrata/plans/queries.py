@@ -197,7 +197,18 @@ def unusual_status(spark, d):
 
 @query("SELECT a.p_partkey AS k1, b.p_partkey AS k2, a.p_name, a.p_brand, a.p_size FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
 def duplicate_entity(spark, d):
-    return rules.duplicate_entity(table(spark, d, "part"), "p_partkey", ["p_name", "p_brand", "p_size"])
+    part, match_on = table(spark, d, "part"), ("p_name", "p_brand", "p_size")
+    pairs = rules.duplicate_entity(part, "p_partkey", [match_on], pairs_up_to=None)
+    return pairs.join(part, F.expr("k1 = p_partkey")).select("k1", "k2", *match_on)
+
+
+@query("""WITH v AS (SELECT p_partkey AS k, 'p_brand' AS a, p_brand AS v FROM part UNION ALL SELECT p_partkey, 'p_name', p_name FROM part UNION ALL SELECT p_partkey, 'p_size', p_size::VARCHAR FROM part),
+m AS (SELECT *, count(*) OVER (PARTITION BY a, v) AS n, min(k) OVER (PARTITION BY a, v) AS head FROM v),
+p AS (SELECT x.k AS k1, y.k AS k2, bool_or(x.n > 5) AS hot FROM m x JOIN m y ON x.a = y.a AND x.v = y.v AND x.k < y.k AND (x.n <= 5 OR x.k = x.head) GROUP BY 1, 2)
+SELECT k1, k2, string_agg(x.a || ' ' || x.v, ', ' ORDER BY x.a) AS reasons, hot FROM p JOIN v x ON x.k = k1 JOIN v y ON y.k = k2 AND y.a = x.a AND y.v = x.v GROUP BY k1, k2, hot""")
+def duplicate_entity_any(spark, d):
+    pairs = rules.duplicate_entity(table(spark, d, "part"), "p_partkey", ["p_name", "p_brand", "p_size"], pairs_up_to=5)
+    return pairs.select("k1", "k2", F.array_join(F.transform("reasons", lambda r: F.concat(r["attribute"], F.lit(" "), r["value"])), ", ").alias("reasons"), "hot")
 
 
 @query("""WITH a AS (SELECT o_orderkey AS k, date_trunc('month', o_orderdate)::DATE AS p, sum(o_totalprice::DECIMAL(18,2))::DECIMAL(28,2) AS a FROM orders GROUP BY ALL),
