@@ -173,3 +173,13 @@ def test_duplicate_entity_any(spark):
     got = show(rules.duplicate_entity(e, "k", ["email", "phone", "city"], pairs_up_to=3))
     assert got == {(1, 2): ([city, mail], True), (1, 3): ([city], True), (1, 4): ([city], True), (2, 3): ([city, phone], False), (2, 6): ([phone], False), (3, 6): ([phone], False)}
     assert show(rules.duplicate_entity(e, "k", [("phone", "city")])) == {(2, 3): ([("phone+city", '{"phone":"22","city":"p"}')], False)}
+
+
+def test_shared_key(spark):
+    e = spark.createDataFrame([("A", "x@m", "1", "Zoe Young"), ("B", "x@m", "1", "Ann Smith"), ("C", "x@m", "2", "Ann Smith"), ("D", "y@m", "3", None), ("E", "y@m", None, "Bob Roy")], "entity_key string, email string, phone string, n string")
+    r = spark.createDataFrame([(1, "x@m", "3", "Ann Smyth"), (2, "x@m", None, "Zoe Young"), (3, "x@m", None, None), (4, "y@m", None, "Rob Roy"), (5, None, "1", "Smith Ann"), (6, None, "2", "Zoe Young"), (7, "z@m", "9", "Ann Smith"), (8, "y@m", None, "12")], "id int, email string, phone string, n string")
+    e, r = (df.withColumn("name", names.parse_person(F.col("n"))) for df in (e, r))
+    keys = [("email", "email"), ("phone", "phone")]
+    link = lambda **o: {x["rec_id"]: (x["entity_key"], x["method"]) for x in resolve.link_by_keys(r, "id", e, keys, **o).collect()}
+    assert link(names=("name", "name")) == {1: ("B", "email"), 2: ("A", "email"), 3: ("A", "email"), 4: ("E", "email"), 5: ("B", "phone"), 6: ("C", "phone"), 8: ("D", "email")}
+    assert link()[1] == ("A", "email")

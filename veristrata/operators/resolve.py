@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veristrata.functions.names import score_pairs
+
 
 def anchors(records: DataFrame, key: str, name: str, order: str) -> DataFrame:
     """One entity per key: (entity_key, name, n_records), the name of the first record."""
@@ -16,14 +18,35 @@ def duplicate_keys(records: DataFrame, *keys: str) -> DataFrame:
     return records.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def link_by_keys(records: DataFrame, rec_id: str, entities: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
-    """(rec_id, entity_key, method): the first key (record column, entity column) with a hit links; ties go to the smallest entity.
+def _by_name(records: DataFrame, entities: DataFrame, nicknames: dict[str, list[int]] | None) -> DataFrame:
+    """records (rec_id, _v, _a), entities (_v, entity_key, _b) -> (rec_id, entity_key): of the entities that share _v the one with the most similar name, then the smallest.
 
+    A record without a name gets the smallest. Distinct names of a value are scored, not rows.
+    """
+    heads = entities.groupBy("_v").agg(F.min("entity_key").alias("entity_key"), F.max("entity_key").alias("_last"))
+    shared = heads.filter("entity_key <> _last").select("_v")
+    named = records.filter("_a IS NOT NULL")
+    x = named.select("_v", "_a").join(shared, "_v", "left_semi").distinct()
+    y = entities.join(shared, "_v", "left_semi").groupBy("_v", "_b").agg(F.min("entity_key").alias("entity_key"))
+    meet = x.join(y, "_v")
+    scores = score_pairs(meet.select(F.col("_a").alias("a"), F.col("_b").alias("b")).filter("b IS NOT NULL").distinct(), nicknames=nicknames).select(F.col("a").alias("_a"), F.col("b").alias("_b"), "score")
+    rank = F.struct((-F.coalesce("score", F.lit(0.0))).alias("s"), "entity_key")
+    best = meet.join(scores, ["_a", "_b"], "left").groupBy("_v", "_a").agg(F.min(rank)["entity_key"].alias("_best"))
+    return records.join(heads, "_v").join(best, ["_v", "_a"], "left").select("rec_id", F.coalesce("_best", "entity_key").alias("entity_key"))
+
+
+def link_by_keys(records: DataFrame, rec_id: str, entities: DataFrame, keys: list[tuple[str, str]], names: tuple[str, str] | None = None, nicknames: dict[str, list[int]] | None = None) -> DataFrame:
+    """(rec_id, entity_key, method): the first key (record column, entity column) with a hit links.
+
+    names are the columns of the name structs (of records, of entities): of several entities with the
+    key's value the one with the most similar name links, ties go to the smallest, as without names.
     One equi join per key; the priority is settled by one pre-aggregated minimum.
     """
     hits = None
     for i, (r, e) in enumerate(keys):
-        k = records.select(F.col(rec_id).alias("rec_id"), F.col(r).alias("_v")).join(entities.select(F.col(e).alias("_v"), "entity_key"), "_v").select("rec_id", F.struct(F.lit(i).alias("p"), "entity_key").alias("h"))
+        x, y = records.select(F.col(rec_id).alias("rec_id"), F.col(r).alias("_v"), *([F.col(names[0]).alias("_a")] if names else [])), entities.select(F.col(e).alias("_v"), "entity_key", *([F.col(names[1]).alias("_b")] if names else []))
+        k = _by_name(x, y, nicknames) if names else x.join(y, "_v")
+        k = k.select("rec_id", F.struct(F.lit(i).alias("p"), "entity_key").alias("h"))
         hits = k if hits is None else hits.unionByName(k)
     best = hits.groupBy("rec_id").agg(F.min("h").alias("h"))
     method = F.element_at(F.array(*(F.lit(r) for r, _ in keys)), F.col("h.p") + 1)
