@@ -183,3 +183,17 @@ def test_shared_key(spark):
     link = lambda **o: {x["rec_id"]: (x["entity_key"], x["method"]) for x in resolve.link_by_keys(r, "id", e, keys, **o).collect()}
     assert link(names=("name", "name")) == {1: ("B", "email"), 2: ("A", "email"), 3: ("A", "email"), 4: ("E", "email"), 5: ("B", "phone"), 6: ("C", "phone"), 8: ("D", "email")}
     assert link()[1] == ("A", "email")
+
+
+def test_candidates_are_whole(spark):
+    people = ["Jon Smyth", "Jon Smith", "Smith Jon", "J Smith", "Bob Smith", "Rob Smits", "Robert Schmidt", "Ann Lee", "Anne Leigh", "Lee", "Anna-Maria Delacruz", "A Delacruzz", "Zed Quux", "Christopherjonathan Li", "C Li", "Katherine Oconnor", "Catherine Connor"]
+    orgs = ["Acme Widgets", "Widgets Acme Inc", "Acme Widget Works", "Smith Jon LLC", "Zeta"]
+    both = [(n, names.parse_person) for n in people] + [(n, names.parse_org) for n in orgs]
+    of = lambda f: spark.createDataFrame([(n,) for n, g in both if g is f], "n string").select("n", f(F.col("n")).alias("name"))
+    df = spark.createDataFrame(of(names.parse_person).unionByName(of(names.parse_org)).toArrow())
+    nick = names.nickname_groups(["robert rob bob"])
+    got = {(r["rec"], r["entity"]): (r["score"], r["how"]) for r in names.candidates(df, df, "n", "n", nick).collect()}
+    pairs = df.select(F.col("n").alias("rec"), F.col("name").alias("a")).crossJoin(df.select(F.col("n").alias("entity"), F.col("name").alias("b")))
+    want = {(r["rec"], r["entity"]): (r["score"], r["how"]) for r in names.score_pairs(pairs, nicknames=nick).filter("score >= 0.65").collect()}
+    assert got == want
+    assert got["Jon Smyth", "Jon Smith"][0] == 0.88 and got["Acme Widgets", "Widgets Acme Inc"][0] == 1.0

@@ -131,20 +131,46 @@ def score_pairs(pairs: DataFrame, a: str = "a", b: str = "b", nicknames: dict[st
     return known.filter("score IS NOT NULL").unionByName(orgs).unionByName(fuzzy).drop("_org")
 
 
-def candidates(records: DataFrame, entities: DataFrame, rec: str, entity: str, nicknames: dict[str, list[int]] | None = None) -> DataFrame:
-    """(rec, entity, a, b) of names (column name) that share a blocking key, each pair once.
+def _letters(c: Column) -> Column:
+    """The characters, the n-th copy of one as character and n: array_intersect then counts copies."""
+    chars = F.filter(F.split(c, ""), lambda v: v != "")
+    return F.transform(chars, lambda v, i: F.concat(v, F.size(F.filter(F.slice(chars, 1, i), lambda w: w == v)).cast("string")))
 
-    Keys: the family name, the two names in either order, and the family name's first four
-    letters with the given name's first letter. Distinct names are compared, not rows: copies of a name meet
-    the entities once and are joined back, so a frequent name costs no more than a rare one.
+
+def _bound(x: Column, y: Column) -> Column:
+    """At least ratio() of the texts that _letters() gave x and y: matching blocks hold no more than the characters that both have."""
+    n = F.size(x) + F.size(y)
+    return F.when(n > 0, 2.0 * F.size(F.array_intersect(x, y)) / n).otherwise(1.0)
+
+
+def candidates(records: DataFrame, entities: DataFrame, rec: str, entity: str, nicknames: dict[str, list[int]] | None = None, cut: float = 0.65) -> DataFrame:
+    """(rec, entity, a, b, score, how) of all names (column name) that score cut or more, each pair once.
+
+    The cheap rungs need the same family name or the two names swapped, which are blocking keys. For
+    the other rungs each pair of distinct names is compared natively by the characters they share, which
+    bound their score from above; only pairs that can reach the cut are scored. That is quadratic in
+    distinct names (not in rows: copies of a name meet the entities once and are joined back).
     """
 
+    def own(df: DataFrame) -> DataFrame:
+        return df.select("name").filter("name IS NOT NULL").distinct()
+
     def blocks(df: DataFrame, side: str) -> DataFrame:
         n = F.col("name")
-        keys = F.array(F.concat(F.lit("l|"), n["last"]), F.concat(F.lit("s|"), F.least(n["first"], n["last"]), F.lit("|"), F.greatest(n["first"], n["last"])), F.concat(F.lit("p|"), F.substring(n["last"], 1, 4), F.lit("|"), F.substring(n["first"], 1, 1)))
-        return df.select("name").filter("name IS NOT NULL").distinct().select(n.alias(side), F.explode(F.array_distinct(keys)).alias("block"))
+        keys = F.array(F.concat(F.lit("l|"), n["last"]), F.concat(F.lit("s|"), F.least(n["first"], n["last"]), F.lit("|"), F.greatest(n["first"], n["last"])))
+        return own(df).select(n.alias(side), F.explode(keys).alias("block"))
 
-    pairs = blocks(records, "a").join(blocks(entities, "b"), "block").select("a", "b").distinct()
-    scored = score_pairs(pairs, nicknames=nicknames)
+    def spelt(df: DataFrame, side: str) -> DataFrame:
+        n = F.col("name")
+        return own(df).select(n.alias(side), _letters(n["first"]).alias(f"f{side}"), _letters(n["last"]).alias(f"l{side}"), F.split(n["last"], " ").alias(f"w{side}"), _groups_of(n["first"], nicknames).alias(f"g{side}"))
+
+    keyed = blocks(records, "a").join(blocks(entities, "b"), "block").select("a", "b")
+    last = _bound(F.col("la"), F.col("lb"))
+    alike = (F.col("a")["first"] == F.col("b")["first"]) | F.arrays_overlap("ga", "gb")
+    people = 0.6 * last + 0.4 * F.when(alike, 1.0).otherwise(_bound(F.col("fa"), F.col("fb")))
+    orgs = F.greatest(last, F.size(F.array_intersect("wa", "wb")) / F.size(F.array_union("wa", "wb")))
+    most = F.when(F.col("a")["org"] | F.col("b")["org"], orgs).otherwise(people)
+    able = spelt(records, "a").crossJoin(spelt(entities, "b")).filter(most >= cut - 0.001)  # scores are rounded to 3 digits
+    scored = score_pairs(keyed.union(able.select("a", "b")).distinct(), nicknames=nicknames).filter(F.col("score") >= cut)
     r, e = records.select(F.col(rec).alias("rec"), F.col("name").alias("a")), entities.select(F.col(entity).alias("entity"), F.col("name").alias("b"))
     return r.join(scored, "a").join(e, "b").select("rec", "entity", "a", "b", "score", "how")

@@ -130,10 +130,8 @@ def top2_decision(spark, d):
 
 @query()
 def name_ladder(spark, d):
-    p = table(spark, d, "part").select("p_name").distinct().select(names.parse_person(F.col("p_name")).alias("n"))
-    a, b = p.select(F.col("n").alias("a"), F.col("n.last").alias("block")), p.select(F.col("n").alias("b"), F.col("n.last").alias("block"))
-    scored = names.score_pairs(a.join(b, "block").filter("a.display < b.display").select("a", "b"))
-    return scored.select(F.col("a.display").alias("a"), F.col("b.display").alias("b"), "score", "how")
+    p = table(spark, d, "part").select("p_name").distinct().select(names.parse_person(F.col("p_name")).alias("name")).withColumn("id", F.col("name.display"))
+    return names.candidates(p, p, "id", "id").filter("rec < entity").select(F.col("rec").alias("a"), F.col("entity").alias("b"), "score", "how")
 
 
 _RECONCILE = """WITH e AS (
