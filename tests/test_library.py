@@ -197,3 +197,18 @@ def test_candidates_are_whole(spark):
     want = {(r["rec"], r["entity"]): (r["score"], r["how"]) for r in names.score_pairs(pairs, nicknames=nick).filter("score >= 0.65").collect()}
     assert got == want
     assert got["Jon Smyth", "Jon Smith"][0] == 0.88 and got["Acme Widgets", "Widgets Acme Inc"][0] == 1.0
+
+
+def test_aggregate_compare_periods(spark):
+    day = lambda df, *cols: df.withColumns({c: F.col(c).cast("date") for c in cols})
+    p, q = ("2026-01-01", "2026-01-02"), ("2026-01-03", "2026-01-05")
+    a = [("E", *p, "x", 8.0), ("F", *p, "x", 8.0), ("G", *p, "x", 9.0), ("H", *p, None, 5.0), ("E", *q, "x", 99.0), ("J", *p, "x", 4.0), ("J", *p, "y", 0.0), ("Z", "2026-01-02", "2026-01-01", "x", 1.0)]
+    b = [("E", p[0], "x", 4.0), ("E", p[1], "x", 4.0), ("F", p[0], "y", 8.0), ("G", p[1], "x", 2.0), ("H", p[1], "x", 0.0), ("I", p[1], "x", 3.0), ("J", p[0], "x", 4.0), ("E", "2026-01-04", "x", 1.0), ("E", None, "x", 7.0)]
+    a = day(spark.createDataFrame(a, "entity_key string, start string, end string, grp string, amount double"), "start", "end")
+    b = day(spark.createDataFrame(b, "entity_key string, day string, grp string, amount double"), "day")
+    show = lambda df: sorted((r["entity_key"] or "", str(r["start"]), r["kind"], r["diff"]) for r in df.collect())
+    want = [("F", p[0], "group", 0.0), ("G", p[0], "both", 7.0), ("H", p[0], "only a", 5.0), ("I", p[0], "only b", -3.0)]
+    assert show(rules.aggregate_compare_periods(a, b, 0.5)) == want
+    assert show(rules.aggregate_compare_periods(a, b, 0.5, every_day=False, slack_days=1)) == [("E", q[0], "both", 98.0), *want]
+    assert show(rules.aggregate_compare_periods(a.filter(f"start = '{q[0]}'"), b, 0.5)) == [("", "None", "no overlap", None)]
+    assert show(rules.aggregate_compare_periods(a, b.limit(0), 0.5)) == []

@@ -94,7 +94,10 @@ def duplicate_entity(entities: DataFrame, key: str, match_on: list[str | tuple[s
 
 @rule
 def aggregate_compare(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame:
-    """a, b (entity_key, period, amount) -> totals per key and period that differ by more than the tolerance, either side alone included."""
+    """a, b (entity_key, period, amount) -> totals per key and period that differ by more than the tolerance, either side alone included.
+
+    For sums of one period each; aggregate_compare_periods compares periods with daily rows, and groups.
+    """
     sums = [x.groupBy("entity_key", "period").agg(F.sum("amount").alias(n)) for x, n in ((a, "a"), (b, "b"))]
     j = sums[0].join(sums[1], ["entity_key", "period"], "full")
     zero = F.lit(0).cast("decimal(18,2)")
@@ -109,3 +112,38 @@ def period_coverage(periods: DataFrame, days: DataFrame) -> DataFrame:
     want = periods.select("start", "end", F.explode(F.sequence("start", "end")).alias("day"))
     seen = days.select("day", F.lit(1).alias("seen")).distinct()
     return want.join(seen, "day", "left").groupBy("start", "end").agg(F.count(F.lit(1)).alias("n_days"), F.count("seen").alias("n_seen")).withColumn("covered", F.col("n_days") == F.col("n_seen"))
+
+
+@rule
+def aggregate_compare_periods(a: DataFrame, b: DataFrame, tolerance: float, every_day: bool = True, slack_days: int = 0) -> DataFrame:
+    """a (entity_key, start, end, grp, amount) against b (entity_key, day, grp, amount) -> entity_key, start, end, a, b, diff, kind, groups_a, groups_b.
+
+    Compared are the periods of a that b covers: b has each of their days, or (every_day false) they lie
+    within b's days give or take slack_days. Kinds: both, only a, only b (totals beyond the tolerance),
+    group (totals agree, the groups with an amount don't), no overlap (one row if no period is covered).
+    Days of b without an amount cover but don't count.
+    """
+    dates = b.filter("day IS NOT NULL")
+    periods = a.filter("end >= start").select("start", "end").distinct()
+    if every_day:
+        covered = period_coverage(periods, dates).filter("covered").select("start", "end")
+    else:
+        span = dates.agg(F.date_sub(F.min("day"), slack_days).alias("low"), F.date_add(F.max("day"), slack_days).alias("high"))
+        covered = periods.crossJoin(F.broadcast(span)).filter("low <= start AND end <= high").select("start", "end")
+    by = ["entity_key", "start", "end"]
+    own = {"a": a.join(covered, ["start", "end"]), "b": dates.filter("amount <> 0").join(covered.select("start", "end", F.explode(F.sequence("start", "end")).alias("day")), "day")}
+    total = {}
+    for n, x in own.items():
+        per = x.filter("entity_key IS NOT NULL").groupBy(*by, "grp").agg(F.sum(F.coalesce("amount", F.lit(0))).alias("amount"))
+        # a struct holds the null group, too
+        total[n] = per.groupBy(*by).agg(F.sum("amount").alias(n), F.array_sort(F.collect_set(F.when(F.col("amount") != 0, F.struct("grp")))).alias(f"groups_{n}"))
+    j = total["a"].join(total["b"], by, "full")
+    diff = F.coalesce("a", F.lit(0)) - F.coalesce("b", F.lit(0))
+    beyond = F.when(F.col("b").isNull(), "only a").when(F.col("a").isNull(), "only b").otherwise("both")
+    elsewhere = (F.size("groups_a") > 0) & (F.size("groups_b") > 0) & (F.col("groups_a") != F.col("groups_b"))
+    kind = F.when(F.abs(diff) > tolerance, beyond).when(elsewhere, "group")
+    groups = [F.col(f"groups_{n}.grp").alias(f"groups_{n}") for n in "ab"]
+    found = j.select(*by, "a", "b", diff.alias("diff"), kind.alias("kind"), *groups).filter("kind IS NOT NULL")
+    n = [x.agg(F.count(F.lit(1)).alias(c)) for x, c in ((a, "n_a"), (dates, "n_b"), (covered, "n_c"))]
+    none = n[0].crossJoin(n[1]).crossJoin(n[2]).filter("n_a > 0 AND n_b > 0 AND n_c = 0").select(F.lit("no overlap").alias("kind"))
+    return found.unionByName(none, allowMissingColumns=True)
