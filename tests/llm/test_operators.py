@@ -191,7 +191,7 @@ def test_forward_is_exact():
     norm = lambda a: a / a.sum(axis=-1, keepdims=True)
     c = hmm.Chain(norm(rng.random(3)), norm(rng.random((3, 3))), norm(rng.random((3, 5))))
     docs = [rng.integers(0, 5, n) for n in (4, 1, 6)]
-    for d, got in zip(docs, c.log10(docs)):
+    for d, got in zip(docs, c.log10(*hmm.flat(docs))):
         p = 0.0
         for path in np.ndindex(*[3] * len(d)):
             q = c.start[path[0]] * c.emit[path[0], d[0]]
@@ -199,8 +199,8 @@ def test_forward_is_exact():
                 q *= c.move[path[t - 1], path[t]] * c.emit[path[t], d[t]]
             p += q
         assert got == pytest.approx(log10(p))
-    start, move, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((3, 5))
-    c.expect(docs, start, move, emit)
+    start, move, emit = np.zeros(3), np.zeros((3, 3)), np.zeros((5, 3))
+    c.expect(*hmm.flat(docs), start, move, emit)
     assert start.sum() == pytest.approx(3) and move.sum() == pytest.approx(8) and emit.sum() == pytest.approx(11)
 
 
