@@ -46,15 +46,43 @@ def test_exact(docs, empty):
     assert exthash.exact_dedup(empty).count() == 0
 
 
+def test_exact_in_batches(docs):
+    """An index that grows batch by batch, with splits, holds what one batch gives; lookups go through its files."""
+    want = Counter(map(tuple, exthash.exact_dedup(docs, capacity=1).collect()))
+    first, second = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1 OR doc_id IS NULL")
+    one = exthash.build_index(first, capacity=1)
+    two = exthash.build_index(second, index=one, capacity=1)
+    assert Counter(map(tuple, exthash.exact_dedup(docs, index=two).collect())) == want
+    stored = two.filter(f"kind = {exthash.DIRECTORY}")
+    assert stored.agg(F.max("depth")).first()[0] > 0 or two.filter(f"kind = {exthash.ENTRY}").groupBy("owner").count().agg(F.max("count")).first()[0] == 1
+    assert exthash.exact_dedup(docs.filter("doc_id = 7"), index=one).count() == 0  # not in there
+    assert exthash.build_index(docs.limit(0)).count() == 0 and exthash.exact_dedup(first, index=exthash.build_index(docs.limit(0))).count() == 0
+
+
+def test_index_outgrows_its_owners(docs, monkeypatch):
+    want = Counter(map(tuple, exthash.exact_dedup(docs).collect()))
+    one = exthash.build_index(docs.filter("doc_id < 3"))
+    monkeypatch.setattr(exthash, "OWNER_BYTES", 50)
+    two = exthash.build_index(docs.filter("doc_id >= 3 OR doc_id IS NULL"), index=one)
+    assert two.agg(F.max("bits")).first()[0] > one.agg(F.max("bits")).first()[0]
+    assert Counter(map(tuple, exthash.exact_dedup(docs, index=two).collect())) == want
+
+
 def test_directory_splits_and_chains():
     d = exthash.Directory(2, 2)
-    keys = [k << 54 for k in range(40)] + [5 << 54] * 5
-    for k in keys:
-        d.add(k, ("x",))
-    found = [(n, depth, [e[0] for e in entries]) for n, depth, entries in d.buckets()]
-    assert sorted(k for _, _, ks in found for k in ks) == sorted(keys)
-    assert all(d._at(k, depth) == n for n, depth, ks in found for k in ks)
-    assert all(len(ks) <= 2 or 5 << 54 in ks for _, _, ks in found) and d.depth > 3
+    keys = [(k << 54, b"%d" % k) for k in range(40)] + [(5 << 54, b"other %d" % i) for i in range(5)]
+    for k, t in keys:
+        assert d.find(k, t) is None
+        d.add(k, [t])
+    assert all(d.find(k, t) == [t] for k, t in keys) and d.find(5 << 54, b"7") is None and d.depth > 3
+    found = [(n, b) for n, b in d.buckets()]
+    assert sorted((k, e[0]) for _, b in found for k, c in b.chains.items() for e in c) == sorted(keys)
+    assert all(d._bits(k, b.depth) == n for n, b in found for k in b.chains)
+    assert all(b.size <= 2 or 5 << 54 in b.chains for _, b in found)
+    again = exthash.Directory.restore(2, 2, [(n, b.depth) for n, b in found])
+    assert [(n, b.depth) for n, b in again.buckets()] == [(n, b.depth) for n, b in found]
+    with pytest.raises(ValueError):
+        exthash.Directory.restore(2, 2, [(n, b.depth) for n, b in found][1:])
 
 
 def brute_near(rows):

@@ -1,14 +1,16 @@
 """Exact dedup by an extendible-hash index on shared files.
 
-Every distinct text has one entry in the index. A text's 64-bit key picks its bucket by its
-leading bits. Owner tasks each hold one range of keys: an owner's directory starts with one
-bucket; a bucket over capacity is split, and the directory doubles when the bucket was as deep
-as the directory. Keys that collide are chained and told apart by comparing bytes, and so is a
-bucket that no number of bits can split. The index is a Parquet table in the shared folder.
+Every distinct text has one entry in the index. A text's 64-bit key names its owner by its
+leading bits; an owner's directory leads from the bits below to a bucket. A bucket over
+capacity is split, and the directory doubles when the bucket was as deep as the directory.
+Entries of one key are chained and told apart by comparing bytes; a chain may outgrow its
+bucket, as no bit can split it. Directory and buckets of all owners are files (Parquet) in the
+shared folder: insert() reads them, adds texts and writes the next version; lookup() finds
+texts through them.
 
 Copies are pre-aggregated by bytes on the map side, so a text that a third of all rows hold
-reaches its owner as one row a batch. Owners see their keys in order and keep the texts of
-one key at a time in memory.
+reaches its owner as one row a batch, with the documents' ids left behind. An owner task keeps
+one owner's texts in memory; the number of owners follows the bytes (OWNER_BYTES each).
 """
 
 from __future__ import annotations
@@ -16,64 +18,104 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veristrata.llm.common import slices, stage
 
 #: White space that doesn't count when texts are compared.
-BLANKS = " \t\n\x0b\x0c\r"
+BLANKS = b" \t\n\x0b\x0c\r"
 #: Entries of a bucket before it is split.
 CAPACITY = 256
+#: Bytes of text an owner holds, about; a single longer text is held whole.
+OWNER_BYTES = 16 << 20
 _NO_ID = 2**63 - 1  # stands for a null doc_id in comparisons: any other id comes before it
 
-ENTRY = "owner long, bucket long, depth int, slot int, key long, text_sha256 string, keep_chars long, keep_id long, group_size long"
+DIRECTORY, ENTRY, ADDRESS, ARRIVAL = range(4)
+#: kind DIRECTORY: bucket, depth. ENTRY: a text of a bucket. ADDRESS: the entry of an arrival (null: none).
+RECORD = [
+    ("kind", pa.int32()), ("bits", pa.int32()), ("owner", pa.int64()), ("bucket", pa.int64()), ("depth", pa.int32()), ("entry", pa.int64()), ("at", pa.int64()),
+    ("key", pa.int64()), ("text_sha256", pa.string()), ("keep_chars", pa.int64()), ("keep_id", pa.int64()), ("copies", pa.int64()), ("text", pa.binary()),
+]
+_SQL = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+_SCHEMA = ", ".join(f"{n} {_SQL[t]}" for n, t in RECORD)
 
 
-class Directory:
-    """Extendible hashing over the key bits below an owner's range.
+class Bucket:
+    """Entries whose keys agree in `depth` bits: key -> chain of entries."""
 
-    slots[i] is the bucket of the keys whose next `depth` bits are i; a bucket is
-    [local depth, entries].
-    """
+    def __init__(self, depth: int):
+        self.depth, self.size, self.chains = depth, 0, {}
+
+    def add(self, key: int, entry: list) -> None:
+        self.chains.setdefault(key, []).append(entry)
+        self.size += 1
 
-    def __init__(self, skip: int, capacity: int):
-        self.skip, self.capacity, self.depth = skip, capacity, 0
-        self.slots: list[list] = [[0, []]]
 
-    def _at(self, key: int, bits: int) -> int:
-        return ((key << self.skip) & (2**64 - 1)) >> (64 - bits) if bits else 0
+class Directory:
+    """Extendible hashing over the key bits below an owner's: slots[i] is the bucket of the keys whose next `depth` bits are i."""
 
-    def add(self, key: int, entry: tuple) -> None:
+    def __init__(self, skip: int, capacity: int):
+        self.skip, self.capacity, self.depth = skip, capacity, 0
+        self.slots = [Bucket(0)]
+
+    @classmethod
+    def restore(cls, skip: int, capacity: int, buckets: list[tuple[int, int]]) -> Directory:
+        """A stored directory from the (number, depth) of its buckets."""
+        own = cls(skip, capacity)
+        own.depth = max(d for _, d in buckets)
+        own.slots = [None] * (1 << own.depth)
+        for number, depth in buckets:
+            span, made = 1 << (own.depth - depth), Bucket(depth)
+            own.slots[number * span : (number + 1) * span] = [made] * span
+        if None in own.slots or len(own.slots) != 1 << own.depth:
+            raise ValueError("a stored directory lacks buckets")
+        return own
+
+    def _bits(self, key: int, n: int) -> int:
+        return ((key << self.skip) & (2**64 - 1)) >> (64 - n) if n else 0
+
+    def bucket(self, key: int) -> Bucket:
+        return self.slots[self._bits(key, self.depth)]
+
+    def find(self, key: int, text: bytes) -> list | None:
+        """The entry with these bytes."""
+        for entry in self.bucket(key).chains.get(key, ()):
+            if entry[-1] == text:
+                return entry
+        return None
+
+    def add(self, key: int, entry: list) -> None:
         while True:
-            bucket = self.slots[self._at(key, self.depth)]
-            chained = all(e[0] == key for e in bucket[1])  # overflow chain: no bit tells these apart
-            if len(bucket[1]) < self.capacity or chained or self.skip + bucket[0] >= 64:
-                bucket[1].append((key, *entry))
+            own = self.bucket(key)
+            if own.size < self.capacity or own.chains.keys() <= {key} or self.skip + own.depth >= 64:
+                own.add(key, entry)
                 return
-            self._split(bucket, self._at(key, self.depth))
+            self._split(own, self._bits(key, self.depth))
 
-    def _split(self, bucket: list, at: int) -> None:
-        if bucket[0] == self.depth:
+    def _split(self, own: Bucket, at: int) -> None:
+        if own.depth == self.depth:
             self.slots = [b for b in self.slots for _ in (0, 1)]
             self.depth += 1
             at *= 2
-        bits = bucket[0] + 1
-        halves = [[bits, []], [bits, []]]
-        for e in bucket[1]:
-            halves[self._at(e[0], bits) & 1][1].append(e)
-        span = 1 << (self.depth - bucket[0])
+        halves = Bucket(own.depth + 1), Bucket(own.depth + 1)
+        for key, chain in own.chains.items():
+            for entry in chain:
+                halves[self._bits(key, own.depth + 1) & 1].add(key, entry)
+        span = 1 << (self.depth - own.depth)
         first = at - at % span
         for i in range(span):
             self.slots[first + i] = halves[i >= span // 2]
 
     def buckets(self):
-        """(number, local depth, entries), each bucket once."""
+        """(number, bucket), each bucket once."""
         i = 0
         while i < len(self.slots):
-            depth, entries = self.slots[i]
-            yield i >> (self.depth - depth), depth, entries
-            i += 1 << (self.depth - depth)
+            own = self.slots[i]
+            yield i >> (self.depth - own.depth), own
+            i += 1 << (self.depth - own.depth)
 
 
 def _better(a: tuple, b: tuple) -> tuple:
@@ -81,104 +123,153 @@ def _better(a: tuple, b: tuple) -> tuple:
     return a if (-a[0], a[1]) <= (-b[0], b[1]) else b
 
 
-def _combine(batches):
-    """Copies within a batch become one row: (key, text, chars, doc_id, copies)."""
-    for batch in batches:
-        for part in slices(batch, "text", 16 << 20):
-            found: dict[str, list] = {}
-            for key, text, chars, doc in zip(*(part.column(i).to_pylist() for i in range(4))):
-                mine = (chars, _NO_ID if doc is None else doc)
-                if (f := found.get(text)) is None:
-                    found[text] = [key, mine, 1]
-                else:
-                    f[1], f[2] = _better(f[1], mine), f[2] + 1
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([f[0] for f in found.values()], pa.int64()),
-                    pa.array(list(found), pa.string()),
-                    pa.array([f[1][0] for f in found.values()], pa.int64()),
-                    pa.array([f[1][1] for f in found.values()], pa.int64()),
-                    pa.array([f[2] for f in found.values()], pa.int64()),
-                ],
-                ["key", "text", "chars", "doc_id", "copies"],
-            )
-
-
-def _owner(bits: int, capacity: int):
-    """The owner task: rows come ordered by owner and key."""
-
-    def rows(owner: int, directory: Directory):
-        for number, depth, entries in directory.buckets():
-            for slot, (key, sha, chars, doc, copies) in enumerate(entries):
-                signed = key - 2**64 if key >= 2**63 else key
-                yield owner, number, depth, slot, signed, sha, chars, None if doc == _NO_ID else doc, copies
-
-    def pack(found: list[tuple]):
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        names = [x.split()[0] for x in ENTRY.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names)
-
-    def close(chain: list[list], key: int, directory: Directory) -> None:
-        digests = set()
-        for text, best, copies in chain:
-            sha = hashlib.sha256(text.encode()).hexdigest()
-            if sha in digests:
-                raise ValueError(f"two texts of different bytes share the SHA-256 {sha}")
-            digests.add(sha)
-            directory.add(key, (sha, *best, copies))
+def _signed(key: int) -> int:
+    return key - 2**64 if key >= 2**63 else key
+
+
+def arrivals(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Each batch's distinct normalised texts: at (its number), key, text, keep_chars, keep_id, copies, bytes, ids of its documents."""
 
     def run(batches):
-        owner, key, chain, directory = None, None, [], None
+        at = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in slices(batch, "text", 16 << 20):
-                for own, k, text, chars, doc, copies in zip(*(part.column(i).to_pylist() for i in range(6))):
-                    k %= 2**64
-                    if k != key or own != owner:
-                        if chain:
-                            close(chain, key, directory)
-                        chain, key = [], k
-                        if own != owner:
-                            if directory is not None and (found := list(rows(owner, directory))):
-                                yield pack(found)
-                            owner, directory = own, Directory(bits, capacity)
-                    for link in chain:
-                        if link[0] == text:  # the bytes themselves
-                            link[1], link[2] = _better(link[1], (chars, doc)), link[2] + copies
-                            break
+                found: dict[bytes, list] = {}
+                for doc, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    raw = raw or b""
+                    text, mine = raw.translate(None, BLANKS), (len(raw.decode()), _NO_ID if doc is None else doc)
+                    if (f := found.get(text)) is None:
+                        found[text] = [mine, [doc]]
                     else:
-                        chain.append([text, (chars, doc), copies])
-        if directory is not None:
-            close(chain, key, directory)
-            if found := list(rows(owner, directory)):
-                yield pack(found)
+                        f[0] = _better(f[0], mine)
+                        f[1].append(doc)
+                texts, own = list(found), list(found.values())
+                cols = [range(at, at + len(own)), [_signed(xxhash.xxh3_64_intdigest(t)) for t in texts], texts, [f[0][0] for f in own], [f[0][1] for f in own], [len(f[1]) for f in own], [len(t) for t in texts], [f[1] for f in own]]
+                types = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["at", "key", "text", "keep_chars", "keep_id", "copies", "bytes", "ids"])
+                at += len(own)
+
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    return stage(own.mapInArrow(run, "at long, key long, text binary, keep_chars long, keep_id long, copies long, bytes long, ids array<long>"), "arrivals")
+
+
+def _owner(bits: int, capacity: int, write: bool):
+    """The owner task. Rows come ordered by owner and kind: its directory, its entries, what arrives."""
+
+    def pack(rows: list[tuple]):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), RECORD)], [n for n, _ in RECORD])
+
+    def closed(owner: int, directory: Directory):
+        for number, b in directory.buckets():
+            yield DIRECTORY, bits, owner, number, b.depth, None, None, None, None, None, None, None, None
+            for key, chain in b.chains.items():
+                for entry, sha, best, copies, text in chain:
+                    yield ENTRY, bits, owner, number, None, entry, None, _signed(key), sha, best[0], best[1], copies, text
+
+    def flush(owner: int, directory: Directory):
+        rows, size = [], 0
+        for r in closed(owner, directory) if write else ():
+            rows.append(r)
+            size += len(r[-1] or b"") + 64
+            if size > 16 << 20:
+                yield pack(rows)
+                rows, size = [], 0
+        if rows:
+            yield pack(rows)
+
+    def run(batches):
+        owner, directory, stored, made = None, None, [], 0
+        names = ["owner", "kind", "bucket", "depth", "entry", "at", "key", "text_sha256", "keep_chars", "keep_id", "copies", "text"]
+        for batch in batches:
+            for part in slices(batch, "text", 8 << 20):
+                out = []
+                for own, kind, bucket, depth, entry, at, key, sha, chars, doc, copies, text in zip(*(part.column(part.schema.get_field_index(n)).to_pylist() for n in names)):
+                    if own != owner:
+                        if owner is not None:
+                            yield from flush(owner, directory or Directory(bits, capacity))
+                        owner, directory, stored, made = own, None, [], 0
+                    if kind == DIRECTORY:
+                        stored.append((bucket, depth))
+                        continue
+                    if directory is None:
+                        directory = Directory.restore(bits, capacity, stored) if stored else Directory(bits, capacity)
+                    key %= 2**64
+                    if kind == ENTRY:
+                        if stored:
+                            directory.bucket(key).add(key, [entry, sha, (chars, doc), copies, text])
+                            made = max(made, entry + 1)
+                        else:  # the owners' ranges have changed since it was stored
+                            directory.add(key, [made, sha, (chars, doc), copies, text])
+                            made += 1
+                        continue
+                    record = directory.find(key, text)
+                    if write and record is None:
+                        record, made = [made, hashlib.sha256(text).hexdigest(), (chars, doc), copies, text], made + 1
+                        directory.add(key, record)
+                    elif write:
+                        record[2], record[3] = _better(record[2], (chars, doc)), record[3] + copies
+                    out.append((ADDRESS, bits, owner, None, None, record and record[0], at, None, None, None, None, None, None))
+                if out:
+                    yield pack(out)
+        if owner is not None:
+            yield from flush(owner, directory or Directory(bits, capacity))
 
     return run
 
 
-def _keyed(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    norm = F.translate(text, BLANKS, "")
-    return docs.select(
-        F.xxhash64(norm).alias("key"), norm.alias("text"), F.char_length(text).cast("long").alias("chars"), F.col(id_col).cast("long").alias("doc_id")
-    )
+def _through(index: DataFrame | None, arrived: DataFrame, bits: int, capacity: int, write: bool) -> DataFrame:
+    """Send the index's files and the arrivals to their owners."""
+    owner = lambda: F.shiftrightunsigned("key", 64 - bits).alias("owner")
+    null = lambda n, t: F.lit(None).cast(t).alias(n)
+    rest = ["key", "text_sha256", "keep_chars", "keep_id", "copies", "text"]
+    rows = arrived.select(owner(), F.lit(ARRIVAL).alias("kind"), null("bucket", "long"), null("depth", "int"), null("entry", "long"), "at", "key", null("text_sha256", "string"), *rest[2:])
+    if index is not None:
+        same = index.filter(f"bits = {bits} AND kind = {DIRECTORY}").select("owner", "kind", "bucket", "depth", "entry", "at", *rest)
+        kept = index.filter(f"kind = {ENTRY}").select(owner(), "kind", "bucket", "depth", F.when(F.col("bits") == bits, F.col("entry")).alias("entry"), "at", *rest)
+        rows = rows.union(same).union(kept)
+    parts = max(int(arrived.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << bits, 1 << 20))
+    dealt = rows.repartitionById(parts, F.pmod("owner", F.lit(parts)).cast("int")).sortWithinPartitions("owner", "kind")
+    return stage(dealt.mapInArrow(_owner(bits, capacity, write), _SCHEMA), "index" if write else "addresses")
+
+
+def _bits(spark, size: int) -> int:
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(parts - 1, size // OWNER_BYTES, 1).bit_length()
 
 
-def build_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, rows_per_owner: int = 100_000) -> DataFrame:
-    """The index: one row per distinct normalised text, with its bucket, kept document and size.
+def insert(arrived: DataFrame, index: DataFrame | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """The next version of the index (none: an empty one) with the arrivals' texts, and the arrivals' addresses in it.
 
-    The number of owners is a power of two that follows the number of rows, so that an
-    owner's directory stays bounded. Written to the shared folder.
+    Owners' ranges are halved, and their directories built anew, once the index has outgrown them.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = max(parts - 1, docs.count() // rows_per_owner, 1).bit_length()
-    combined = _keyed(docs, text_col, id_col).mapInArrow(_combine, "key long, text string, chars long, doc_id long, copies long")
-    owned = combined.select(F.shiftrightunsigned("key", 64 - bits).alias("owner"), "key", "text", "chars", "doc_id", "copies")
-    owned = owned.repartition(max(parts, 1 << bits), "owner").sortWithinPartitions("owner", "key")
-    return stage(owned.mapInArrow(_owner(bits, capacity), ENTRY), "index")
+    size = arrived.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    bits = _bits(arrived.sparkSession, size)
+    if index is not None:
+        index = index.filter(f"kind <> {ADDRESS}")
+        old = index.agg(F.max("bits"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        if old[0] is not None:
+            bits = old[0] if old[1] + size <= 4 * OWNER_BYTES << old[0] else max(old[0], _bits(arrived.sparkSession, size + old[1]))
+    return _through(index, arrived, bits, capacity, True)
+
 
+def lookup(arrived: DataFrame, index: DataFrame) -> DataFrame:
+    """at, keep_id, group_size, text_sha256 of the arrivals whose texts the index holds."""
+    bits = index.filter(f"kind = {ENTRY}").agg(F.max("bits")).first()[0]
+    found = _through(index, arrived, bits or 1, CAPACITY, False)
+    return _found(found, index)
 
-def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", index: DataFrame | None = None) -> DataFrame:
+
+def _found(addresses: DataFrame, index: DataFrame) -> DataFrame:
+    entries = index.filter(f"kind = {ENTRY}").select("owner", "entry", "keep_id", F.col("copies").alias("group_size"), "text_sha256")
+    return addresses.filter(f"kind = {ADDRESS} AND entry IS NOT NULL").select("owner", "entry", "at").join(entries, ["owner", "entry"]).drop("owner", "entry")
+
+
+def build_index(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", index: DataFrame | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """The index of all texts of docs, added to those of an index that is there already."""
+    return insert(arrivals(docs, text_col, id_col), index, capacity)
+
+
+def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", index: DataFrame | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after deleting every blank (space, \\t, \\n, \\v, \\f, \\r).
@@ -186,10 +277,16 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     Null and blank texts are all equal to the empty one. A null doc_id comes after all others
     and is kept only if its group has no other; rows that repeat the kept doc_id all count
     as kept; an empty table gives an empty result. Other columns of docs don't matter.
+
+    With an index, docs are looked up in it and not added; a document whose text isn't in it
+    has no row.
     """
-    index = build_index(docs, text_col, id_col) if index is None else index
-    marks = _keyed(docs, text_col, id_col).select("doc_id", "key", F.sha2("text", 256).alias("text_sha256"))
-    found = index.select("key", "text_sha256", "keep_id", "group_size")
-    return marks.join(found, ["key", "text_sha256"]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    arrived = arrivals(docs, text_col, id_col)
+    if index is None:
+        made = insert(arrived, None, capacity)
+        found = _found(made, made)
+    else:
+        found = lookup(arrived, index)
+    keep = F.when(F.col("keep_id") != _NO_ID, F.col("keep_id"))
+    rows = arrived.select("at", "ids").join(found, "at").select(F.explode("ids").alias("doc_id"), keep.alias("keep_id"), "group_size", "text_sha256")
+    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
