@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veristrata.llm import cotrain, encoding, exthash, histogram, hmm, itq, linedup, minhash, mixing, packing, warc
-from veristrata.llm.common import words
+from veristrata.llm.common import row_keys, words
 
 BASE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
 TEXTS = [
@@ -254,26 +254,39 @@ def test_hmm(spark, docs, empty, monkeypatch):
     assert hmm.score_documents(empty).count() == 0
 
 
-def test_lines(docs, empty):
-    lines = []
-    for d, t, _ in {(d, t, 0): 0 for d, t, _ in TEXTS}:
-        for i, line in enumerate((t or "").split("\n")):
-            lines.append(((d is None, d or 0, i), d, i, tuple(words(line))))
-    def alike(a, b):
-        if a == b:
-            return True
-        if min(len(a), len(b)) < 5 or abs(len(a) - len(b)) > 1:
-            return False
-        long, short = (a, b) if len(a) >= len(b) else (b, a)
-        if len(long) > 1000:
-            return False
-        return any(long[:i] + long[i + 1 :] in (short, short[:i] + short[i + 1 :]) for i in range(len(long)))
-    want = {(d, i) for o, d, i, w in lines if w and any(p < o and alike(w, v) for p, _, _, v in lines if v)}
-    got = {(r["doc_id"], i) for r in linedup.line_dedup(docs).collect() for i in r["removed"]}
-    assert got == want and len(want) > 3
-    assert linedup.line_dedup(empty).count() == 0
-    cut = linedup.without_lines(docs, linedup.line_dedup(docs)).filter("doc_id = 10").first()
-    assert cut["text"] == "\n" and cut["key"] == "clash"
+def one_word_edit(a, b):
+    head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    tail = next((i for i, (x, y) in enumerate(zip(a[head:][::-1], b[head:][::-1])) if x != y), min(len(a), len(b)) - head)
+    return max(len(a), len(b)) - head - tail <= 1
+
+
+@pytest.mark.parametrize("least", [5, 2])
+def test_lines(spark, empty, least):
+    long = [f"w{i}" for i in range(3000)]
+    texts = [*TEXTS, (20, " ".join(long), "a"), (21, " ".join(long[:1500] + long[1501:]), "a"), (22, " ".join(["x", *long]), "b"), (23, " ".join(["x", "y", *long]), "b")]
+    texts += [(None, "found once\nshared line with five words", "a"), (None, "found once too\nown line", "b"), (5, "b c d\na b", "a"), (5, "z\nlast of all words here", "b")]
+    docs = spark.createDataFrame([(*t, "clash", 1, "clash", 2) for t in texts], SCHEMA)
+    rows = row_keys(docs.select("doc_id", "text")).orderBy("_key").collect()
+    keys = [(r["doc_id"] is None, r["doc_id"] or 0) for r in rows]
+    assert keys == sorted(keys) and len({r["_key"] for r in rows}) == len(texts)
+    seen, want = [], Counter()
+    alike = lambda a, b: a == b or min(len(a), len(b)) >= least and one_word_edit(a, b)
+    for r in rows:
+        gone = []
+        for i, line in enumerate((r["text"] or "").split("\n")):
+            w = tuple(words(line))
+            if w and any(alike(w, v) for v in seen):
+                gone.append(i)
+            seen += [w] if w else []
+        want[(r["doc_id"], (r["text"] or "").count("\n") + 1, len(gone), tuple(gone))] += 1
+    got = Counter((r[0], r[1], r[2], tuple(r[3])) for r in linedup.line_dedup(docs, min_words=least).collect())
+    assert got == want and sum(r[2] for r in want) > 3
+    if least == 5:
+        assert linedup.line_dedup(empty).count() == 0
+        cut = linedup.without_lines(docs).filter("doc_id = 10").collect()
+        assert all(r["text"] == "\n" and r["key"] == "clash" for r in cut) and len(cut) == 2
+    with pytest.raises(ValueError):
+        linedup.line_dedup(docs, min_words=1)
 
 
 def test_mix(spark, docs, empty):
@@ -359,33 +372,55 @@ def test_pipeline(spark):
     assert sizes[0] > sizes[1] > sizes[2]
 
 
-def test_pipeline_without_ids(spark, tmp_path):
-    """A third of the rows has no doc_id: unique texts stay, copies go, ids stay null, kept rows are packed."""
+def test_pipeline_odd_rows(spark, tmp_path):
+    """Null and repeated ids, extra columns: each row on its own, run() against brute force."""
     import corpus_pipeline
 
     rng = np.random.default_rng(3)
     text = lambda: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(40))
     own, loose = [text() for _ in range(8)], [text() for _ in range(4)]
     rows = [(i, t) for i, t in enumerate(own)] + [(None, t) for t in loose] + [(None, loose[0]), (None, loose[0]), (None, own[0])]
-    rows += [(None, loose[1] + " more"), (None, own[1] + " more"), (None, None), (None, " ")]
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
-    docs = spark.createDataFrame([(d, t, "en", "web", len(t or "")) for d, t in rows], schema)
-    ids = lambda df: sorted((-1 if r[0] is None else r[0], r[1].removesuffix(" more").strip() if r[1] else "") for r in df.select("doc_id", "text").collect())
+    rows += [(None, loose[1] + " more"), (None, own[1] + " more"), (None, None), (None, " "), (2, own[2]), (3, text()), (3, own[7] + " more")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _part string, key int"
+    docs = spark.createDataFrame([(d, t, "en", "web", len(t or ""), "x", 1) for d, t in rows], schema)
+    ids = lambda df: sorted((-1 if r[0] is None else r[0], r[1] or "") for r in df.select("doc_id", "text").collect())
+    keyed = sorted(((r["_key"], -1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in row_keys(docs).collect()))
+    assert len({k for k, _, _ in keyed}) == len(rows)
+    # exact: of equal texts the longest original, then the first row stays
+    groups = {}
+    for k, d, t in keyed:
+        groups.setdefault("".join(t.split()), []).append((-len(t), k, d, t))
+    want = sorted((d, t) for _, _, d, t in map(min, groups.values()))
     got = spark.createDataFrame(corpus_pipeline.exact(spark, docs, "").toArrow())
-    want = [*enumerate(own), *((-1, t) for t in loose), (-1, loose[1]), (-1, own[1]), (-1, "")]
-    assert got.columns == docs.columns and ids(got) == sorted(want)
+    assert got.columns == docs.columns and ids(got) == want and len(want) == 17
+    # near: the first row of each group stays
+    keyed = [(r["_key"], -1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in row_keys(got).collect()]
+    label = brute_near([(k, t, 0) for k, _, t in keyed])
+    want = sorted((d, t or "") for k, d, t in keyed if label[k][1] == k)
     got = spark.createDataFrame(corpus_pipeline.near(spark, got, "").toArrow())
-    want = [*enumerate(own), *((-1, t) for t in loose), (-1, "")]
-    assert got.columns == docs.columns and ids(got) == sorted(want)
-    mixed = corpus_pipeline.mixture(spark, got, "")
+    assert got.columns == docs.columns and ids(got) == want and len(want) == 14
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    mixed = corpus_pipeline.mixture(spark, got, f"{tmp_path}/none")
     assert mixed.columns == docs.columns
     copies = Counter(ids(mixed))
-    assert set(copies.values()) <= {1, 2} and set(copies) == set(want) and sum(n for (_, t), n in copies.items() if t) in (17, 18, 19)
-    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert set(copies.values()) <= {1, 2} and set(copies) == set(want) and sum(n for (_, t), n in copies.items() if t.strip()) in (19, 20)
     assert ids(corpus_pipeline.quality(spark, docs, f"{tmp_path}/none")) == ids(docs)
-    bad = text()
-    labelled = [(100 + i, bad if i % 2 else text(), i % 2) for i in range(60)]
-    spark.createDataFrame([(i, 1 - b) for i, _, b in labelled], "doc_id long, quality int").write.parquet(f"{tmp_path}/two/labels.parquet")
-    more = docs.unionByName(spark.createDataFrame([(d, "!!! $$ 1 2 3" if b else t, "en", "web", 12 if b else len(t)) for d, t, b in [*labelled, (None, bad, 1)]], schema))
-    left = ids(corpus_pipeline.quality(spark, more, f"{tmp_path}/two"))
-    assert (-1, "!!! $$ 1 2 3") not in left and {(-1, t) for t in loose} <= set(left)
+    docs.write.parquet(f"{tmp_path}/none/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/none").collect()
+    assert Counter(-1 if r["doc_id"] is None else r["doc_id"] for r in out) == Counter(d for (d, _), n in copies.items() for _ in range(n))
+    docs.limit(0).write.parquet(f"{tmp_path}/empty/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/empty/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/empty").count() == 0
+
+
+def test_pipeline_rejects(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = np.random.default_rng(4)
+    text = lambda: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(40))
+    loose = [text() for _ in range(4)]
+    rows = [(100 + i, "!!! $$ 1 2 3" if i % 2 else text()) for i in range(80)] + [(None, t) for t in loose] + [(None, "!!! $$ 1 2 3")]
+    docs = spark.createDataFrame([(d, t, "en", "web", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(100 + i, 1 - i % 2) for i in range(80)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = {(r["doc_id"], r["text"]) for r in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
+    assert (None, "!!! $$ 1 2 3") not in left and {(None, t) for t in loose} <= left

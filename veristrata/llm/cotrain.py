@@ -207,8 +207,9 @@ def score(docs: DataFrame, model: CoTrained, text_col: str = "text", id_col: str
     """doc_id, p_text, p_meta, score, kept of every row of docs.
 
     Null text is scored as the empty text, null metadata as a value of its own; a null doc_id
-    and repeated rows are scored like any other. Without labels of both kinds every
-    document gets the labels' mean (1.0 without labels).
+    and repeated rows are scored like any other; other columns of docs don't matter. Without
+    labels of both kinds every document gets the labels' mean (1.0 without labels). An empty
+    table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -1,8 +1,9 @@
 """Line dedup by a deletion-neighbourhood join, in DataFrame operations only.
 
-The unit of an edit is a word: two lines are alike when one word inserted, deleted or
-substituted makes them equal, blanks and the case of A-Z aside. Lines with fewer than
-MIN_WORDS words are alike only when equal.
+The unit of an edit is a word and the bound is one edit: two lines are alike when one word
+inserted, deleted or substituted makes them equal, blanks and the case of A-Z aside. Lines
+with fewer than min_words words are alike only when equal (one word of five is the most that
+may differ by default; with two, any two lines of one word in common would be alike).
 
 Every distinct line emits its variants, that is itself and itself without its i-th word, as
 hashed keys. Lines that share the variant and i are one substitution apart; a whole line that
@@ -22,14 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import stage
+from veristrata.llm.common import row_keys, stage
 
 MIN_WORDS = 5
 #: Blocks of a line: a variant of block q is emitted only if another line agrees in all other blocks.
 BLOCKS = 4
 #: Digests of lines that are broadcast at most; more are joined by key.
 BROADCAST_LINES = 1_000_000
-_NULL_ID = str(2**63)  # orders lines of a null doc_id after all others
 
 
 def normal(df: DataFrame, line: str) -> DataFrame:
@@ -49,11 +49,12 @@ def normal(df: DataFrame, line: str) -> DataFrame:
     return df.withColumn("_one", one).withColumn("norm", F.when(plain, F.lower("_one")).otherwise(other)).drop("_one", line)
 
 
-def _lines(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
-    """doc_id, line_no (from 0), line of every line that isn't blank."""
+def _lines(docs: DataFrame, text_col: str) -> DataFrame:
+    """_key, n_lines, line_no (from 0), line of every line that isn't blank, and of every first line."""
     # outer, as for an inner explode the optimiser adds filters that split the text again
-    split = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode_outer(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("line_no", "line"))
-    return split.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    split = docs.select("_key", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("all"))
+    split = split.select("_key", F.size("all").alias("n_lines"), F.posexplode_outer("all").alias("line_no", "line"))
+    return split.filter((F.col("line_no") == 0) | F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
 def _n_words(norm: str) -> Column:
@@ -66,9 +67,8 @@ def _edge(norm: str, count: Column) -> Column:
 
 
 def _order() -> Column:
-    """Documents by id (null last), then lines: one number, so that min() can be pre-aggregated in place."""
-    own = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(_NULL_ID).cast("decimal(20,0)"))
-    return (own * F.lit(2**31).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(38,0)")
+    """Documents by key, then lines: one number, so that min() can be pre-aggregated in place."""
+    return (F.col("_key").cast("decimal(20,0)") * F.lit(2**31).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(38,0)")
 
 
 def _ends() -> Column:
@@ -108,34 +108,35 @@ def _one_edit(a: str, b: str) -> Column:
     return (at == 0) | F.when(F.size(long) == F.size(short), tail == F.slice(short, at + 1, rest)).when(F.size(long) == F.size(short) + 1, tail == F.slice(short, at, rest)).otherwise(False)
 
 
-def repeated_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, line_no) of every line that an earlier one equals or is one word edit away from.
+def repeated_lines(keyed: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS) -> tuple[DataFrame, DataFrame]:
+    """(_key, line_no) of every line that an earlier one equals or is one word edit away from, and (_key, n_lines) of all rows.
 
-    Earlier means a smaller doc_id (null last), then a smaller line number. An earlier line
-    counts even if it is itself removed.
+    Earlier means a smaller _key, a number of each row's own, then a smaller line number. An
+    earlier line counts even if it is itself removed.
     """
+    if min_words < 2:
+        raise ValueError("any two lines of one word are one edit apart: min_words must be 2 or more")
     hashed = F.unhex(F.md5("norm"))
-    norms = normal(_lines(docs, text_col, id_col), "line").withColumn("n", _n_words("norm"))
+    norms = normal(_lines(keyed, text_col), "line").withColumn("n", _n_words("norm"))
     power = F.expr("shiftleft(1, length(bin((greatest(n, 3) - 1) div 2)) - 1)")
-    occ = norms.withColumn("h_words", power).select("doc_id", "line_no", hashed.alias("h"), _order().alias("ord"), F.when(F.col("n") >= MIN_WORDS, _ends()).alias("ends"))
-    occ = stage(occ, "occurrences")
+    full = F.col("norm") != ""
+    every = norms.withColumn("h_words", power).select("_key", "n_lines", "line_no", F.when(full, hashed).alias("h"), _order().alias("ord"), F.when(full & (F.col("n") >= min_words), _ends()).alias("ends"))
+    every = stage(every, "occurrences")
+    sizes, occ = every.filter("line_no = 0").select("_key", "n_lines"), every.filter("h IS NOT NULL")
     firsts = stage(occ.groupBy("h").agg(F.min("ord").alias("first"), F.any_value("ends").alias("ends")), "firsts")
     ends = firsts.filter("ends IS NOT NULL").select("h", "first", F.explode("ends").alias("end")).filter("end IS NOT NULL")
     shared = ends.groupBy("end").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("end")
     some = stage(ends.join(shared, "end").groupBy("h").agg(F.min("first").alias("first")), "candidates")
     side = F.broadcast(some) if some.count() <= BROADCAST_LINES else some
-    # rows that repeat a doc_id may hold other lines in the same place, hence both h and ord
-    places = side.select(F.col("first").alias("ord"), F.col("h").alias("of"))
-    texts = normal(_lines(docs, text_col, id_col).withColumn("ord", _order()).join(places, "ord"), "line").withColumn("h", hashed)
-    texts = texts.groupBy("h", "of", F.col("ord").alias("first")).agg(F.any_value("norm").alias("norm"))
-    # the filter comes after the written table, or else every line would be hashed to join on it
-    texts = stage(texts.withColumn("n", _n_words("norm")), "lines").filter("h = of")
+    places = side.select(F.col("first").alias("ord"), "h")
+    texts = normal(_lines(keyed, text_col).withColumn("ord", _order()).join(places, "ord"), "line")
+    texts = stage(texts.select("h", F.col("ord").alias("first"), "norm", _n_words("norm").alias("n")), "lines")
     blocks = texts.select("h", F.explode(_blocks()).alias("b")).filter("b IS NOT NULL").select("h", "b.short", "b.q", "b.key")
     blocks = stage(blocks, "blocks")
     met = blocks.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.bool_and("short").alias("only_short")).filter("m > 1 AND NOT only_short").select("key")
     at = F.when(F.col("short"), F.lit(1 << BLOCKS)).otherwise(F.expr("shiftleft(1, q)"))
     open_blocks = blocks.join(met, "key").groupBy("h").agg(F.bit_or(at).alias("mask"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = texts.join(open_blocks, "h").repartition(parts, "h").select("h", "n", "mask", F.col("first").alias("ord"), F.posexplode(F.split("norm", " ")).alias("p", "word"))
     dealt = dealt.select("h", "n", "mask", "ord", (F.col("p") + 1).alias("i"), F.xxhash64("word", F.col("p") + 1).alias("here"), F.xxhash64("word", "p").alias("moved"))
     line = Window.partitionBy("h").orderBy("i")
@@ -160,27 +161,31 @@ def repeated_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     checked = pairs.join(old, "low").join(texts.select("h", F.split("norm", " ").alias("new")), "h").filter(_one_edit("new", "old")).select("h").distinct()
     gone = stage(checked.select("h", F.lit(True).alias("near")), "near")
     first = firsts.join(gone, "h", "left")
-    return occ.select("doc_id", "line_no", "h", "ord").join(first, "h").filter("near OR ord > first").select("doc_id", "line_no")
+    return occ.select("_key", "line_no", "h", "ord").join(first, "h").filter("near OR ord > first").select("_key", "line_no"), sizes
 
 
-def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_lines, n_removed, removed (line numbers from 0, rising) of every document.
+def _marks(keyed: DataFrame, text_col: str, min_words: int) -> DataFrame:
+    """_key, n_lines, removed of every row."""
+    gone, sizes = repeated_lines(keyed, text_col, min_words)
+    gone = gone.groupBy("_key").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
+    return sizes.join(gone, "_key", "left").withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
 
-    Blank lines always stay; a null or empty text is one blank line. Rows that repeat a
-    doc_id are one document to this operator, with their lines in the same places. A null
-    doc_id is a document of its own, the last. An empty table gives an empty result.
+
+def line_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, n_lines, n_removed, removed (line numbers from 0, rising) of every row of docs.
+
+    Blank lines always stay; a null or empty text is one blank line. Every row is a document
+    of its own: rows that repeat a doc_id come one after another, in the order of their content,
+    and those without one come last. An empty table gives an empty result; other columns don't matter.
     """
-    gone = repeated_lines(docs, text_col, id_col).distinct().groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
-    sizes = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("n_lines"))
-    g = gone.select(F.col("doc_id").alias("g"), "removed")
-    both = sizes.join(g, F.col("doc_id").eqNullSafe(F.col("g")), "left")
-    removed = F.coalesce(F.filter("removed", lambda i: i < F.col("n_lines")), F.array().cast("array<int>"))
-    return both.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    own = row_keys(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    marks = _marks(own, "text", min_words)
+    return own.select("doc_id", "_key").join(marks, "_key").select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
-def without_lines(docs: DataFrame, marks: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with the removed lines cut out of their texts."""
-    m = marks.filter("n_removed > 0").select(F.col("doc_id").alias("_m"), "removed")
+def without_lines(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
+    """docs with the lines that line_dedup() names cut out of their texts."""
+    own = row_keys(docs, id_col)
+    marks = _marks(own, text_col, min_words).filter(F.size("removed") > 0).select("_key", "removed")
     kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
-    joined = docs.join(m, F.col(id_col).eqNullSafe(F.col("_m")), "left")
-    return joined.withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)
+    return own.join(marks, "_key", "left").withColumn(text_col, F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(kept)).select(*docs.columns)

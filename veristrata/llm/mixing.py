@@ -6,8 +6,9 @@ each; the rest is a fractional selection. There each document draws an exponenti
 their prefix sum stays within the source's remaining budget (a document is in when its middle
 is). u comes from a hash of the document's id, so reruns agree.
 
-Prefix sums don't need a whole source in one task: documents fall into fine ranges of
-exp(-key); sums per range give each range its offset, and only ranges are sorted.
+Prefix sums don't need a whole source in one task: all documents are range-sorted by source and
+key, whatever the distribution of the keys and however large a source; sums per range and
+source give each range its offset, and only ranges are sorted.
 """
 
 from __future__ import annotations
@@ -19,14 +20,17 @@ from veristrata.llm.common import WORD, stage
 
 #: Relative weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
-#: Ranges of exp(-key) a source is cut into.
-RANGES = 2048
+#: Documents of a range, about.
+RANGE_ROWS = 500_000
+#: The least weight a document has.
+LEAST = 0.05
 
 
-def quality_weight(text: Column, size: Column) -> Column:
-    """1.0 for texts whose words have 3 to 10 characters on average (blanks included), else 0.25."""
-    mean = F.try_divide(F.char_length(text).cast("double"), size.cast("double"))
-    return F.when((size > 0) & mean.between(3.0, 10.0), F.lit(1.0)).otherwise(F.lit(0.25))
+def quality_weight(text: Column) -> Column:
+    """How clean a text looks: its share of characters that aren't ASCII digits or signs, to the fourth; LEAST at least."""
+    signs = F.char_length(text) - F.char_length(F.regexp_replace(text, r"[!-@\[-`{-~]", ""))
+    clean = F.lit(1.0) - F.try_divide(signs.cast("double"), F.char_length(text).cast("double"))
+    return F.greatest(F.lit(LEAST), F.coalesce(clean * clean * clean * clean, F.lit(0.0)))
 
 
 def uniform(id_col: Column, seed: str) -> Column:
@@ -62,27 +66,30 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     """One row per document: doc_id, size, source_size, target, taken, copies.
 
     size counts words (null text: 0). copies is how often the mix repeats the document, taken
-    = copies * size, at most `most` times the size. A null source is a source of its own, the
+    = copies * size, at most `most` times the size. weight: a document's quality, above 0, null
+    as LEAST (default: quality_weight). A null source is a source of its own, the
     last one. Documents with equal ids draw equal keys; ties are ordered by size and text
     hash, and rows alike in all of them are alike in the result as well. A source of empty
     texts has target 0 and takes nothing; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
-    q = quality_weight(text, size) if weight is None else weight
+    q = quality_weight(text) if weight is None else F.greatest(F.coalesce(weight, F.lit(LEAST)), F.lit(1e-6))
     u = uniform(F.col(id_col), seed)
     drawn = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), (-F.log(u) / q).alias("key"), F.xxhash64(text).alias("tie")
     )
-    drawn = stage(drawn.select("*", F.floor(F.exp(-F.col("key")) * RANGES).cast("int").alias("range")), "drawn")
-    ranges = stage(drawn.groupBy("source", "range").agg(F.sum("size").cast("long").alias("n")), "ranges")
+    drawn = stage(drawn, "drawn")
+    order = ["key", "doc_id", "size", "tie"]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), drawn.count() // RANGE_ROWS)
+    ranged = stage(drawn.repartitionByRange(parts, "source", *order).withColumn("range", F.spark_partition_id()), "ranged")
+    ranges = stage(ranged.groupBy("source", "range").agg(F.sum("size").cast("long").alias("n")), "ranges")
     aims = stage(targets(ranges.groupBy("source").agg(F.sum("n").cast("long").alias("source_size")), weights, share, most), "targets")
-    # key order is descending order of exp(-key)
-    before = Window.partitionBy("source").orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     offsets = ranges.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     offsets = offsets.join(aims.withColumnRenamed("source", "s2"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2")
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = drawn.select("doc_id", "source", "size", "range", F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("inner"))
+    inside = Window.partitionBy("source", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranged.select("doc_id", "source", "size", "range", F.coalesce(F.sum("size").over(inside), F.lit(0)).alias("inner"))
     rows = ranked.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.try_divide(F.col("target"), F.col("source_size").cast("double")))).otherwise(F.lit(0)).cast("long")
     rest = F.col("target") - epochs * F.col("source_size")

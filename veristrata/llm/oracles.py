@@ -93,8 +93,8 @@ WITH d AS (
 k AS (
   SELECT doc_id, source, size,
          -ln((('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
-         / (CASE WHEN size > 0 AND length(text)::DOUBLE / size BETWEEN 3.0 AND 10.0 THEN 1.0 ELSE 0.25 END) AS key
-  FROM d),
+         / greatest(0.05::DOUBLE, coalesce(clean * clean * clean * clean, 0.0::DOUBLE)) AS key
+  FROM (SELECT *, 1.0::DOUBLE - (length(text) - length(regexp_replace(text, '[!-@\[-`{-~]', '', 'g')))::DOUBLE / nullif(length(text), 0)::DOUBLE AS clean FROM d)),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 b AS (
   SELECT source, source_size, source_size::DOUBLE * 2.0 AS cap,
