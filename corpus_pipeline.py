@@ -1,85 +1,72 @@
 """A corpus from documents: quality, exact and near copies, mixing, packing.
 
-Each stage gets the documents its predecessor kept, read again from Parquet. Documents without
-a doc_id are judged, kept and repeated like any other, each on its own; their doc_id stays null.
+Each stage gets the documents its predecessor kept, read again from Parquet. Every stage gives
+each row a key of its own, in the order of doc_id (null last), and picks rows by it: rows without a
+doc_id and rows that repeat one are judged, kept and repeated each on its own, and come out with
+the doc_id they had. All stages but the last return the columns of documents, extra ones
+included. An empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veristrata.llm import cotrain, exthash, minhash, mixing, packing
-from veristrata.llm.common import shared_dir, stage
+from veristrata.llm.common import row_keys, shared_dir, stage
 
 #: DuckDB SQL for run()'s rows: none, as SQL can't express the classifier and the tokenizer.
 ORACLE_SQL = None
-#: Ids that are broadcast at most when a stage picks documents; more are joined by key.
-BROADCAST_IDS = 500_000
 
 
-def _named(docs: DataFrame) -> tuple[DataFrame, list]:
-    """(docs with an id of its own for each row that has none, columns that give docs' rows back).
+def _scored(spark: SparkSession, docs: DataFrame, keyed: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id (the row's key), score, kept by the classifier, fitted on the labelled ones of these documents."""
+    model = cotrain.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return cotrain.score(keyed, model, id_col="_key")
 
-    These ids follow all others, so a row with a doc_id stays before its copies without one. They
-    number the rows in the order of their content, so that reruns agree.
-    """
-    back = [F.when(~F.col("_anon"), F.col(c)).alias(c) if c == "doc_id" else F.col(c) for c in docs.columns]
-    none = docs.filter("doc_id IS NULL")
-    n = none.count()
-    if not n:
-        return docs.withColumn("_anon", F.lit(False)), back
-    tie = F.monotonically_increasing_id()  # rows of equal content needn't share a partition
-    ordered = none.withColumns({"_hash": F.xxhash64(*docs.columns), "_tie": tie}).orderBy("_hash", "_tie").drop("_hash", "_tie")
-    ordered = stage(ordered.withColumn("_at", F.monotonically_increasing_id()), "anonymous")
-    last = docs.agg(F.max("doc_id")).first()[0]
-    base = 0 if last is None else max(last + 1, 0)
-    if base + n >= 2**63 - 1:
-        raise ValueError(f"no ids are left after {last} for {n} documents without one")
-    part = F.shiftright("_at", 33)
-    sizes = ordered.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    own = F.lit(base) + F.col("_offset") + F.col("_at").bitwiseAND(F.lit(2**33 - 1))
-    rows = ordered.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumns({"doc_id": own, "_anon": F.lit(True)})
-    return docs.filter("doc_id IS NOT NULL").withColumn("_anon", F.lit(False)).unionByName(rows.select(*docs.columns, "_anon")), back
-
-
-def _only(named: DataFrame, ids: DataFrame, back: list) -> DataFrame:
-    """The documents that ids (doc_id) names; rows that repeat a doc_id stay or go together, rows without one each on their own."""
-    return named.join(ids, "doc_id", "left_semi").select(*back)
+
+def _only(keyed: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
+    return keyed.join(keys.select(F.col("doc_id").alias("_key")), "_key", "left_semi").select(*columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the co-trained classifier rejects."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = cotrain.fit(docs, labels)
-    named, back = _named(docs)
-    bad = cotrain.score(named, model).filter("NOT kept").select("doc_id")
-    return named.join(bad, "doc_id", "left_anti").select(*back)
+    """Drops documents that the co-trained classifier rejects.
+
+    A null text counts as the empty one; ties and repeated rows get equal scores, so they stay or go alike.
+    """
+    keyed = row_keys(docs)
+    bad = _scored(spark, docs, keyed, sf_dir).filter("NOT kept").select(F.col("doc_id").alias("_key"))
+    return keyed.join(bad, "_key", "left_anti").select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of equal texts."""
-    named, back = _named(docs)
-    return _only(named, exthash.exact_dedup(named).filter("kept").select("doc_id"), back)
+    """Keeps one row of each group of texts that are equal but for blanks, repeated rows included.
+
+    The longest original text stays, then the smallest doc_id (null last). All null and blank texts are one group.
+    """
+    keyed = row_keys(docs)
+    return _only(keyed, exthash.exact_dedup(keyed, id_col="_key").filter("kept"), docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
-    named, back = _named(docs)
-    return _only(named, minhash.near_dedup(named).filter("kept").select("doc_id"), back)
+    """Keeps the row of the smallest doc_id (null last) of each group of near copies; null and blank texts link with nothing and stay."""
+    keyed = row_keys(docs)
+    return _only(keyed, minhash.near_dedup(keyed, id_col="_key").filter("kept"), docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or drops documents so that the sources come near their targets."""
-    named, back = _named(docs)
-    copies = mixing.mix(named).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return named.join(copies, "doc_id").select(*named.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).select(*back)
+    """Repeats or drops rows so that the sources come near their targets; what is selected in part favours what the classifier scores high.
+
+    Texts without words have no size: they are repeated with their source's complete epochs. A null source is a source.
+    """
+    keyed = row_keys(docs)
+    scores = stage(_scored(spark, docs, keyed, sf_dir).select(F.col("doc_id").alias("_key"), F.col("score").alias("_score")), "scores")
+    copies = mixing.mix(keyed.join(scores, "_key"), id_col="_key", weight=F.col("_score")).filter("copies > 0").select(F.col("doc_id").alias("_key"), F.col("copies").alias("_copies"))
+    return keyed.join(copies, "_key").select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the tokens of all documents into sequences; one row per piece."""
+    """Packs the tokens of all documents, repeats included, into sequences; one row per piece. A null text is the end token alone."""
     return packing.pack_documents(docs)
 
 
