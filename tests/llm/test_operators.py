@@ -116,27 +116,56 @@ def test_near(spark, docs, empty):
     assert minhash.near_dedup(empty).count() == 0
 
 
-def test_near_vectors(spark):
+def at_cosine(a, cosine, rng):
+    u = rng.standard_normal(a.shape)
+    u -= (u * a).sum(axis=1)[:, None] * a
+    return cosine * a + np.sqrt(1 - cosine * cosine) * u / np.linalg.norm(u, axis=1)[:, None]
+
+
+@pytest.mark.parametrize("width", [2, 8, 16, 24, 32, 64, 256])
+def test_tables_recall(width):
+    """Pairs at the threshold meet in a table and pass the Hamming bound, however wide the vectors and the words."""
+    rng = np.random.default_rng(6)
+    x, a = itq.unit(rng.standard_normal((3000, width))), itq.unit(rng.standard_normal((3000, width)))
+    for n in (1000, 10**6):
+        m = itq.learn(x, n)
+        for cosine in (0.951, 0.97):
+            one, two = m.bits(a), m.bits(at_cosine(a, cosine, rng))
+            met = (m.words(one) == m.words(two)).any(axis=1) & ((one != two).sum(axis=1) <= m.most)
+            assert met.mean() >= 0.95, (width, n, cosine)
+        assert (m.unpack(m.pack(one)) == one).all()
+
+
+def test_near_vectors(spark, monkeypatch):
+    """Links at the threshold, of two lengths, repeated and missing ids, huge and unusable vectors."""
+    monkeypatch.setattr(itq, "BLOCK", 40)
     rng = np.random.default_rng(2)
-    x = rng.standard_normal((150, 64))
-    near = x[:60] + 0.02 * rng.standard_normal((60, 64))
-    every = np.concatenate([x, near, x[:1] + 0.03 * rng.standard_normal((40, 64))]).astype("f4").astype(float)
-    rows = [(i, v.tolist(), "c") for i, v in enumerate(every)] + [(900, None, "c"), (901, [0.0] * 64, "c"), (902, [float("nan")] * 64, "c"), (903, [None] * 64, "c"), (904, every[3].tolist(), "c"), (None, every[3].tolist(), "c")]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")
-    got = {r[0]: tuple(r)[1:] for r in itq.near_vectors(df).collect() if r[0] is not None}
-    ids = [*range(len(every)), 904]
-    v = np.concatenate([every, every[3:4]])
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    link = v @ v.T >= 0.95
+    x = itq.unit(rng.standard_normal((150, 24)))
+    every = np.concatenate([x, at_cosine(x[:60], 0.96, rng), at_cosine(np.tile(x[:1], (60, 1)), 0.98, rng)])
+    rows = [(i, v.tolist()) for i, v in enumerate(every)] + [(904, every[3].tolist()), (3, every[3].tolist()), (5, every[9].tolist()), (None, every[3].tolist()), (None, x[149].tolist())]
+    rows += [(950 + i, v.tolist()) for i, v in enumerate(itq.unit(rng.standard_normal((9, 7))))]
+    rows += [(970, rows[-1][1]), (971, [c * 1e300 for c in rows[-1][1]]), (972, [1.0]), (973, [2.0]), (974, [-1.0])]
+    bad = [(900, None), (901, [0.0] * 24), (902, [float("nan")] * 24), (903, [None] * 24), (905, []), (None, None)]
+    df = spark.createDataFrame([(*r, "c", 1) for r in rows + bad], "vec_id long, embedding array<double>, id string, cid int")
+    out = itq.near_vectors(df).collect()
+    v = np.zeros((len(rows), 32))
+    for i, (_, c) in enumerate(rows):
+        v[i, : len(c)] = itq.unit(np.array([c]))[0]
+    size = np.array([len(c) for _, c in rows])
+    link = (v @ v.T >= 0.95) & (size[:, None] == size)
     np.fill_diagonal(link, False)
-    found, true = sum(got[i][0] for i in ids), int(link.sum())
+    found, true = sum(r["n_links"] for r in out), int(link.sum())
     assert 0.97 * true <= found <= true
-    label = np.arange(len(ids))
-    for _ in ids:
-        label = np.minimum(label, np.where(link, label[None, :], len(ids)).min(axis=1))
-    assert np.mean([got[i][1] == ids[label[k]] for k, i in enumerate(ids)]) > 0.97
-    assert all(got[i] == (0, i, True) for i in (900, 901, 902, 903))
-    assert itq.near_vectors(df.limit(0)).count() == 0
+    ids = np.array([2**62 if i is None else i for i, _ in rows])
+    label = ids.copy()
+    for _ in range(20):
+        label = np.minimum(label, np.where(link, label[None, :], 2**62).min(axis=1))
+    none = lambda i: None if i >= 2**62 else int(i)
+    want = Counter((none(i), int(n), none(c), i == c) for i, n, c in zip(ids, link.sum(axis=1), label)) + Counter((i, 0, i, True) for i, _ in bad)
+    got = Counter(map(tuple, out))
+    assert sum(got.values()) == sum(want.values()) and sum((got & want).values()) >= 0.9 * len(rows)
+    assert sum(r["vec_id"] in (970, 971) and r["n_links"] >= 2 for r in out) == 2 and (972, 1, 972, True) in got and (974, 0, 974, True) in got
+    assert all((i, 0, i, True) in got for i, _ in bad) and itq.near_vectors(df.limit(0)).count() == 0
 
 
 def test_encoding():

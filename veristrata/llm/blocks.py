@@ -30,27 +30,27 @@ def deal(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.repartition(parts, "g", "part").sortWithinPartitions("g", "part")
 
 
-def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
-    """(table, positions of side 0, positions of side 1) of each part that has both sides."""
+def runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The table of each run of rows that agree in some integer columns; rows come ordered by them."""
     held: list[pa.RecordBatch] = []
 
+    def keys(t):
+        return [t.column(t.schema.get_field_index(c)).to_numpy() for c in columns]
+
     def cut():
         t = pa.Table.from_batches(held)
-        g, p, side = (t.column(c).to_numpy() for c in ("g", "part", "side"))
-        edges = np.flatnonzero((g[1:] != g[:-1]) | (p[1:] != p[:-1])) + 1
-        for a, b in zip(np.r_[0, edges], np.r_[edges, len(g)]):
-            x, y = np.flatnonzero(side[a:b] == 0), np.flatnonzero(side[a:b] == 1)
-            if len(x) and len(y):
-                yield t.slice(a, b - a), x, y
+        edges = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys(t)], axis=0)) + 1
+        for a, b in zip(np.r_[0, edges], np.r_[edges, t.num_rows]):
+            yield t.slice(a, b - a)
 
     last = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        g, p = batch.column("g").to_numpy(), batch.column("part").to_numpy()
-        other = np.flatnonzero((g != g[-1]) | (p != p[-1]))
-        start = int(other[-1]) + 1 if len(other) else 0  # the last part may go on in the next batch
-        if held and not start and (g[0], p[0]) != last:
+        own = keys(batch)
+        other = np.flatnonzero(np.any([k != k[-1] for k in own], axis=0))
+        start = int(other[-1]) + 1 if len(other) else 0  # the last run may go on in the next batch
+        if held and not start and [k[0] for k in own] != last:
             yield from cut()
             held = []
         if start:
@@ -58,11 +58,20 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndar
             yield from cut()
             held = []
         held.append(batch.slice(start))
-        last = g[-1], p[-1]
+        last = [k[-1] for k in own]
     if held:
         yield from cut()
 
 
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """(table, positions of side 0, positions of side 1) of each part that has both sides."""
+    for t in runs(batches, ("g", "part")):
+        side = t.column("side").to_numpy()
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        if len(x) and len(y):
+            yield t, x, y
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (node, smallest node it is connected with) that join the same nodes as edges a-b do."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
