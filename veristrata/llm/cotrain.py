@@ -1,19 +1,22 @@
 """Quality classifier by co-training: a text view and a metadata view teach each other.
 
-Each view is a logistic regression, one on what the text looks like, one on what is known
-about the page without it. In each round both label a pool of unlabelled documents, and what
-one is confident about becomes training data of the other. Labelled rows held back from
-training calibrate each view (Platt) and weigh the two calibrated views; that combination
-scores all documents.
-
-The models are fitted on the driver from bounded samples (LABELLED and POOL rows, drawn by
-a hash of the id over the whole table); scoring covers every document.
+Each view is a logistic regression, one on the text (what it looks like, and its words and word
+pairs, hashed), one on what is known about the page without it. In each round both label all
+documents without a label, and what one is confident about becomes training data of the
+other. Labelled rows held back from training calibrate each view (Platt) and weigh the two
+calibrated views; that combination scores all documents.
+
+Labelled rows are a bounded sample (LABELLED, drawn by a hash of the id over the whole table)
+and stay on the driver. Pseudo-labels come from the whole corpus: its features are written
+once, and each Newton step sums gradients and Hessians over them in Spark.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
+from copy import copy
 from operator import eq
 
 import numpy as np
@@ -21,16 +24,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import text_batches
+from veristrata.llm.common import stage, text_batches
 
-#: Bounds of the labelled sample and of the unlabelled pool.
-LABELLED, POOL = 12_000, 6_000
-ROUNDS = 3
+#: Bound of the labelled sample.
+LABELLED = 12_000
+#: Rounds, and Newton steps over the corpus in each.
+ROUNDS, STEPS = 3, 2
 #: A view teaches what it gives at least this probability, for either label.
 CONFIDENT = 0.98
+#: Held-back rows that it takes to say so of a view.
+EVIDENCE = 50
+#: Pseudo-labels weigh this much each, all of them at most as much as this share of the labelled rows.
+PSEUDO, PSEUDO_SHARE = 0.5, 0.5
 #: Documents below this probability of good quality are rejected.
 REJECT_BELOW = 0.35
 SOURCES = 32
+#: Hash classes of words, and of word pairs; their L2 penalty (others: 1).
+CONTENT, CONTENT_PENALTY = 64, 30.0
+#: Words whose classes a worker remembers at most.
+REMEMBERED = 200_000
 #: Words count as so many characters at most in a text's word lengths.
 LONG_WORD = 20
 #: L2 penalty of the calibration, which has few weights and may have few rows.
@@ -43,12 +55,26 @@ _CLASS[128:] = 13
 _SYMBOLS = frozenset(bytes([c]) for c in b"|#*_=~-+<>[]{}()/\\&%$@^!?.,:;")
 #: A word that ends in a repeated symbol.
 _NOISY = re.compile(rb"([#*_=~+<>/\\&%$@^|])\1(?=\s|\Z)")
-TEXT_FEATURES = 14 + 15
+SHAPE = 14 + 15
+TEXT_FEATURES = SHAPE + 2 * CONTENT
 META_FEATURES = 4 + 8 + SOURCES
+TEXT_PENALTY = np.r_[np.ones(SHAPE), np.full(2 * CONTENT, CONTENT_PENALTY)]
+META_PENALTY = np.ones(META_FEATURES)
+
+
+class _WordClass(dict):
+    def __missing__(self, word: bytes) -> int:
+        c = zlib.crc32(word) % CONTENT
+        if len(self) < REMEMBERED:
+            self[word] = c
+        return c
+
+
+_class_of = _WordClass()
 
 
 def text_features(text: str) -> np.ndarray:
-    """Shares of character classes, word and line statistics, repeated words and symbol noise of a whole text."""
+    """Of a whole text: shares of character classes, word and line statistics, repeated words and symbol noise, hashed words and word pairs."""
     raw = text.encode("utf-8", "surrogatepass")
     shares = np.bincount(_CLASS[np.frombuffer(raw, np.uint8)], minlength=14) / max(1, len(raw))
     ws = raw.lower().split()
@@ -56,121 +82,138 @@ def text_features(text: str) -> np.ndarray:
     lines = [x for x in text.split("\n") if x.strip()]
     size = np.fromiter(map(len, ws), np.int64, n) if n else np.zeros(1, np.int64)
     longest, size = size.max(), np.minimum(size, LONG_WORD)  # one key or link doesn't move the mean
-    distinct = len(set(ws))
-    counts: dict[bytes, int] = {}
-    for w in ws:
-        counts[w] = counts.get(w, 0) + 1
+    counts = Counter(ws)
     pairs = len(set(zip(ws, ws[1:]))) if n > 1 else 1
     extra = [
-        np.log1p(n), size.mean(), size.std(), np.log1p(longest) / 5, distinct / max(1, n), max(counts.values(), default=0) / max(1, n),
+        np.log1p(n), size.mean(), size.std(), np.log1p(longest) / 5, len(counts) / max(1, n), max(counts.values(), default=0) / max(1, n),
         pairs / max(1, n - 1), len(lines) / max(1, n), 1 - len(set(lines)) / max(1, len(lines)), np.log1p(max(map(len, lines), default=0)),
         (size == 1).mean() if n else 0.0, n / max(1, len(raw)) * 5,
         np.sqrt(sum(map(eq, ws, ws[1:])) / max(1, n - 1)), np.sqrt(len(_NOISY.findall(raw)) / max(1, n)), np.sqrt(sum(map(_SYMBOLS.__contains__, ws)) / max(1, n)),
     ]
-    return np.concatenate([np.sqrt(shares), extra])
+    c = np.fromiter(map(_class_of.__getitem__, ws), np.int64, n)
+    both = np.r_[np.bincount(c, minlength=CONTENT), np.bincount((c[:-1] * 31 + c[1:]) % CONTENT, minlength=CONTENT)]
+    return np.concatenate([np.sqrt(shares), extra, np.sqrt(both / max(1, n))])
+
+
+def meta_features(lang: list, source: list, n_chars: list) -> np.ndarray:
+    """Length bands, language and hashed source of each row, without a look at the texts; null is a value of its own."""
+    n = np.log1p(np.array([max(0, c or 0) for c in n_chars], float))
+    out, at = np.zeros((len(n), META_FEATURES)), np.arange(len(n))
+    out[:, 0], out[:, 1], out[:, 2], out[:, 3] = n, n * n / 10, [c is None for c in n_chars], n < 5
+    code = lambda values, size: np.array([c % size for c in map({v: zlib.crc32((v or "").encode()) for v in set(values)}.__getitem__, values)], int)
+    out[at, 4 + code(lang, 8)] = 1
+    out[at, 12 + code(source, SOURCES)] = 1
+    return out
 
 
-def meta_features(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """Length bands, language and hashed source, without a look at the text; null is a value of its own."""
-    n = np.log1p(max(0, n_chars or 0))
-    out = np.zeros(META_FEATURES)
-    out[:4] = n, n * n / 10, float(n_chars is None), float(n < 5)
-    out[4 + zlib.crc32((lang or "").encode()) % 8] = 1
-    out[12 + zlib.crc32((source or "").encode()) % SOURCES] = 1
-    return out
+def _sigmoid(v: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(v, -30, 30)))
 
 
 class Logistic:
     """Standardised logistic regression with an L2 penalty, fitted by Newton steps."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, penalty: float = 1.0):
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-        z = self._z(x)
-        v = np.ones(len(y)) if weight is None else weight
-        self.w = np.zeros(z.shape[1])
-        ridge = penalty * np.eye(z.shape[1])
-        ridge[-1, -1] = 1e-6
+    def __init__(self, x: np.ndarray, y: np.ndarray, penalty: np.ndarray):
+        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+        self.w, self.penalty = np.zeros(x.shape[1] + 1), np.append(penalty, 1e-6)
         for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
-            grad = z.T @ (v * (p - y)) + ridge @ self.w
-            hess = (z * (v * p * (1 - p) + 1e-9)[:, None]).T @ z + ridge
-            step = np.linalg.solve(hess, grad)
-            self.w -= step
-            if np.abs(step).max() < 1e-8:
+            if self.step(*self.sums(x, y)) < 1e-8:
                 break
 
     def _z(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([(x - self.mean) / self.scale, np.ones(len(x))])
 
+    def sums(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and Hessian of the rows."""
+        z = self._z(x)
+        p = _sigmoid(z @ self.w)
+        return z.T @ (p - y), (z * (p * (1 - p) + 1e-9)[:, None]).T @ z
+
+    def step(self, grad: np.ndarray, hess: np.ndarray) -> float:
+        move = np.linalg.solve(hess + np.diag(self.penalty), grad + self.penalty * self.w)
+        self.w = self.w - move
+        return float(np.abs(move).max())
+
     def logit(self, x: np.ndarray) -> np.ndarray:
         return self._z(x) @ self.w
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logit(x), -30, 30)))
+        return _sigmoid(self.logit(x))
 
 
 class CoTrained:
     """Two views, their calibration and their combination."""
 
-    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS):
-        held = np.arange(len(y)) % 4 == 0  # the sample comes in hash order
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray):
+        held = np.arange(len(y)) % 4 == 0  # the sample comes in an order that doesn't depend on labels
         self.constant = float(y.mean()) if len(y) else 1.0
-        if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-            self.views = None
-            return
-        views = [text[~held], meta[~held]]
-        pools = [pool_text, pool_meta]
-        base = y[~held].astype(float)
-        taught = [(np.zeros(0, int), np.zeros(0)), (np.zeros(0, int), np.zeros(0))]
-        for r in range(rounds + 1):
-            fitted = []
-            for k in (0, 1):
-                at, label = taught[k]
-                fitted.append(Logistic(np.concatenate([views[k], pools[k][at]]), np.concatenate([base, label]), np.concatenate([np.ones(len(base)), np.full(len(at), 0.5)])))
-            if r == rounds or not len(pool_text):
-                break
-            p = [fitted[k].probability(pools[k]) for k in (0, 1)]
-            sure = [np.flatnonzero((q >= CONFIDENT) | (q <= 1 - CONFIDENT)) for q in p]
-            # each view learns what the other is sure of, unless it is as sure of the opposite
-            taught = []
-            for k in (0, 1):
-                at = sure[1 - k]
-                label = (p[1 - k][at] > 0.5).astype(float)
-                clash = np.where(label > 0.5, p[k][at] <= 1 - CONFIDENT, p[k][at] >= CONFIDENT)
-                taught.append((at[~clash], label[~clash]))
-        self.views = fitted
-        test = [v[held] for v in (text, meta)]
-        own = y[held].astype(float)
-        self.platt = [Logistic(self.views[k].logit(test[k])[:, None], own, penalty=CALIBRATION_PENALTY) for k in (0, 1)]
-        both = np.column_stack([self.platt[k].logit(self.views[k].logit(test[k])[:, None]) for k in (0, 1)])
-        self.joint = Logistic(both, own, penalty=CALIBRATION_PENALTY)
+        self.views = None
+        if len(set(y[held])) == 2 and len(set(y[~held])) == 2:
+            self.own, self.y, self.test, self.truth = (text[~held], meta[~held]), y[~held].astype(float), (text[held], meta[held]), y[held].astype(float)
+            self.views = [Logistic(x, self.y, p) for x, p in zip(self.own, (TEXT_PENALTY, META_PENALTY))]
+
+    def trusted(self) -> list[tuple[bool, bool]]:
+        """Whether each view may teach (good, bad): it is sure of EVIDENCE held-back rows or more, and a share of CONFIDENT of them is so indeed."""
+        out = []
+        for v, x in zip(self.views, self.test):
+            p = v.probability(x)
+            good, bad = self.truth[p >= CONFIDENT], self.truth[p <= 1 - CONFIDENT]
+            out.append((len(good) >= EVIDENCE and bool(good.mean() >= CONFIDENT), len(bad) >= EVIDENCE and bool(bad.mean() <= 1 - CONFIDENT)))
+        return out
+
+    def calibrate(self) -> CoTrained:
+        one = np.full(1, CALIBRATION_PENALTY)
+        self.platt = [Logistic(v.logit(x)[:, None], self.truth, one) for v, x in zip(self.views, self.test)]
+        self.joint = Logistic(self._logits(*self.test), self.truth, np.tile(one, 2))
+        del self.own, self.y, self.test, self.truth
+        return self
+
+    def _logits(self, text: np.ndarray, meta: np.ndarray) -> np.ndarray:
+        return np.column_stack([p.logit(v.logit(x)[:, None]) for p, v, x in zip(self.platt, self.views, (text, meta))])
 
     def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Calibrated text, metadata and combined probabilities of good quality."""
         if self.views is None:
             one = np.full(len(text), self.constant)
             return one, one, one
-        logits = [self.platt[k].logit(self.views[k].logit(x)[:, None]) for k, x in enumerate((text, meta))]
-        single = [1 / (1 + np.exp(-np.clip(v, -30, 30))) for v in logits]
-        return single[0], single[1], self.joint.probability(np.column_stack(logits))
+        logits = self._logits(text, meta)
+        single = _sigmoid(logits)
+        return single[:, 0], single[:, 1], self.joint.probability(logits)
+
+
+def teach(views: list[Logistic], trusted: list[tuple[bool, bool]], xs: tuple[np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each view the rows that the other view is sure of, unless this one is as sure of the opposite, and their labels."""
+    p = [v.probability(x) for v, x in zip(views, xs)]
+    out = []
+    for k in (0, 1):
+        other, mine = p[1 - k], p[k]
+        good = trusted[1 - k][0] & (other >= CONFIDENT) & (mine > 1 - CONFIDENT)
+        bad = trusted[1 - k][1] & (other <= 1 - CONFIDENT) & (mine < CONFIDENT)
+        at = np.flatnonzero(good | bad)
+        out.append((at, good[at].astype(float)))
+    return out
 
 
-def _features(docs: DataFrame, keep: str) -> DataFrame:
-    """Rows of (keep, text features, metadata features) from columns keep, text, lang, source, n_chars."""
+def _views(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Features of both views from columns text (features), lang, source, n_chars."""
+    column = lambda c: part.column(part.schema.get_field_index(c))
+    text = np.asarray(column("text").flatten(), dtype=float).reshape(part.num_rows, TEXT_FEATURES)
+    return text, meta_features(*(column(c).to_pylist() for c in ("lang", "source", "n_chars")))
 
-    def run(batches):
-        for part, texts in text_batches(batches, "text"):
-            meta = zip(*(part.column(i).to_pylist() for i in (2, 3, 4)))
-            lists = lambda rows: pa.array(list(rows), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists(map(text_features, texts)), lists(meta_features(*m) for m in meta)], ["keep", "text", "meta"])
 
-    return docs.select(F.col(keep).alias("keep"), "text", "lang", "source", "n_chars").mapInArrow(run, "keep int, text array<double>, meta array<double>")
+FEATURES = "doc_id long, text array<float>, lang string, source string, n_chars long"
+
 
+def features(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """What both views see of every row of docs, written once."""
 
-def _arrays(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    t = rows.toArrow()
-    wide = lambda c, n: np.array(t.column(c).combine_chunks().values, float).reshape(-1, n) if t.num_rows else np.zeros((0, n))
-    return t.column("keep").to_numpy(), wide("text", TEXT_FEATURES), wide("meta", META_FEATURES)
+    def run(batches):
+        for part, texts in text_batches(batches, "text"):
+            made = np.stack([text_features(t) for t in texts]).astype(np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(range(0, made.size + 1, TEXT_FEATURES), pa.int32()), pa.array(made.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0), lists, *part.columns[2:]], part.schema.names)
+
+    return stage(_own(docs, text_col, id_col).mapInArrow(run, FEATURES), "features")
 
 
 def _own(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
@@ -182,25 +225,64 @@ def _own(docs: DataFrame, text_col: str, id_col: str) -> DataFrame:
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> CoTrained:
-    """Fit on at most `labelled` rows of labels (doc_id, quality) and `pool` other documents.
+def _pseudo(pool: DataFrame, model: CoTrained, current: list[Logistic]) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """For each view: how many rows of pool the other one (as of model) teaches it, their gradient and Hessian at current."""
+    views, trusted = model.views, model.trusted()
+    shared = pool.sparkSession.sparkContext.broadcast((views, trusted, current))
+    upper = [np.triu_indices(len(v.w)) for v in current]
+
+    def run(batches):
+        views, trusted, current = shared.value
+        total = [np.zeros(1 + len(v.w) + len(u[0])) for v, u in zip(current, upper)]  # count, gradient, half of the Hessian
+        for part in batches:
+            x = _views(part)
+            for k, (at, label) in enumerate(teach(views, trusted, x)):
+                if len(at):
+                    g, h = current[k].sums(x[k][at], label)
+                    total[k] += np.concatenate([[len(at)], g, h[upper[k]]])
+        flat = np.concatenate(total)
+        at = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(flat[at])], ["at", "value"])
+
+    sums = pool.mapInArrow(run, "at long, value double").groupBy("at").agg(F.sum("value").alias("value")).toArrow()
+    flat = np.zeros(sum(1 + len(v.w) + len(u[0]) for v, u in zip(current, upper)))
+    flat[sums.column("at").to_numpy()] = sums.column("value").to_numpy()
+    out, start = [], 0
+    for v, u in zip(current, upper):
+        n = len(v.w)
+        h = np.zeros((n, n))
+        h[u] = flat[start + 1 + n : start + 1 + n + len(u[0])]
+        out.append((int(flat[start]), flat[start + 1 : start + 1 + n], h + np.triu(h, 1).T))
+        start += 1 + n + len(u[0])
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", labelled: int = LABELLED, rounds: int = ROUNDS, made: DataFrame | None = None) -> CoTrained:
+    """Fit on at most `labelled` rows of labels (doc_id, quality) and on all other documents (made: their features(), if they are there).
 
     Null labels and labels without a document don't count. Of several labels of a document the lowest does.
     """
-    own = _own(docs, text_col, id_col)
+    made = features(docs, text_col, id_col) if made is None else made
     clean = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    draw = F.xxhash64(F.lit(17), F.col("doc_id"))
-    taken = clean.orderBy(draw, "doc_id").limit(labelled)
-    rest = own.select("doc_id").filter("doc_id IS NOT NULL").orderBy(F.xxhash64(F.lit(19), F.col("doc_id")), "doc_id").limit(pool).distinct()
-    pick = taken.join(rest, "doc_id", "full").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"))
-    # at most labelled + pool ids: a proven bound
-    rows = _features(own.join(F.broadcast(pick), "doc_id"), "quality")
-    y, text, meta = _arrays(rows)
-    order = np.lexsort([*text.T[:6], *meta.T[:1], y])  # rows come in any order: make the fit repeatable
-    order = order[np.random.default_rng(5).permutation(len(order))]
-    y, text, meta = y[order], text[order], meta[order]
-    lab = y >= 0
-    return CoTrained(text[lab], meta[lab], (y[lab] > 0).astype(int), text[~lab], meta[~lab], rounds)
+    known = made.select("doc_id").filter("doc_id IS NOT NULL").distinct()
+    taken = stage(clean.join(known, "doc_id", "left_semi").orderBy(F.xxhash64(F.lit(17), F.col("doc_id")), "doc_id").limit(labelled), "labelled")
+    # at most `labelled` ids: a proven bound
+    t = made.join(F.broadcast(taken), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.lit(5), F.col("doc_id")), "doc_id").toArrow()
+    x = [_views(b) for b in t.to_batches() if b.num_rows]
+    text, meta = (np.concatenate([p[k] for p in x]) if x else np.zeros((0, n)) for k, n in enumerate((TEXT_FEATURES, META_FEATURES)))
+    model = CoTrained(text, meta, (t.column("quality").to_numpy() > 0).astype(int))
+    if model.views is None:
+        return model
+    pool = made.join(F.broadcast(taken.select("doc_id")), "doc_id", "left_anti")
+    for _ in range(rounds):
+        current = list(map(copy, model.views))
+        for _ in range(STEPS):
+            for k, (n, grad, hess) in enumerate(_pseudo(pool, model, current)):
+                g, h = current[k].sums(model.own[k], model.y)
+                weight = min(PSEUDO, PSEUDO_SHARE * len(model.y) / n) if n else 0.0
+                current[k].step(g + weight * grad, h + weight * hess)
+        model.views = current
+    return model.calibrate()
 
 
 def score(docs: DataFrame, model: CoTrained, text_col: str = "text", id_col: str = "doc_id", reject_below: float = REJECT_BELOW) -> DataFrame:
@@ -211,17 +293,21 @@ def score(docs: DataFrame, model: CoTrained, text_col: str = "text", id_col: str
     labels of both kinds every document gets the labels' mean (1.0 without labels). An empty
     table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return score_features(features(docs, text_col, id_col), model, reject_below)
+
+
+def score_features(made: DataFrame, model: CoTrained, reject_below: float = REJECT_BELOW) -> DataFrame:
+    shared = made.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for part, texts in text_batches(batches, "text"):
-            text = np.stack([text_features(t) for t in texts])
-            meta = np.stack([meta_features(*m) for m in zip(*(part.column(i).to_pylist() for i in (2, 3, 4)))])
-            a, b, c = shared.value.score(text, meta)
+        for part in batches:
+            a, b, c = shared.value.score(*_views(part))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(a), pa.array(b), pa.array(c), pa.array(c >= reject_below)], ["doc_id", "p_text", "p_meta", "score", "kept"])
 
-    return _own(docs, text_col, id_col).mapInArrow(run, "doc_id long, p_text double, p_meta double, score double, kept boolean")
+    return made.mapInArrow(run, "doc_id long, p_text double, p_meta double, score double, kept boolean")
 
 
 def classify(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", **options) -> DataFrame:
-    return score(docs, fit(docs, labels, text_col, id_col, **options), text_col, id_col)
+    """fit() and score() with the features of docs made once."""
+    made = features(docs, text_col, id_col)
+    return score_features(made, fit(docs, labels, text_col, id_col, made=made, **options))

@@ -6,8 +6,8 @@ under every constraint, the one is chosen whose residual vector, in shares of th
 has the smallest weighted norm after taking it ("norm"), or the largest weighted dot product
 with the piece's demand ("dot").
 
-Shards of the pieces are packed apart. Pieces are dealt to shards by hash, so each shard has
-the same mix of lengths and ends with few sequences that aren't full; a shard's number of
+Shards of the pieces are packed apart. Pieces are dealt to shards by a hash of their place in
+the table, so repeated rows don't meet in one, each shard has the same mix of lengths and ends with few sequences that aren't full; a shard's number of
 pieces, and so a task's memory, is bounded by a parameter.
 """
 
@@ -112,13 +112,14 @@ def pack(parts: DataFrame, limit: int = 2048, max_documents: int | None = None,
         return pa.table([*(table.column(c) for c in fields), pa.array(own), pa.array(offset)], names=[*fields, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in parts.dtypes) + ", sequence_id long, offset long"
-    dealt = parts.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("long"))
+    dealt = parts.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("long"))
     return dealt.groupBy("shard").applyInArrow(lambda key, table: run(key, table.drop_columns(["shard"])), schema)
 
 
 def pack_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", limit: int = 2048, tokenizer: str | None = None, **limits) -> DataFrame:
     """Encode, cut and pack all documents; one row per piece.
 
-    Null doc_ids and repeated rows are packed like any other. An empty table gives no rows.
+    Null doc_ids and repeated rows are packed like any other; of pieces alike in length the
+    smaller doc_id, then piece, comes first; other columns don't matter. An empty table gives no rows.
     """
     return pack(stage(pieces(docs, text_col, id_col, limit, tokenizer), "pieces"), limit, **limits)
