@@ -19,10 +19,11 @@ from veristrata.llm.common import row_keys, shared_dir, stage
 ORACLE_SQL = None
 
 
-def _scored(spark: SparkSession, docs: DataFrame, keyed: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id (the row's key), score, kept by the classifier, fitted on the labelled ones of these documents."""
-    model = cotrain.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return cotrain.score(keyed, model, id_col="_key")
+def _scored(spark: SparkSession, keyed: DataFrame, sf_dir: str) -> DataFrame:
+    """_key, score, kept of each row by the classifier, fitted on the labelled ones of these documents."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("doc_id IS NOT NULL AND quality IS NOT NULL")
+    labels = labels.join(keyed.select("doc_id", "_key"), "doc_id").select(F.col("_key").alias("doc_id"), "quality")
+    return cotrain.classify(keyed, labels, id_col="_key").select(F.col("doc_id").alias("_key"), "score", "kept")
 
 
 def _only(keyed: DataFrame, keys: DataFrame, columns: list[str]) -> DataFrame:
@@ -35,7 +36,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text counts as the empty one; ties and repeated rows get equal scores, so they stay or go alike.
     """
     keyed = row_keys(docs)
-    bad = _scored(spark, docs, keyed, sf_dir).filter("NOT kept").select(F.col("doc_id").alias("_key"))
+    bad = _scored(spark, keyed, sf_dir).filter("NOT kept").select("_key")
     return keyed.join(bad, "_key", "left_anti").select(*docs.columns)
 
 
@@ -60,7 +61,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words have no size: they are repeated with their source's complete epochs. A null source is a source.
     """
     keyed = row_keys(docs)
-    scores = stage(_scored(spark, docs, keyed, sf_dir).select(F.col("doc_id").alias("_key"), F.col("score").alias("_score")), "scores")
+    scores = stage(_scored(spark, keyed, sf_dir).select("_key", F.col("score").alias("_score")), "scores")
     copies = mixing.mix(keyed.join(scores, "_key"), id_col="_key", weight=F.col("_score")).filter("copies > 0").select(F.col("doc_id").alias("_key"), F.col("copies").alias("_copies"))
     return keyed.join(copies, "_key").select(*docs.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
 
