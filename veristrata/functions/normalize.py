@@ -60,7 +60,7 @@ def phone(c: Column) -> tuple[Column, Column]:
 
 def email(c: Column) -> tuple[Column, Column]:
     value = F.when(~is_empty(c), F.lower(F.trim(c)))
-    return value, F.when(value.isNotNull() & ~value.rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), F.concat(F.lit("not a valid email: "), c))
+    return value, F.when(value.isNotNull() & ~value.rlike(r"^[^@\s]+@[^@\s]+\.[a-z]{2,}$"), F.concat(F.lit("not a valid email: "), c))
 
 
 def number(c: Column, low: float | None = None, high: float | None = None) -> tuple[Column, Column]:

@@ -56,10 +56,11 @@ def link_by_keys(records: DataFrame, rec_id: str, entities: DataFrame, keys: lis
 def decide(candidates: DataFrame, rec: str, score: Column, entity: str, auto: float = 0.92, floor: float = 0.75, gap: float = 0.03) -> DataFrame:
     """(rec, entity, score, decision) of the best candidate: auto, review or none.
 
-    Two candidates at or above auto within the gap are left for review.
+    Scores rank as they are and count as 1 at most. Two candidates at or above auto within the gap are left for review.
     """
     w = Window.partitionBy(rec).orderBy(F.desc("score"), entity)
     ranked = candidates.withColumn("score", score).select(rec, entity, "score", F.row_number().over(w).alias("r"), F.lead("score").over(w).alias("second")).filter("r = 1")
+    ranked = ranked.withColumns({c: F.when(F.col(c) > 1.0, F.lit(1.0)).otherwise(F.col(c)) for c in ("score", "second")})
     close = (F.col("second") >= auto) & (F.col("score") - F.col("second") < gap)
     decision = F.when((F.col("score") >= auto) & ~F.coalesce(close, F.lit(False)), "auto").when(F.col("score") >= floor, "review").otherwise("none")
     return ranked.select(rec, entity, "score", decision.alias("decision"))

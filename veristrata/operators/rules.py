@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veristrata.functions.normalize import simplify
+
 REGISTRY: dict[str, callable] = {}
 
 
@@ -37,11 +39,15 @@ def staleness(df: DataFrame, day: Column, as_of: str, max_age_days: int) -> Data
     return df.withColumn("age", F.datediff(F.lit(as_of).cast("date"), day).cast("long")).filter(F.col("age") > max_age_days)
 
 
+def after_expiry(expiries: DataFrame, activity: DataFrame) -> DataFrame:
+    """The activity after its entity's expiry; without a measure (worked null) a record counts as worked."""
+    return activity.filter("worked IS NULL OR worked <> 0").join(expiries, "entity_key").filter("day > expiry")
+
+
 @rule
 def activity_after_expiry(expiries: DataFrame, activity: DataFrame) -> DataFrame:
     """expiries (entity_key, expiry), activity (entity_key, day, worked) -> hits and first day per entity."""
-    j = activity.filter("worked <> 0").join(expiries, "entity_key").filter("day > expiry")
-    return j.groupBy("entity_key", "expiry").agg(F.count(F.lit(1)).alias("hits"), F.min("day").alias("first_day"))
+    return after_expiry(expiries, activity).groupBy("entity_key", "expiry").agg(F.count(F.lit(1)).alias("hits"), F.min("day").alias("first_day"))
 
 
 @rule
@@ -53,10 +59,11 @@ def date_order(df: DataFrame, start: Column, end: Column, expected_days: int | N
 
 
 @rule
-def unusual_value(df: DataFrame, value: Column, expected: list[str], critical_pattern: str | None = None) -> DataFrame:
-    """Values outside the expected ones; critical where the pattern occurs, cases aside."""
-    level = F.when(value.rlike(f"(?i){critical_pattern}"), "critical").otherwise("warning") if critical_pattern else F.lit("warning")
-    return df.filter(value.isNotNull() & ~value.isin(*expected)).withColumn("severity", level)
+def unusual_value(df: DataFrame, value: Column, expected: list[str], critical_pattern: str | None = None, severity: str = "warning") -> DataFrame:
+    """Values outside the expected ones, spelling simplified on both sides; critical where the pattern occurs, cases aside."""
+    level = F.when(value.rlike(f"(?i){critical_pattern}"), "critical").otherwise(severity) if critical_pattern else F.lit(severity)
+    usual = F.array(*(simplify(F.lit(e)) for e in expected))
+    return df.filter(value.isNotNull() & ~F.array_contains(usual, simplify(value))).withColumn("severity", level)
 
 
 @rule

@@ -32,12 +32,16 @@ def status(action: F.Column) -> F.Column:
     return F.coalesce(*(F.when(action == a, F.lit(s)) for a, s in STATUS.items()), F.lit("open"))
 
 
-def apply_overrides(links: DataFrame, overrides: DataFrame) -> DataFrame:
+def apply_overrides(links: DataFrame, overrides: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """links (rec_id, source, name_key, entity_key, score, decision) after people's overrides (source, name_key, entity_key).
 
-    An override to NO_ENTITY unlinks, any other one links with certainty.
+    An override to NO_ENTITY unlinks, any other one links with certainty if entities (entity_key) has
+    its target. links are those by name: what a key has linked isn't overruled.
     """
     o = overrides.select("source", "name_key", F.col("entity_key").alias("_to"))
+    if entities is not None:
+        there = entities.select(F.col("entity_key").alias("_to")).distinct().withColumn("_ok", F.lit(True))
+        o = o.join(there, "_to", "left").filter(F.col("_ok") | (F.col("_to") == NO_ENTITY)).drop("_ok")
     j = links.join(o, ["source", "name_key"], "left")
     gone, set_ = F.col("_to") == NO_ENTITY, F.col("_to").isNotNull()
     return j.select("rec_id", "source", "name_key", F.when(gone, None).otherwise(F.coalesce("_to", "entity_key")).alias("entity_key"), F.when(gone, None).when(set_, F.lit(1.0)).otherwise(F.col("score")).alias("score"), F.when(gone, "rejected").when(set_, "confirmed").otherwise(F.col("decision")).alias("decision"))
