@@ -53,7 +53,8 @@ def _lines(docs: DataFrame, text_col: str) -> DataFrame:
     """_key, n_lines, line_no (from 0), line of every line that isn't blank, and of every first line."""
     # outer, as for an inner explode the optimiser adds filters that split the text again
     split = docs.select("_key", F.split(F.coalesce(F.col(text_col), F.lit("")), "\n").alias("all"))
-    split = split.select("_key", F.size("all").alias("n_lines"), F.posexplode_outer("all").alias("line_no", "line"))
+    split = split.select("_key", "all", F.size("all").alias("n_lines"))  # beneath the explode, or every line would carry all lines
+    split = split.select("_key", "n_lines", F.posexplode_outer("all").alias("line_no", "line"))
     return split.filter((F.col("line_no") == 0) | F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
