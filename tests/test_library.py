@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veristrata.functions import names, normalize
-from veristrata.operators import infer, issues, resolve, rules, state
+from veristrata.operators import infer, issues, resolve, rules, setup, state
 from veristrata.operators.views import create_view
 from veristrata.plans import more  # noqa: F401
 from veristrata.plans.queries import ORACLES, QUERIES
@@ -124,12 +124,12 @@ def test_sheet(spark, tmp_path):
 def test_setup(spark):
     hr = spark.createDataFrame([(f"E-{i:04d}", f"Name{i}, Ann", f"2026-01-0{i % 9 + 1}") for i in range(40)], "`Employee ID` string, `Employee Name` string, `License Expires` string")
     pay = spark.createDataFrame([(f"e-{i:04d}", str(i), "2026-02-01") for i in range(30)], "`Emp ID` string, `Hours` string, `Pay Date` string")
-    found = infer.propose({"hr": hr, "pay": pay})
-    assert found["master"] == "hr" and found["links"]["hr -> pay"] == [("Employee ID", "Emp ID", 1.0)]
-    assert {"type": "expiration", "source": "hr", "attribute": "License Expires"} in found["rules"]
+    found = setup.analyse({"hr": hr, "pay": pay})
+    assert found["master"] == "hr" and found["links"]["pay"] == [("Employee ID", "Emp ID", 1.0)]
+    assert {"type": "expiration", "attribute": "license_expires"} in found["rules"]
     types = {c: p["type"] for f in found["profiles"].values() for c, p in f["columns"].items()}
     assert types == {"Employee ID": "codeid", "Employee Name": "person_name", "License Expires": "date", "Emp ID": "codeid", "Hours": "number", "Pay Date": "date"}
-    assert infer.build_config(found)["entity"] == {"anchor": "hr"}
+    assert setup.build_config(found)["entity"] == {"anchor_source": "hr", "key_field": "employee_id", "label": "Employee", "orphan_severity": {"pay": "critical"}}
     assert infer.header_row([["Title", ""], ["1", "2"], ["Name", "Hours"]]) == 2
 
 
@@ -152,6 +152,23 @@ def test_workspace(spark, tmp_path):
     w.receive("hr", "b.csv", found.limit(1))
     assert w.records("hr").count() == 1 and w.records("pay") is None
     assert "ws_issues" in w.catalog() and w.browse("ws_events", 2).count() == 2
+    w.switch("000000000", False)
+    assert w.rules().count() == 0 and w.events(1).first()["kind"] == "rule off"
+    w.switch("000000000", True)
+    assert w.rules().count() == 1
+    assert w.info() == {"name": "ws", "records": 1, "open": 2, "urgent": 1}
+    listed = w.files().collect()
+    assert [(r["name"], r["active"]) for r in listed] == [("b.csv", True), ("a.csv", False)]
+    w.deactivate(listed[1]["file_id"])
+    assert w.records("hr").count() == 1
+    w.deactivate(listed[0]["file_id"])
+    assert w.records("hr") is None and w.files().filter("active").count() == 0
+    w.rename("Client")
+    w.reset()
+    assert w.info() == {"name": "Client", "records": 0, "open": 0, "urgent": 0} and w.issues() is None and w.events().count() == 0
+    assert state.workspaces(spark, f"file://{tmp_path}") == ["ws"] and state.workspaces(spark, f"file://{tmp_path}/none") == []
+    state.remove_workspace(spark, f"file://{tmp_path}", "ws")
+    assert state.workspaces(spark, f"file://{tmp_path}") == []
 
 
 def test_source_detection():

@@ -108,6 +108,8 @@ class Engine:
                 continue
             field_of = lambda a: self.key if a == "__key__" else self.config["attributes"][a]["from"].get(self.anchor)
             keys = [k for k in keys if field_of(k["entity_attribute"])]
+            if not keys:
+                continue
             own = records.filter(F.col("source") == s).select("rec_id", "name", *(F.col("v")[k["field"]].alias(f"r{i}") for i, k in enumerate(keys)))
             ent = anchored.select("entity_key", "name", *(F.col("v")[field_of(k["entity_attribute"])].alias(f"e{i}") for i, k in enumerate(keys)))
             hit = resolve.link_by_keys(own, "rec_id", ent, [(f"r{i}", f"e{i}") for i in range(len(keys))], ("name", "name"), self.nicknames)
@@ -117,13 +119,13 @@ class Engine:
 
     def link_names(self, left: DataFrame, entities: DataFrame, anchored: DataFrame) -> DataFrame:
         """(rec_id, entity_key, score, decision, how) of records with a name; alike names and hints are decided once."""
-        cases = []
+        cases, none = [], F.array().cast("array<struct<attribute:string,value:string>>")
         for s, spec in self.config["sources"].items():
             m = spec.get("match") or {}
             if s != self.anchor and "name" in (m.get("by"), m.get("fallback")):
                 hints = [F.struct(F.lit(a).alias("attribute"), F.col("v")[f].alias("value")) for a, f in (m.get("hints") or {}).items()]
-                cases.append((s, F.array_sort(F.array(*hints)) if hints else F.array().cast("array<struct<attribute:string,value:string>>")))
-        hint = F.coalesce(*(F.when(F.col("source") == s, h) for s, h in cases)) if cases else F.lit(None)
+                cases.append((s, F.array_sort(F.array(*hints)) if hints else none))
+        hint = F.coalesce(*(F.when(F.col("source") == s, h) for s, h in cases)) if cases else none
         named = left.filter(F.col("source").isin([s for s, _ in cases]) & F.col("name").isNotNull()).select("rec_id", "name", hint.alias("hints"))
         named = named.withColumn("tid", F.sha1(F.to_json(F.struct("name", "hints")).cast("binary")))
         tuples = named.select("tid", "name", "hints").dropDuplicates(["tid"])

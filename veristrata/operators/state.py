@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veristrata.operators import issues as _issues
@@ -21,7 +21,10 @@ LOGS = {
     "events": "kind string, fingerprint string, detail string",
     "settings": "key string, value string",
     "files": "file_id string, source string, name string, sha256 string, n_rows long",
+    "rule_switches": "rule_id string, on boolean",
 }
+#: Folders and logs that a reset leaves as they are.
+KEPT = ("settings",)
 # The status that a decision gives an issue.
 STATUS = {"choose": "resolved", "confirm": "resolved", "reject": "resolved", "acknowledge": "acknowledged", "dismiss": "dismissed", "keep_open": "open"}
 NO_ENTITY = "__none__"
@@ -47,6 +50,31 @@ def apply_overrides(links: DataFrame, overrides: DataFrame, entities: DataFrame
     return j.select("rec_id", "source", "name_key", F.when(gone, None).otherwise(F.coalesce("_to", "entity_key")).alias("entity_key"), F.when(gone, None).when(set_, F.lit(1.0)).otherwise(F.col("score")).alias("score"), F.when(gone, "rejected").when(set_, "confirmed").otherwise(F.col("decision")).alias("decision"))
 
 
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
+def _move(spark: SparkSession, path: str, to: str) -> None:
+    fs, source = _file_system(spark, path)
+    target = _file_system(spark, to)[1]
+    fs.mkdirs(target.getParent())
+    if not fs.rename(source, target):
+        raise OSError(f"{path} couldn't be moved to {to}")
+
+
+def workspaces(spark: SparkSession, root: str) -> list[str]:
+    """Names of the workspaces under root, removed ones left out."""
+    fs, path = _file_system(spark, root)
+    found = fs.listStatus(path) if fs.exists(path) else []
+    return sorted(n for x in found if x.isDirectory() and not (n := x.getPath().getName()).startswith("_"))
+
+
+def remove_workspace(spark: SparkSession, root: str, slug: str) -> None:
+    """Take a workspace off the list; its folder is kept under another name."""
+    _move(spark, f"{root.rstrip('/')}/{slug}", f"{root.rstrip('/')}/_deleted_{slug}_{uuid.uuid4().hex}")
+
+
 class Workspace:
     """One client's folder of logs, records and snapshots."""
 
@@ -57,8 +85,8 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def _exists(self, name: str) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(name))
-        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+        fs, path = _file_system(self.spark, self._path(name))
+        return fs.exists(path)
 
     def append(self, log: str, rows: list[tuple] | DataFrame) -> None:
         df = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, LOGS[log])
@@ -70,8 +98,9 @@ class Workspace:
 
     def current(self, name: str, *by: str) -> DataFrame:
         """The last row of each key."""
-        w = Window.partitionBy(*by).orderBy(F.desc("at"), F.desc("id"))
-        return self.log(name).withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
+        every = self.log(name)
+        last = F.max_by(F.struct(*every.columns), F.struct("at", "id"))
+        return every.groupBy(*by).agg(last.alias("_last")).select("_last.*")
 
     def get(self, key: str, default: str | None = None) -> str | None:
         row = self.current("settings", "key").filter(F.col("key") == key).select("value").first()
@@ -92,7 +121,40 @@ class Workspace:
     def records(self, source: str) -> DataFrame | None:
         """Records of the source's current file, if it has one."""
         row = self.current("files", "source").filter(F.col("source") == source).select("file_id").first()
-        return self.spark.read.parquet(self._path(f"records/source={source}/file_id={row[0]}")) if row else None
+        return self.spark.read.parquet(self._path(f"records/source={source}/file_id={row[0]}")) if row and row[0] else None
+
+    def files(self) -> DataFrame:
+        """All files received, newest first, and whether their records are the source's current ones."""
+        now = self.current("files", "source").select(F.col("file_id").alias("now")).filter("now IS NOT NULL")
+        every = self.log("files").filter("file_id IS NOT NULL").join(now, F.col("file_id") == F.col("now"), "left")
+        return every.select("file_id", "source", "name", "n_rows", "at", F.col("now").isNotNull().alias("active")).orderBy(F.desc("at"))
+
+    def deactivate(self, file_id: str) -> None:
+        """The file's source has no records until another file is received; a file that isn't current stays as it is."""
+        row = self.current("files", "source").filter(F.col("file_id") == file_id).select("source", "name").first()
+        if row:
+            self.append("files", [(None, row["source"], row["name"], None, 0)])
+            self.append("events", [("file removed", None, row["name"])])
+
+    def rename(self, name: str) -> None:
+        self.set("name", name)
+
+    def reset(self) -> None:
+        """Empty all but the settings; what was there is moved to a folder of its own."""
+        to = f"_reset_{uuid.uuid4().hex}"
+        for name in [n for n in (*LOGS, "records", "issues") if n not in KEPT and self._exists(n)]:
+            _move(self.spark, self._path(name), self._path(f"{to}/{name}"))
+        self.set("issues", "")
+
+    def events(self, n: int = 50) -> DataFrame:
+        """The newest n events."""
+        return self.log("events").orderBy(F.desc("at"), F.desc("id")).limit(n)
+
+    def info(self) -> dict:
+        """The workspace's name, current records, and active issues that are open, critical ones apart."""
+        files, now = self.files().filter("active"), self.issues()
+        own = now.filter("active AND status = 'open'").agg(F.count(F.lit(1)).alias("open"), F.count_if(F.col("severity") == "critical").alias("urgent")).first() if now is not None else {"open": 0, "urgent": 0}
+        return {"name": self.get("name", self.root.rsplit("/", 1)[-1]), "records": files.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0], "open": own["open"], "urgent": own["urgent"]}
 
     def decide(self, fingerprint: str, action: str, value: str | None = None, options: list[str] | None = None) -> None:
         """Record a decision; choosing needs a value that was observed."""
@@ -120,6 +182,16 @@ class Workspace:
         self.append("events", [("rule", None, label or pattern)])
         return rule_id
 
+    def switch(self, rule_id: str, on: bool) -> None:
+        """Switch a learned rule off or on; the next rebuild follows."""
+        self.append("rule_switches", [(rule_id, on)])
+        self.append("events", [("rule on" if on else "rule off", None, rule_id)])
+
+    def rules(self) -> DataFrame:
+        """Learned rules that aren't switched off."""
+        off = self.current("rule_switches", "rule_id").filter("NOT on").select("rule_id")
+        return self.log("auto_rules").join(off, "rule_id", "left_anti")
+
     def issues(self) -> DataFrame | None:
         """The current snapshot: issue columns, active and status."""
         run = self.get("issues")
@@ -135,7 +207,7 @@ class Workspace:
             every = every.unionByName(old.select(*_issues.COLUMNS).join(found.select("fingerprint"), "fingerprint", "left_anti"))
         last = self.current("decisions", "fingerprint").filter("active").select("fingerprint", "action")
         decided = every.join(life, "fingerprint").join(last, "fingerprint", "left").withColumn("decided", F.col("action").isNotNull())
-        rules = self.log("auto_rules").select("rule_id", "pattern", F.col("action").alias("rule_action"))
+        rules = self.rules().select("rule_id", "pattern", F.col("action").alias("rule_action"))
         first = rules.groupBy("pattern").agg(F.min_by("rule_action", "rule_id").alias("rule_action"))
         j = decided.join(F.broadcast(first) if first.count() <= 10_000 else first, decided["rule"] == first["pattern"], "left")
         auto = F.col("rule_action").isNotNull() & (F.col("severity") != "critical") & ~F.col("decided")

@@ -49,9 +49,9 @@ def column_types(spark, d):
     return spark.createDataFrame([(c, infer.column_type(h, stats[c])) for c, h in heads.items()], "column string, type string")
 
 
-@query("""SELECT 'c_custkey' AS column_a, 'o_custkey' AS column_b, count(DISTINCT c_custkey) AS n_both, count(DISTINCT o_custkey) AS n_b, count(DISTINCT c_custkey)::DOUBLE / count(DISTINCT o_custkey) AS share FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0""")
+@query("""SELECT 'c_custkey' AS column_a, 'o_custkey' AS column_b, count(DISTINCT c_custkey) AS n_both, count(DISTINCT o_custkey) AS n_b, count(DISTINCT c_custkey)::DOUBLE / count(DISTINCT o_custkey) AS share FROM orders LEFT JOIN customer ON c_custkey = o_custkey""")
 def column_links(spark, d):
-    return infer.overlaps(table(spark, d, "customer").filter("c_acctbal > 0").select("c_custkey"), table(spark, d, "orders").select("o_custkey"), {"c_custkey": "id"}, {"o_custkey": "id"})
+    return infer.overlaps(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select("o_custkey"), {"c_custkey": "id"}, {"o_custkey": "id"})
 
 
 @query("""SELECT o_orderkey AS rec_id, CASE WHEN o_custkey % 10 = 0 THEN NULL WHEN o_custkey % 10 = 1 THEN 'E1' ELSE o_custkey::VARCHAR END AS entity_key, CASE WHEN o_custkey % 10 = 0 THEN 'rejected' WHEN o_custkey % 10 = 1 THEN 'confirmed' ELSE 'review' END AS decision
