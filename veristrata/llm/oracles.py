@@ -118,10 +118,66 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+MERKLE = r"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, source,
+    concat(
+      coalesce(octet_length(encode(doc_id::VARCHAR)) || ':' || doc_id::VARCHAR, '-'),
+      coalesce(octet_length(encode(source)) || ':' || source, '-'),
+      coalesce(octet_length(encode(lang)) || ':' || lang, '-'),
+      coalesce(octet_length(encode(n_chars::VARCHAR)) || ':' || n_chars::VARCHAR, '-')) AS head,
+    text, replace(text, chr(10), '') AS cut
+  FROM documents),
+c AS (
+  SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ord(substr(doc_id::VARCHAR, i::INT, 1))::BIGINT)),
+    lambda x, b: list_reduce(list_prepend(xor(x, b), range(8)), lambda y, i: xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384 ELSE 0 END))), 4294967295::BIGINT) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)),
+l AS MATERIALIZED (
+  SELECT doc_id, crc, source, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(octet_length(encode(cut)) || ':' || cut, '-')) AS cut_leaf
+  FROM f LEFT JOIN c USING (doc_id)),
+p AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (ORDER BY source COLLATE "C" NULLS FIRST) - 1 AS g,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS LAST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY source) AS n
+  FROM l),
+low(g, t, pos, n, h) AS (
+  SELECT g, 0, pos, n, leaf FROM p
+  UNION ALL
+  SELECT g, t + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY g, t, pos // 3, n),
+sub AS MATERIALIZED (SELECT g, max(t) AS levels, arg_max(h, t) AS subroot FROM low GROUP BY g),
+high(t, pos, n, h) AS (
+  SELECT 0, g, (SELECT count(*) FROM sub), subroot FROM sub
+  UNION ALL
+  SELECT t + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY t, pos // 3, n),
+nodes AS MATERIALIZED (
+  SELECT g, t, pos, h FROM low WHERE n > 1
+  UNION ALL
+  SELECT -1, t, pos, h FROM high WHERE n > 1),
+steps AS MATERIALIZED (
+  SELECT a.g, a.t, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM nodes a JOIN nodes b ON a.g = b.g AND a.t = b.t AND a.pos // 3 = b.pos // 3
+  GROUP BY a.g, a.t, a.pos),
+way AS MATERIALIZED (
+  SELECT p.g, p.pos AS leaf_pos, s.t AS k, s.l, s.r FROM p JOIN steps s ON s.g = p.g AND s.pos = p.pos // pow(3, s.t)::BIGINT
+  UNION ALL
+  SELECT p.g, p.pos, u.levels + s.t, s.l, s.r FROM p JOIN sub u ON u.g = p.g JOIN steps s ON s.g = -1 AND s.pos = p.g // pow(3, s.t)::BIGINT),
+proof AS (SELECT g, leaf_pos, string_agg(l || r, '' ORDER BY k) AS proof FROM way GROUP BY g, leaf_pos),
+fold(g, pos, k, h) AS (
+  SELECT g, pos, 0, CASE WHEN crc % 2 = 0 THEN cut_leaf ELSE leaf END FROM p
+  UNION ALL
+  SELECT fold.g, fold.pos, fold.k + 1, sha256(w.l || h || w.r) FROM fold JOIN way w ON w.g = fold.g AND w.leaf_pos = fold.pos AND w.k = fold.k),
+folded AS (SELECT g, pos, arg_max(h, k) AS h FROM fold GROUP BY g, pos),
+root AS (SELECT arg_max(h, t) AS root FROM high)
+SELECT p.doc_id, p.leaf, u.subroot, root.root, sha256(coalesce(q.proof, '')) AS proof_sha256, o.h AS folded_root, o.h = root.root AS verified
+FROM p JOIN sub u ON u.g = p.g JOIN folded o ON o.g = p.g AND o.pos = p.pos LEFT JOIN proof q ON q.g = p.g AND q.leaf_pos = p.pos, root
+"""
+
 ORACLES = {
     "op2_bbit_minhash": NEAR_DEDUP,
     "op5_warc_segments": WARC,
     "op7_extendible_hash": EXACT_DEDUP,
     "op8_deletion_neighbourhood": LINE_DEDUP,
     "op9_weighted_mix": MIX,
+    "op12_fractal_manifest": MERKLE,
 }

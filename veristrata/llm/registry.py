@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristrata.llm import cotrain, exthash, histogram, hmm, itq, linedup, minhash, mixing, packing, warc
+from veristrata.llm import cotrain, exthash, histogram, hmm, itq, linedup, merkle, minhash, mixing, packing, warc
 from veristrata.llm.oracles import ORACLES
 
 
@@ -56,6 +56,10 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram.context_table(histogram.length_histogram(_table(spark, sf_dir, "documents")))
 
 
+def op12_fractal_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_co_training, op2_bbit_minhash, op3_itq_near_vectors, op4_vector_best_fit, op5_warc_segments, op6_hidden_markov, op7_extendible_hash, op8_deletion_neighbourhood, op9_weighted_mix, op10_length_histogram, pipeline)
+    own = (op1_co_training, op2_bbit_minhash, op3_itq_near_vectors, op4_vector_best_fit, op5_warc_segments, op6_hidden_markov, op7_extendible_hash, op8_deletion_neighbourhood, op9_weighted_mix, op10_length_histogram, op12_fractal_manifest, pipeline)
     return {f.__name__: f for f in own}
 
 
