@@ -118,6 +118,25 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+HARD_NEGATIVES = r"""
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score
+  FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM (
+  SELECT p.anchor_id, positive_id, positive_score, other AS negative_id, score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+WHERE rank <= 10
+"""
+
 MERKLE = r"""
 WITH RECURSIVE f AS (
   SELECT doc_id, source,
@@ -173,11 +192,47 @@ SELECT p.doc_id, p.leaf, u.subroot, root.root, sha256(coalesce(q.proof, '')) AS
 FROM p JOIN sub u ON u.g = p.g JOIN folded o ON o.g = p.g AND o.pos = p.pos LEFT JOIN proof q ON q.g = p.g AND q.leaf_pos = p.pos, root
 """
 
+def _line_rules() -> str:
+    from veristrata.llm.linefirst import BOILERPLATE, ENDS, MARKS, NAVIGATION, SEPARATOR
+
+    marks, ends = (c.replace("'", "''") for c in (MARKS, ENDS))
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS MATERIALIZED (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, string_split(text, chr(10)) AS ls FROM t),
+v AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+r AS (SELECT doc_id, i FROM v QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+n AS MATERIALIZED (SELECT doc_id, sum(step) AS n FROM (SELECT doc_id, least(8, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 8)) AS step FROM r) GROUP BY doc_id),
+l AS (SELECT doc_id, raw, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS l FROM (SELECT doc_id, unnest(ls) AS raw FROM w)),
+m AS (
+  SELECT doc_id, raw, l, length(regexp_replace(l, '{_BLANKS}', '', 'g')) AS chars, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
+    length(l) - length(translate(l, '{marks}', '')) AS marks, len(string_split_regex(l, '{SEPARATOR}')) - 1 AS bars, lower(l) AS low
+  FROM l WHERE l <> ''),
+s AS MATERIALIZED (
+  SELECT doc_id, count(*) - count(DISTINCT raw) AS dup, sum(chars) FILTER (
+    (n < 6 AND NOT regexp_matches(l, '{ends}')) OR (marks > 3 AND 100 * marks > 15 * chars)
+    OR (bars >= 2 AND n <= 4 * bars) OR (n <= 8 AND regexp_matches(low, '^({"|".join(NAVIGATION)})([^a-z]|$)'))
+    OR regexp_matches(low, '{"|".join(BOILERPLATE)}')) AS lost
+  FROM m GROUP BY doc_id),
+b AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(text, '{_BLANKS}', '', 'g'))::BIGINT AS word_chars,
+    (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines,
+    coalesce(n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM w LEFT JOIN s USING (doc_id) LEFT JOIN n USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * lost <= 40 * word_chars AS kept
+FROM b
+"""
+
+
+LINE_RULES = _line_rules()
+
 ORACLES = {
     "op2_bbit_minhash": NEAR_DEDUP,
     "op5_warc_segments": WARC,
     "op7_extendible_hash": EXACT_DEDUP,
     "op8_deletion_neighbourhood": LINE_DEDUP,
     "op9_weighted_mix": MIX,
+    "op11_ball_tree_negatives": HARD_NEGATIVES,
     "op12_fractal_manifest": MERKLE,
+    "op13_line_first": LINE_RULES,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veristrata.llm import cotrain, exthash, histogram, hmm, itq, linedup, merkle, minhash, mixing, packing, warc
+from veristrata.llm import balltree, cotrain, exthash, histogram, hmm, itq, linedup, linefirst, merkle, minhash, mixing, packing, warc
 from veristrata.llm.oracles import ORACLES
 
 
@@ -56,10 +56,19 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram.context_table(histogram.length_histogram(_table(spark, sf_dir, "documents")))
 
 
+def op11_ball_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.embeddings_negatives(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_fractal_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(_table(spark, sf_dir, "documents"))
 
 
+def op13_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = linefirst.measured(_table(spark, sf_dir, "documents"))
+    return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +76,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_co_training, op2_bbit_minhash, op3_itq_near_vectors, op4_vector_best_fit, op5_warc_segments, op6_hidden_markov, op7_extendible_hash, op8_deletion_neighbourhood, op9_weighted_mix, op10_length_histogram, op12_fractal_manifest, pipeline)
+    own = (op1_co_training, op2_bbit_minhash, op3_itq_near_vectors, op4_vector_best_fit, op5_warc_segments, op6_hidden_markov, op7_extendible_hash, op8_deletion_neighbourhood, op9_weighted_mix, op10_length_histogram, op11_ball_tree_negatives, op12_fractal_manifest, op13_line_first, pipeline)
     return {f.__name__: f for f in own}
 
 
