@@ -10,6 +10,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from veristrata.llm import cotrain, encoding, exthash, histogram, hmm, itq, linedup, minhash, mixing, packing, warc
 from veristrata.llm.common import row_keys, words
@@ -171,8 +172,27 @@ def test_near_vectors(spark, monkeypatch):
 def test_encoding():
     e = encoding.encoder(encoding.default_tokenizer())
     texts = [t or "" for _, t, _ in TEXTS] + [" a", "a  b", "x\n y", " a b　 c", "It's <|endoftext|> né 12 345", "x" * 100 + " " + "y" * 100]
-    want = [np.asarray(x.ids, "<u4").tobytes() for x in e.reference.encode_batch(texts, add_special_tokens=False)]
+    texts += ["x<|endoftext|>y", "<|endoftext|>", " a <|endoftext|> b <|endoftext|><|endoftext|>", "<|endoftext|", "word " * 300 + "<|endoftext|>\n"]
+    own = Tokenizer.from_file(encoding.default_tokenizer())  # as it comes, special strings included
+    want = [np.asarray(x.ids, "<u4").tobytes() for x in own.encode_batch(texts, add_special_tokens=False)]
     assert e.ids(texts) == want == e.ids(texts)
+    assert np.frombuffer(e.ids(["x<|endoftext|>y"])[0], "<u4").tolist() == [87, 50256, 88]
+
+
+def test_special_strings(spark):
+    """Lengths and checksums of pieces, and the histogram, count a special string as its one id."""
+    own = Tokenizer.from_file(encoding.default_tokenizer())
+    texts = ["x<|endoftext|>y", "plain words", None, "<|endoftext|>" * 30, "a " * 2100 + "<|endoftext|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = [own.encode(t or "", add_special_tokens=False).ids for t in texts]
+    rows = packing.pack_documents(df).collect()
+    for d, i in enumerate(ids):
+        raw = np.asarray([*i, 0], "<u4").tobytes()
+        pieces = sorted((r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == d)
+        assert sum(n for _, n, _ in pieces) == len(raw) // 4 and all(zlib.crc32(raw[4 * a : 4 * (a + n)]) == c for a, n, c in pieces)
+    lengths = Counter(map(len, ids))
+    got = {r[0]: r[1] for r in histogram.length_histogram(df).collect()}
+    assert got == lengths
 
 
 def test_packing(docs, empty):

@@ -2,7 +2,8 @@
 
 The tokenizer file is read with ``tokenizers``. Chunks that are not in the cache are merged by
 ``tiktoken`` with that file's vocabulary as ranks (several times faster, the same ids; the
-tests hold both against each other over whole tables, and loading checks a probe).
+tests hold both against each other over whole tables, and loading checks a probe). Texts that hold
+a special token's string, such as <|endoftext|>, are left to ``tokenizers``, which gives it its id.
 
 No token of this pattern runs from a non-space character over a single space: it either ends
 before the space or starts with it. A text whose chunks between spaces neither are empty nor
@@ -18,7 +19,7 @@ import numpy as np
 CACHE_ENTRIES = 200_000
 #: Chunks longer than this are encoded but not cached.
 CACHED_CHARS = 64
-_PROBE = "It's 42 naïve cafés,  two\n\nlines … <|endoftext|> ça! "
+_PROBE = "It's 42 naïve cafés,  two\n\nlines … ça! "
 
 _loaded: dict[str, "Encoder"] = {}
 
@@ -45,11 +46,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.reference = Tokenizer.from_file(path)
-        self.reference.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.reference.get_added_tokens_decoder().values()]
         byte_of = _byte_of_char()
         ranks = {}
         for token, rank in self.reference.get_vocab(with_added_tokens=False).items():
-            if all(c in byte_of for c in token) and token not in ("<|endoftext|>",):
+            if all(c in byte_of for c in token) and token not in self.special:
                 ranks[bytes(byte_of[c] for c in token)] = rank
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         if self.fast.encode_ordinary(_PROBE) != self.reference.encode(_PROBE, add_special_tokens=False).ids:
@@ -60,6 +61,10 @@ class Encoder:
         return np.asarray(self.fast.encode_ordinary(text), dtype="<u4").tobytes()
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        odd = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        if odd:
+            plain = iter(self.ids([t for i, t in enumerate(texts) if i not in odd]))
+            return [np.asarray(self.reference.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if i in odd else next(plain) for i, t in enumerate(texts)]
         cache = self.cache
         cut = [t.split(" ") for t in texts]
         need: set[str] = set()
