@@ -1,5 +1,6 @@
 """Queries against DuckDB at the smallest scale, and units of the functions below them."""
 
+import random
 from decimal import Decimal
 from pathlib import Path
 
@@ -138,7 +139,7 @@ def test_workspace(spark, tmp_path):
     found = spark.createDataFrame([("f1", "status", "warning", "C", "1", "T"), ("f2", "large", "info", "C", "2", "T"), ("f3", "status", "critical", "C", "3", "T")], "fingerprint string, rule string, severity string, category string, entity_key string, title string")
     assert {r["status"] for r in w.rebuild(found).collect()} == {"open"}
     w.decide("f1", "dismiss")
-    w.learn("large", "acknowledge", "info")
+    learned = w.learn("large", "acknowledge", "info")
     state_of = lambda df: {r["fingerprint"]: (r["active"], r["status"]) for r in df.collect()}
     assert state_of(w.rebuild(found.filter("fingerprint <> 'f3'"))) == {"f1": (True, "dismissed"), "f2": (True, "auto"), "f3": (False, "open")}
     w.reopen("f2")
@@ -152,9 +153,9 @@ def test_workspace(spark, tmp_path):
     w.receive("hr", "b.csv", found.limit(1))
     assert w.records("hr").count() == 1 and w.records("pay") is None
     assert "ws_issues" in w.catalog() and w.browse("ws_events", 2).count() == 2
-    w.switch("000000000", False)
+    w.switch(learned, False)
     assert w.rules().count() == 0 and w.events(1).first()["kind"] == "rule off"
-    w.switch("000000000", True)
+    w.switch(learned, True)
     assert w.rules().count() == 1
     assert w.info() == {"name": "ws", "records": 1, "open": 2, "urgent": 1}
     listed = w.files().collect()
@@ -216,6 +217,30 @@ def test_candidates_are_whole(spark):
     assert got["Jon Smyth", "Jon Smith"][0] == 0.88 and got["Acme Widgets", "Widgets Acme Inc"][0] == 1.0
 
 
+def test_names_meet_by_keys(spark):
+    """Hundreds of alike names against exhaustive scoring, nicknames, organisations and one-letter names included; no plan has a cartesian product."""
+    rng = random.Random(5)
+    syllables = ["an", "na", "ro", "bert", "ma", "ri", "el", "jo", "sm", "ith", "ka", "le", "o", "x", "th", "son"]
+    made = lambda k: "".join(rng.choice(syllables) for _ in range(k))
+    base = [(made(rng.randint(1, 4)), made(rng.randint(1, 5))) for _ in range(110)] + [("bob", "smithson"), ("robert", "smithsan"), ("rob", "smihson"), ("j", "smithson"), ("", "smithson"), ("jo", "")]
+    people = [f"{f} {n}" for f, n in base] + [f"{n[1:]} {f}" for f, n in base[:40]] + [f"{f[:1]} {n}" for f, n in base[40:60]]
+    orgs = [" ".join(made(2) for _ in range(rng.randint(1, 4))) for _ in range(30)] + ["acme widgets", "widgets acme inc", "widget works of acme"]
+    parts = [spark.createDataFrame([(n,) for n in own], "n string").select("n", f(F.col("n")).alias("name")) for own, f in ((people, names.parse_person), (orgs, names.parse_org))]
+    df = spark.createDataFrame(parts[0].unionByName(parts[1]).filter("name IS NOT NULL").dropDuplicates(["n"]).toArrow())
+    other = df.filter("hash(n) % 3 <> 0")
+    nick = names.nickname_groups(["robert rob bob"])
+    pairs = df.select(F.col("n").alias("rec"), F.col("name").alias("a")).crossJoin(other.select(F.col("n").alias("entity"), F.col("name").alias("b")))
+    every = {(r["rec"], r["entity"]): (r["score"], r["how"]) for r in names.score_pairs(pairs, nicknames=nick).filter("score >= 0.5").collect()}
+    for cut in (0.5, 0.65, 0.85):
+        out = names.candidates(df, other, "n", "n", nick, cut)
+        assert {(r["rec"], r["entity"]): (r["score"], r["how"]) for r in out.collect()} == {k: v for k, v in every.items() if v[0] >= cut}
+    with pytest.raises(ValueError):
+        names.candidates(df, other, "n", "n", nick, 0.4)
+    text = lambda d: d.select(F.col("name.last").alias("text"))
+    plan = names.alike_texts(text(df), text(other), 0.65)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
 def test_aggregate_compare_periods(spark):
     day = lambda df, *cols: df.withColumns({c: F.col(c).cast("date") for c in cols})
     p, q = ("2026-01-01", "2026-01-02"), ("2026-01-03", "2026-01-05")

@@ -7,7 +7,7 @@ Settings are a plain dict: entity, reference, sources, attributes, matching, rul
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,23 +15,16 @@ from pyspark.sql import functions as F
 
 from veristrata.engine.records import normalize_records, union_all, words_for
 from veristrata.functions import names
+from veristrata.functions.normalize import simplify
+from veristrata.functions.settle import settle
 from veristrata.operators import issues, resolve, rules, state
+from veristrata.operators.intervals import covered_periods
 
-ISSUE = {"attribute": "string", "record": "long", "evidence": "array<long>", "options": "array<string>", "related": "array<string>"}
+ISSUE = {"attribute": "string", "record": "long", "evidence": "array<long>", "options": "array<string>", "related": "array<string>", "source": "string", "name_key": "string", "part_of": "int"}
 #: Records that an issue cites at most.
 CITED = 8
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        return df.cache()
-    path = f"{base.rstrip('/')}/veristrata/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 @dataclass
 class Rebuild:
     records: DataFrame  # rec_id, source, ..., entity_key, match_status, match_method, score
@@ -39,6 +32,7 @@ class Rebuild:
     evidence: DataFrame  # entity_key, attribute, source, rec_id, raw, value, match_status
     attributes: DataFrame  # entity_key, attribute, value, status, authority, sources, n_sources, n_values, note
     issues: DataFrame
+    review: DataFrame  # rec_id, entity_key (the candidate), score, ... of links that wait for a person or waited for one
 
 
 def finding(df: DataFrame, rule: str, severity, category: str, key: Column, title: Column, *parts: Column, **more: Column) -> DataFrame:
@@ -63,6 +57,18 @@ def when(entities: DataFrame, attributes: DataFrame, condition: dict[str, list[s
     return entities
 
 
+def first_of_each(found: list[DataFrame]) -> DataFrame:
+    """All issues, of each fingerprint the one of the earliest frame."""
+    every = union_all(*(f.withColumn("_o", F.lit(i)) for i, f in enumerate(found)))
+    cols = ["rule", "severity", "category", "entity_key", "title", *ISSUE]
+    return every.groupBy("fingerprint").agg(F.min_by(F.struct(*cols), F.struct("_o", "title")).alias("i")).select("fingerprint", "i.*")
+
+
+def clustered(groups: DataFrame) -> DataFrame:
+    """(rec_id, g, shown) -> (rec_id, entity_key), the same for all of a group."""
+    return groups.join(groups.groupBy("g").agg(F.min_by("shown", "rec_id").alias("entity_key")), "g").select("rec_id", "entity_key")
+
+
 class Engine:
     def __init__(self, config: dict, as_of: str, nicknames: list[str] | None = None):
         self.config, self.as_of = config, as_of
@@ -155,8 +161,8 @@ class Engine:
             byname = byname.join(o, "rec_id", "left_anti").unionByName(o.filter(F.col("to") != state.NO_ENTITY).select("rec_id", F.col("to").alias("entity_key"), F.lit("confirmed").alias("match_status"), F.lit("decision").alias("match_method"), F.lit(1.0).alias("score")))
         return records.join(union_all(*links, byname), "rec_id", "left"), review
 
-    def orphans(self, linked: DataFrame) -> DataFrame:
-        """(rec_id, entity_key) of records without an entity, clustered by name, else by their first identifier; such without either stay out."""
+    def orphan_groups(self, linked: DataFrame) -> DataFrame:
+        """(rec_id, g, shown) of records without an entity: their group, by name, else by their first identifier; such without either stay out."""
         ids = []
         for s, spec in self.config["sources"].items():
             ids += [F.when(F.col("source") == s, F.col("v")[f]) for f, own in spec["fields"].items() if own.get("type") in ("id", "license")]
@@ -165,8 +171,12 @@ class Engine:
         shown = F.coalesce(F.concat_ws("-", F.lit("U"), plain(F.nullif(F.col("name.last"), F.lit(""))), plain(F.nullif(F.col("name.first"), F.lit("")))), F.lit("U"))
         left = linked.filter((F.col("source") != self.anchor) & F.col("entity_key").isNull())
         ident = F.coalesce(*ids, F.lit(None).cast("string"))
-        left = left.select("rec_id", F.coalesce(by_name, F.concat(F.lit("i|"), ident)).alias("g"), F.when(F.col("name").isNotNull(), shown).otherwise(F.concat(F.lit("U-"), plain(ident))).alias("shown")).filter("g IS NOT NULL")
-        return left.join(left.groupBy("g").agg(F.min_by("shown", "rec_id").alias("entity_key")), "g").select("rec_id", "entity_key")
+        left = left.select("rec_id", F.coalesce(by_name, F.concat(F.lit("i|"), ident)).alias("g"), F.when(F.col("name").isNotNull(), shown).otherwise(F.concat(F.lit("U-"), plain(ident))).alias("shown"))
+        return left.filter("g IS NOT NULL")
+
+    def orphans(self, linked: DataFrame) -> DataFrame:
+        """(rec_id, entity_key) of records without an entity, one unverified entity a group, named by its first record."""
+        return clustered(self.orphan_groups(linked))
 
     # --- attributes ------------------------------------------------------------------------
 
@@ -246,21 +256,23 @@ class Engine:
 
     def match_issues(self, review: DataFrame, orphaned: DataFrame, entities: DataFrame) -> list[DataFrame]:
         ent = entities.select("entity_key", F.col("name.display").alias("known"))
-        g = grouped(review, ["name_key", "entity_key"], F.min_by("name.display", "rec_id").alias("shown"), F.max("score").alias("score"), most=6).join(ent, "entity_key")
+        g = grouped(review, ["source", "name_key", "entity_key"], F.min_by("name.display", "rec_id").alias("shown"), F.max("score").alias("score"), most=6).join(ent, "entity_key")
         same = F.concat("shown", F.lit(" may be the same "), F.lit(self.label.lower()), F.lit(" as "), "known", F.lit(" ("), F.round(F.col("score") * 100).cast("int").cast("string"), F.lit(" % alike)"))
-        out = [finding(g, "match", "warning", "Identity", F.col("entity_key"), same, F.col("name_key"), F.col("entity_key"), evidence=F.col("ids"))]
+        out = [finding(g, "match", "warning", "Identity", F.col("entity_key"), same, F.col("source"), F.col("name_key"), F.col("entity_key"), evidence=F.col("ids"), options=F.array(F.lit("confirm"), F.lit("reject")), source=F.col("source"), name_key=F.col("name_key"))]
         level = F.coalesce(*(F.when(F.col("source") == s, F.lit(issues.SEVERITIES.index(v))) for s, v in self.orphan_severity.items()), F.lit(1))
         o = grouped(orphaned, ["entity_key"], F.min(level).alias("l"), F.min_by("name.display", "rec_id").alias("shown"), most=10)
         title = F.concat(F.coalesce("shown", "entity_key"), F.lit(f" not found in {self.source_label(self.anchor)}"))
         out.append(finding(o, "orphan", F.element_at(F.array(*map(F.lit, issues.SEVERITIES)), F.col("l") + 1), "Identity", F.col("entity_key"), title, F.col("entity_key"), evidence=F.col("ids")))
         return out
 
-    def rule_issues(self, records: DataFrame, entities: DataFrame, attributes: DataFrame, loaded: set[str]) -> list[DataFrame]:
+    def rule_issues(self, records: DataFrame, entities: DataFrame, attributes: DataFrame, loaded: set[str], only: Callable[[dict], bool] = lambda r: True, covered: dict[int, DataFrame] | None = None) -> list[DataFrame]:
+        """Findings of the rules that `only` lets through; covered: the compared periods by a rule's place, where records aren't all there are."""
         out = []
-        for r in self.config.get("rules", []):
+        for i, r in enumerate(self.config.get("rules", [])):
             made = getattr(self, f"_{r['type']}", None)  # unknown kinds are ignored
-            if made:
-                out += [m for m in made(r, records, entities, attributes, loaded) if m is not None]
+            if made and only(r):
+                more = {"covered": covered[i]} if covered and i in covered else {}
+                out += [m.withColumn("part_of", F.lit(i)) for m in made(r, records, entities, attributes, loaded, **more) if m is not None]
         return out
 
     def _of(self, attributes: DataFrame, name: str) -> DataFrame:
@@ -293,8 +305,8 @@ class Engine:
         acts = []
         for s, a in r["activity"].items():
             fields = self.config["sources"][s]["fields"]
-            measure = a.get("measure") or next((f for f, own in fields.items() if own.get("type") == "number"), None)
-            worked = F.col("v")[measure].try_cast("double") if measure else F.lit(None).cast("double")
+            measure = a.get("measure") or ("hours" if "hours" in fields else None)
+            worked = F.col("v")[measure].try_cast("double") if measure else F.lit(1.0)  # a source without a measure only has what was worked
             acts.append(records.filter((F.col("source") == s) & F.col("entity_key").isNotNull()).select("entity_key", "rec_id", F.col("v")[a["date"]].try_cast("date").alias("day"), worked.alias("worked")))
         e = self._of(attributes, r["attribute"]).select("entity_key", F.col("value").try_cast("date").alias("expiry"))
         after = union_all(*acts)
@@ -331,11 +343,22 @@ class Engine:
         two = linked.filter(F.col("source") == b["source"]).select("entity_key", cell(b, "date").alias("day"), cell(b, "group", "string").alias("grp"), cell(b, "measure", "decimal(18,2)").alias("amount"))
         return one, two
 
-    def _aggregate_compare(self, r, records, entities, attributes, loaded):
+    def covered(self, r: dict, records: DataFrame) -> DataFrame:
+        """(start, end) of the periods that a rule compares: of all records of its sources, linked or not."""
+        a, b = r["a"], r["b"]
+        day = lambda side, k: F.col("v")[side[k]].try_cast("date")
+        periods = records.filter(F.col("source") == a["source"]).select(day(a, "start").alias("start"), day(a, "end").alias("end"))
+        dates = records.filter(F.col("source") == b["source"]).select(day(b, "date").alias("day")).filter("day IS NOT NULL")
+        return settle(covered_periods(periods, dates, r.get("coverage", "every_day") == "every_day", r.get("slack_days", 0)), "covered")
+
+    def _aggregate_compare(self, r, records, entities, attributes, loaded, covered=None):
+        """covered: the periods to compare, where records aren't all there are."""
         a, b = self.compare_sides(r, records)
-        found = rules.aggregate_compare_periods(a, b, r.get("tolerance", 0), r.get("coverage", "every_day") == "every_day", r.get("slack_days", 0))
-        own = when(entities.filter("status = 'verified'"), attributes, r.get("when")).select("entity_key")
-        only = found.filter("kind <> 'no overlap'").join(own, "entity_key", "left_semi")
+        covered = self.covered(r, records) if covered is None else covered
+        found = rules.aggregate_compare_periods(a, b, r.get("tolerance", 0), r.get("coverage", "every_day") == "every_day", r.get("slack_days", 0), covered)
+        verified = entities.filter("status = 'verified'")  # conditions are for these, others are always compared
+        exempt = verified.join(when(verified, attributes, r.get("when")).select("entity_key"), "entity_key", "left_anti")
+        only = found.filter("kind <> 'no overlap'").join(exempt.select("entity_key"), "entity_key", "left_anti")
         va, vb, unit = r["a"].get("verb", "A"), r["b"].get("verb", "B"), r.get("unit", "")
         money = r.get("unit_before", "")
         show = lambda c: F.concat(F.lit(money), F.regexp_replace(F.col(c).cast("string"), r"\.?0+$", ""), F.lit(unit))
@@ -369,21 +392,18 @@ class Engine:
         attributes, conflicts = self.reconcile(evidence, entities, decisions)
         attributes = settle(attributes, "attributes")
         found = [*self.record_issues(linked), conflicts, *self.match_issues(review, orphaned, entities), *self.rule_issues(linked, entities, attributes, set(sources))]
-        every = union_all(*(f.withColumn("_o", F.lit(i)) for i, f in enumerate(found)))
-        cols = ["rule", "severity", "category", "entity_key", "title", *ISSUE]
-        one = every.groupBy("fingerprint").agg(F.min_by(F.struct(*cols), F.struct("_o", "title")).alias("i")).select("fingerprint", "i.*")
-        return Rebuild(linked, entities, evidence.drop("name"), attributes, settle(self.decided(one, attributes, decisions, auto_rules), "issues"))
+        return Rebuild(linked, entities, evidence.drop("name"), attributes, settle(self.decided(first_of_each(found), attributes, decisions, auto_rules), "issues"), review)
 
     def decided(self, found: DataFrame, attributes: DataFrame, decisions: DataFrame | None, auto: DataFrame | None) -> DataFrame:
         """Issues with status (open, resolved, ...; auto if a learned rule applies) and rule_id."""
-        out = found.withColumns({"action": F.lit(None).cast("string"), "rule_id": F.lit(None).cast("long")})
+        out = found.withColumns({"action": F.lit(None).cast("string"), "rule_id": F.lit(None).cast("string")})
         if decisions is not None:
             last = decisions.groupBy("fingerprint").agg(F.max_by("action", "id").alias("_a"))
             out = out.join(last, "fingerprint", "left").withColumn("action", F.col("_a")).drop("_a")
         if auto is not None:
             own = out.filter("action IS NULL AND severity <> 'critical'").withColumn("pattern", F.concat_ws("|", "rule", F.coalesce("attribute", F.lit(""))))
-            hit = own.select("fingerprint", "pattern", "entity_key").join(auto.select(F.col("rule_id").alias("_r"), "pattern", F.col("attribute").alias("_at"), F.col("value").alias("_v")), "pattern")
+            hit = own.select("fingerprint", "pattern", "entity_key").join(auto.select(F.col("rule_id").cast("string").alias("_r"), "pattern", F.col("attribute").alias("_at"), F.col("value").alias("_v")), "pattern")
             val = attributes.select("entity_key", F.col("attribute").alias("_at"), F.col("value").alias("_own"))
-            hit = hit.join(val, ["entity_key", "_at"], "left").filter("_at IS NULL OR lower(trim(_own)) = lower(trim(_v))").groupBy("fingerprint").agg(F.min("_r").alias("_r"))
+            hit = hit.join(val, ["entity_key", "_at"], "left").filter(F.col("_at").isNull() | (simplify(F.col("_own")) == simplify(F.col("_v")))).groupBy("fingerprint").agg(F.min("_r").alias("_r"))
             out = out.join(hit, "fingerprint", "left").withColumn("rule_id", F.col("_r")).drop("_r")
         return out.withColumn("status", F.when(F.col("rule_id").isNotNull(), "auto").otherwise(state.status(F.col("action")))).drop("action")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veristrata.functions import names, normalize
+from veristrata.operators.codes import similar_codes
 
 PROBLEM = "array<struct<field:string,severity:string,message:string>>"
 
@@ -57,20 +58,29 @@ def normalize_records(rows: DataFrame, source: str, spec: dict, vocabularies: di
 
     v and raw map fields to what they show and to what was read. A required field that is blank
     or that the file lacks has that problem instead of its type's. Problems of phones are
-    info, others warnings. No column leaves the JVM.
+    info, others warnings. Codes that no alias settles take that of the most similar alias; only their
+    distinct values leave the JVM.
     """
     fields, has = spec["fields"], set(rows.columns)
     value, raw, found = [], [], []
+    words = {f: w for f, own in fields.items() if own.get("type") == "code" and f in has and (w := normalize.vocabulary((vocabularies or {}).get(own.get("ref"), {})))}
+    if words:
+        near = similar_codes(rows, words)
+        for i, f in enumerate(words):
+            own = near.filter(F.col("field") == f).select(F.col("value").alias(f"_v{i}"), F.col("code").alias(f"_near_{f}"))
+            rows = rows.join(own, F.col(f) == F.col(f"_v{i}"), "left").drop(f"_v{i}")
     for f, own in fields.items():
         c = F.col(f) if f in has else F.lit(None).cast("string")
         shown, problem = normalize_value(c, own, vocabularies)
+        if f in words:
+            shown, problem = F.coalesce(shown, F.col(f"_near_{f}")), F.when(F.col(f"_near_{f}").isNull(), problem)
         if own.get("required"):
             problem = F.when(normalize.is_empty(c), F.lit(f"{words_for(f)} is blank")).otherwise(problem) if f in has else F.lit(f"{words_for(f)} is missing from the file")
         level = "info" if own.get("type") == "phone" else "warning"
         value += [F.lit(f), F.nullif(shown, F.lit(""))]
         raw += [F.lit(f), c]
         found.append(F.when(problem.isNotNull(), F.struct(F.lit(f).alias("field"), F.lit(level).alias("severity"), problem.alias("message"))))
-    name = record_name(rows.columns, spec)
+    name = record_name(sorted(has), spec)
     out = rows.select("rec_id", F.lit(source).alias("source"), name.alias("name"), F.create_map(*value).alias("v"), F.create_map(*raw).alias("raw"), F.array_compact(F.array(*found)).cast(PROBLEM).alias("problems"))
     key = F.col("v")[spec["record_key"]] if spec.get("record_key") else F.lit(None).cast("string")
     return out.select("rec_id", "source", key.alias("rec_key"), "name", names.name_key(F.col("name"), nicknames).alias("name_key"), "v", "raw", "problems")

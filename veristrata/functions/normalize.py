@@ -5,6 +5,8 @@ A problem is a message or null. Nothing here leaves the JVM.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,9 +15,23 @@ from pyspark.sql import functions as F
 # What counts as no value at all.
 EMPTY_WORDS = ("", "na", "n/a", "none", "null", "-", "--", "nan")
 
-# Latin letters with marks and their ASCII forms.
-_MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-_PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters beyond ASCII whose compatibility decomposition holds some of ASCII: those that leave one character, and those that leave more."""
+    one, more = {}, {}
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000)]):
+        plain = ascii_of(c)
+        if plain:
+            (one if len(plain) == 1 else more)[c] = plain
+    return one, more
+
+
+def ascii_of(s: str) -> str:
+    """A text of the driver's as fold_ascii() leaves a column's."""
+    return unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode()
+
+
+_ONE, _MORE = _folds()
+_SPELT = "\x01".join(f"{c}\x02{plain}" for c, plain in _MORE.items())
 
 # Date patterns in the order they are tried; two-digit years are handled apart.
 DATE_PATTERNS = ("yyyy-M-d", "M/d/yyyy", "M-d-yyyy", "yyyy/M/d", "d-MMM-yyyy", "d MMM yyyy", "MMM d yyyy", "MMMM d yyyy", "MMM d, yyyy", "MMMM d, yyyy", "M.d.yyyy", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s")
@@ -26,8 +42,12 @@ def is_empty(c: Column) -> Column:
 
 
 def fold_ascii(c: Column) -> Column:
-    """Marked Latin letters become plain; what is left beyond ASCII goes."""
-    return F.regexp_replace(F.translate(c, _MARKED, _PLAIN), r"[^\x00-\x7F]", "")
+    """Letters with marks, wide forms and ligatures become plain; what is left beyond ASCII goes."""
+    spelt = F.str_to_map(F.lit(_SPELT), F.lit("\x01"), F.lit("\x02"))  # one literal: a map of literals would make plans huge
+    long = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(spelt, x), x)), "")
+    whole = F.when(c.rlike("[" + "".join(_MORE) + "]"), long).otherwise(c)
+    folded = F.translate(whole, "".join(_ONE), "".join(_ONE.values()))
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"[^\x00-\x7F]", "")).otherwise(c)
 
 
 def simplify(c: Column) -> Column:
@@ -91,9 +111,7 @@ def date(c: Column) -> tuple[Column, Column]:
 
 def vocabulary(aliases: dict[str, list[str]]) -> dict[str, str]:
     """Simplified alias -> code; a code is its own alias and later ones win."""
-    import re
-
-    plain = lambda s: " ".join(re.findall(r"[a-z0-9]+", s.lower().replace("&", " and ").replace("'", "")))
+    plain = lambda s: " ".join(re.findall(r"[a-z0-9]+", re.sub("['`]", "", ascii_of(s).lower().replace("&", " and "))))
     return {plain(a): code for code, names in aliases.items() for a in (code, *names)}
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veristrata.functions.normalize import simplify
+from veristrata.functions.settle import settle
 from veristrata.operators import issues as iss
-from veristrata.operators.rules import period_coverage
+from veristrata.operators.intervals import covered_periods, period_sums
 
 # The bands of a day, in hours since its midnight.
 BANDS = {"Day": (7, 15), "Evening": (15, 23), "Night": (23, 31)}
@@ -37,22 +38,13 @@ def shift_coverage(shifts: DataFrame, days: DataFrame, bands: dict[str, tuple[fl
     return cells.join(seen, ["grp", "day", "band"], "left").select("grp", "day", "band", F.coalesce("n", F.lit(0)).alias("n"), status.alias("status"))
 
 
-def covered_periods(periods: DataFrame, dates: DataFrame, every_day: bool = True, slack_days: int = 0) -> DataFrame:
-    """The periods (start, end) that the dates (day) cover, all days or from first to last give or take slack_days."""
-    if every_day:
-        return period_coverage(periods, dates).filter("covered").select("start", "end")
-    span = dates.agg(F.date_sub(F.min("day"), slack_days).alias("low"), F.date_add(F.max("day"), slack_days).alias("high"))
-    return periods.crossJoin(F.broadcast(span)).filter("low <= start AND end <= high").select("start", "end")
-
-
 def totals(a: DataFrame, b: DataFrame, tolerance: float, every_day: bool = True, slack_days: int = 0) -> DataFrame:
     """a (entity_key, start, end, amount), b (entity_key, day, amount) -> entity_key, start, end, a, b, diff, ok of covered periods, alike ones included."""
     dated = b.filter("day IS NOT NULL")
-    covered = covered_periods(a.filter("end >= start").select("start", "end").distinct(), dated.select("day"), every_day, slack_days)
+    covered = settle(covered_periods(a, dated.select("day"), every_day, slack_days), "covered")
     by = ["entity_key", "start", "end"]
     one = a.join(covered, ["start", "end"]).groupBy(*by).agg(F.sum("amount").alias("a"))
-    daily = dated.groupBy("entity_key", "day").agg(F.sum("amount").alias("amount"))
-    two = daily.join(covered.select("start", "end", F.explode(F.sequence("start", "end")).alias("day")), "day").groupBy(*by).agg(F.sum("amount").alias("b"))
+    two = period_sums(covered, dated, ["entity_key"], "amount").withColumnRenamed("amount", "b")
     j = one.join(two, by, "full").filter("entity_key IS NOT NULL")
     x, y = (F.coalesce(c, F.lit(0)) for c in "ab")
     return j.select(*by, x.alias("a"), y.alias("b"), (x - y).alias("diff"), (F.abs(x - y) <= tolerance).alias("ok"))
@@ -74,9 +66,8 @@ def staffing(paid: DataFrame, reasons: DataFrame, scheduled: DataFrame | None =
     out = out.withColumn("confidence", F.bround(F.try_divide(100 * (F.col("paid") - F.col("flagged")), F.col("paid")), 0).cast("int"))
     if scheduled is None:
         return out
-    covered = covered_periods(paid.select("start", "end").distinct(), scheduled.select("day"))
-    days = covered.select("start", "end", F.explode(F.sequence("start", "end")).alias("day"))
-    plan = scheduled.withColumns({c: F.coalesce(c, F.lit("UNKNOWN")) for c in ("place", "role")}).groupBy("place", "role", "day").agg(F.sum("amount").alias("amount")).join(days, "day").groupBy(*by).agg(F.sum("amount").alias("scheduled"))
+    covered = settle(covered_periods(paid, scheduled.select("day")), "covered")
+    plan = period_sums(covered, scheduled.withColumns({c: F.coalesce(c, F.lit("UNKNOWN")) for c in ("place", "role")}), ["place", "role"], "amount").withColumnRenamed("amount", "scheduled")
     return out.join(plan, by, "full")
 
 
@@ -120,9 +111,13 @@ def entity_detail(key: str, records: DataFrame, found: DataFrame) -> tuple[DataF
     return own, found.filter((F.col("entity_key") == key) | F.coalesce(F.array_contains("related", key), F.lit(False)))
 
 
+# A period in brackets, as titles end in it, and a number with its marks.
+PERIOD, AMOUNT = r"\(\d{1,2}/\d{1,2}[–-]\d{1,2}/\d{1,2}\)", r"\d[\d,.]*"
+
+
 def generic_title(title: Column) -> Column:
-    """A title for all issues of its kind: no full stop at the end, numbers as #."""
-    return F.regexp_replace(F.regexp_replace(title, r"\.$", ""), r"\d+(?:[.,]\d+)*", "#")
+    """A title for all issues of its kind: without a period in brackets, numbers as #, single spaces."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(title, PERIOD, ""), AMOUNT, "#"), r"\s+", " "))
 
 
 def similar_options(found: DataFrame, attributes: DataFrame, fingerprint: str, skip: tuple[str, ...] = ("name",)) -> DataFrame:

@@ -32,3 +32,14 @@ def with_codes(df: DataFrame, column: str, words: dict[str, str], least: float =
     """df with code and code_problem; values are settled once and joined back."""
     t = code_table(df, column, words, least).select(F.col("value").alias("_v"), F.col("code"), F.col("problem").alias("code_problem"))
     return df.join(t, F.col(column).cast("string") == F.col("_v"), "left").drop("_v")
+
+
+def similar_codes(rows: DataFrame, vocabularies: dict[str, dict[str, str]], least: float = 0.88) -> DataFrame:
+    """(field, value, code) of the distinct values, in any of the given columns (column -> words), that only their spelling's likeness settles."""
+    cells = [F.when(normalize.code(F.col(f), w)[1].isNotNull(), F.struct(F.lit(f).alias("field"), F.col(f).alias("value"))) for f, w in vocabularies.items()]
+    known = rows.select(F.explode(F.array_compact(F.array(*cells))).alias("x")).select("x.*").distinct()
+    aliases = F.coalesce(*(F.when(F.col("field") == f, F.array(*(F.named_struct(F.lit("i"), F.lit(-i), F.lit("alias"), F.lit(a), F.lit("code"), F.lit(c)) for i, (a, c) in enumerate(w.items())))) for f, w in vocabularies.items()))
+    tried = known.select("field", "value", F.explode(aliases).alias("x"))
+    tried = tried.withColumn("score", ratio(normalize.simplify(F.col("value")), F.col("x.alias")))
+    best = tried.groupBy("field", "value").agg(F.max(F.struct("score", "x.i", "x.code")).alias("b"))
+    return best.filter(F.col("b.score") >= least).select("field", "value", F.col("b.code").alias("code"))

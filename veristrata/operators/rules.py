@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veristrata.functions.normalize import simplify
+from veristrata.functions.settle import settle
+from veristrata.operators.intervals import covered_periods, period_coverage, period_sums
 
 REGISTRY: dict[str, callable] = {}
 
@@ -40,8 +42,8 @@ def staleness(df: DataFrame, day: Column, as_of: str, max_age_days: int) -> Data
 
 
 def after_expiry(expiries: DataFrame, activity: DataFrame) -> DataFrame:
-    """The activity after its entity's expiry; without a measure (worked null) a record counts as worked."""
-    return activity.filter("worked IS NULL OR worked <> 0").join(expiries, "entity_key").filter("day > expiry")
+    """The activity after its entity's expiry; a record whose measure (worked) is blank or zero isn't worked."""
+    return activity.filter("worked <> 0").join(expiries, "entity_key").filter("day > expiry")
 
 
 @rule
@@ -113,35 +115,28 @@ def aggregate_compare(a: DataFrame, b: DataFrame, tolerance: float) -> DataFrame
     return j.select("entity_key", "period", "a", "b", diff.alias("diff"), kind.alias("kind")).filter(F.abs("diff") > tolerance)
 
 
-@rule
-def period_coverage(periods: DataFrame, days: DataFrame) -> DataFrame:
-    """periods (start, end), days (day) -> n_days, n_seen, covered: whether every day occurs."""
-    want = periods.select("start", "end", F.explode(F.sequence("start", "end")).alias("day"))
-    seen = days.select("day", F.lit(1).alias("seen")).distinct()
-    return want.join(seen, "day", "left").groupBy("start", "end").agg(F.count(F.lit(1)).alias("n_days"), F.count("seen").alias("n_seen")).withColumn("covered", F.col("n_days") == F.col("n_seen"))
+rule(period_coverage)
 
 
 @rule
-def aggregate_compare_periods(a: DataFrame, b: DataFrame, tolerance: float, every_day: bool = True, slack_days: int = 0) -> DataFrame:
+def aggregate_compare_periods(a: DataFrame, b: DataFrame, tolerance: float, every_day: bool = True, slack_days: int = 0, covered: DataFrame | None = None) -> DataFrame:
     """a (entity_key, start, end, grp, amount) against b (entity_key, day, grp, amount) -> entity_key, start, end, a, b, diff, kind, groups_a, groups_b.
 
     Compared are the periods of a that b covers: b has each of their days, or (every_day false) they lie
     within b's days give or take slack_days. Kinds: both, only a, only b (totals beyond the tolerance),
     group (totals agree, the groups with an amount don't), no overlap (one row if no period is covered).
-    Days of b without an amount cover but don't count.
+    Days of b without an amount cover but don't count. covered: the periods (start, end), where they are known.
     """
     dates = b.filter("day IS NOT NULL")
-    periods = a.filter("end >= start").select("start", "end").distinct()
-    if every_day:
-        covered = period_coverage(periods, dates).filter("covered").select("start", "end")
-    else:
-        span = dates.agg(F.date_sub(F.min("day"), slack_days).alias("low"), F.date_add(F.max("day"), slack_days).alias("high"))
-        covered = periods.crossJoin(F.broadcast(span)).filter("low <= start AND end <= high").select("start", "end")
+    if covered is None:
+        covered = settle(covered_periods(a.filter("end >= start"), dates.select("day"), every_day, slack_days), "covered")
     by = ["entity_key", "start", "end"]
-    own = {"a": a.join(covered, ["start", "end"]), "b": dates.filter("amount <> 0").join(covered.select("start", "end", F.explode(F.sequence("start", "end")).alias("day")), "day")}
+    of = {
+        "a": a.filter("entity_key IS NOT NULL").join(covered, ["start", "end"]).groupBy(*by, "grp").agg(F.sum(F.coalesce("amount", F.lit(0))).alias("amount")),
+        "b": period_sums(covered, dates.filter("amount <> 0 AND entity_key IS NOT NULL"), ["entity_key", "grp"], "amount"),
+    }
     total = {}
-    for n, x in own.items():
-        per = x.filter("entity_key IS NOT NULL").groupBy(*by, "grp").agg(F.sum(F.coalesce("amount", F.lit(0))).alias("amount"))
+    for n, per in of.items():
         # a struct holds the null group, too
         total[n] = per.groupBy(*by).agg(F.sum("amount").alias(n), F.array_sort(F.collect_set(F.when(F.col("amount") != 0, F.struct("grp")))).alias(f"groups_{n}"))
     j = total["a"].join(total["b"], by, "full")

@@ -52,17 +52,24 @@ def name_of(profile: dict) -> dict[str, str] | None:
     return {"first": by["first_name"], "last": by["last_name"]} if "first_name" in by and "last_name" in by else None
 
 
-def key_links(files: dict[str, DataFrame], profiles: dict[str, dict]) -> dict[tuple[str, str], list[tuple[str, str, float]]]:
+def shared_values(files: dict[str, DataFrame], profiles: dict[str, dict]) -> dict[tuple[str, str], list[dict]]:
+    """(file, other file) -> pairs of their columns (column_a, column_b, share) with values in common; one job for all files."""
+    skip = {*_NAMES, "number", "text"}
+    typed = {f: (t, {c: p["type"] for c, p in profiles[f]["columns"].items() if p["type"] not in skip}) for f, t in files.items()}
+    out: dict[tuple[str, str], list[dict]] = {}
+    for r in infer.column_index(typed).collect() if typed else []:  # one row a pair of columns
+        out.setdefault((r["file_a"], r["file_b"]), []).append(r.asDict())
+    return out
+
+
+def key_links(shared: dict[tuple[str, str], list[dict]], profiles: dict[str, dict]) -> dict[tuple[str, str], list[tuple[str, str, float]]]:
     """(file with keys, other file) -> (key, other's column, share of the other's values that are keys)."""
     out = {}
-    for f, a in files.items():
-        own = {c: profiles[f]["columns"][c]["type"] for c in profiles[f]["keys"]}
-        for g, b in files.items():
-            other = {c: p["type"] for c, p in profiles[g]["columns"].items() if p["type"] in infer.KEYS}
-            if f != g and own and other:
-                found = infer.links([r.asDict() for r in infer.overlaps(a, b, own, other).collect()], KEY_SHARE)  # one row a pair of columns
-                if found:
-                    out[f, g] = found
+    for (f, g), pairs in shared.items():
+        own, other = profiles[f]["keys"], profiles[g]["columns"]
+        found = infer.links([r for r in pairs if r["column_a"] in own and other[r["column_b"]]["type"] in infer.KEYS], KEY_SHARE)
+        if found:
+            out[f, g] = found
     return out
 
 
@@ -102,17 +109,13 @@ def code_values(table: DataFrame, profile: dict) -> dict[str, dict[str, int]]:
     return out
 
 
-def attribute_pairs(a: DataFrame, b: DataFrame, pa: dict, pb: dict, va: dict, vb: dict) -> list[tuple[str, str, float]]:
+def attribute_pairs(shared: list[dict], pa: dict, pb: dict, va: dict, vb: dict) -> list[tuple[str, str, float]]:
     """(a's column, b's column, score) of columns that hold the same attribute, each column once.
 
-    The score is the share of b's values that a has, for codes other spellings of them included,
+    The score is the share of b's values that a has (shared_values), for codes other spellings of them included,
     and HEADING times how alike the headings are.
     """
-    skip = {*infer.KEYS, *_NAMES, "number", "text"}
-    own, other = ({c: p["type"] for c, p in x["columns"].items() if p["type"] not in skip} for x in (pa, pb))
-    if not own or not other:
-        return []
-    share = {(r["column_a"], r["column_b"]): r["share"] for r in infer.overlaps(a, b, own, other).collect()}  # one row a pair of columns
+    share = {(r["column_a"], r["column_b"]): r["share"] for r in shared if not {pa["columns"][r["column_a"]]["type"], pb["columns"][r["column_b"]]["type"]} & set(infer.KEYS)}
     for x, xs in va.items():
         for y, ys in vb.items():
             if xs and ys:
@@ -167,7 +170,8 @@ def analyse(files: dict[str, DataFrame], master: str | None = None) -> dict:
     by neither keys nor names have no attributes. An empty file has a profile and nothing else.
     """
     profiles = {f: infer.profile_file(t) for f, t in files.items()}
-    linked = key_links(files, profiles)
+    shared = shared_values(files, profiles)
+    linked = key_links(shared, profiles)
     master = master or choose_master(profiles, linked)
     others = [f for f in files if f != master]
     keys = {g: linked[master, g] for g in others if (master, g) in linked}
@@ -181,7 +185,7 @@ def analyse(files: dict[str, DataFrame], master: str | None = None) -> dict:
             attributes[fields[c]] = {"from": {master: c}, "authority": [master]}
     for g in sorted(joined):
         p = profiles[g]
-        pairs = {b: fields[a] for a, b, _ in attribute_pairs(files[master], files[g], profiles[master], p, spelt[master], spelt[g])}
+        pairs = {b: fields[a] for a, b, _ in attribute_pairs(shared.get((master, g), []), profiles[master], p, spelt[master], spelt[g])}
         pairs |= {b: fields[a] for a, b, _ in keys.get(g, []) if fields[a] in attributes}
         for c, x in p["columns"].items():
             dated = p["kind"] == "profile" and {"expiry", "verified"} & set(x["flags"])

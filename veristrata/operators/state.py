@@ -6,6 +6,7 @@ snapshot and only then names it as the current one, so a failed rebuild leaves t
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from veristrata.operators.views import create_view
 LOGS = {
     "decisions": "fingerprint string, action string, value string, active boolean",
     "overrides": "source string, name_key string, entity_key string, active boolean",
-    "auto_rules": "rule_id string, pattern string, action string, label string",
+    "auto_rules": "rule_id string, pattern string, action string, label string, attribute string, value string",
     "events": "kind string, fingerprint string, detail string",
     "settings": "key string, value string",
     "files": "file_id string, source string, name string, sha256 string, n_rows long",
@@ -174,11 +175,12 @@ class Workspace:
         """Link all records of a name of a source to an entity, or (None) to nothing."""
         self.append("overrides", [(source, name_key, entity_key or NO_ENTITY, True)])
 
-    def learn(self, pattern: str, action: str, severity: str, label: str = "") -> str:
+    def learn(self, pattern: str, action: str, severity: str, label: str = "", attribute: str | None = None, value: str | None = None) -> str:
+        """Keep a rule for the issues of a pattern (rule|attribute), on condition of a value of their entity's attribute; earlier rules win."""
         if severity == "critical" or action not in ("acknowledge", "dismiss"):
             raise ValueError("a learned rule may only acknowledge or dismiss issues that aren't critical")
-        rule_id = f"{self.log('auto_rules').count():09d}"
-        self.append("auto_rules", [(rule_id, pattern, action, label)])
+        rule_id = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"  # in the order of making, two at once included
+        self.append("auto_rules", [(rule_id, pattern if "|" in pattern else f"{pattern}|", action, label, attribute, value)])
         self.append("events", [("rule", None, label or pattern)])
         return rule_id
 
@@ -207,9 +209,10 @@ class Workspace:
             every = every.unionByName(old.select(*_issues.COLUMNS).join(found.select("fingerprint"), "fingerprint", "left_anti"))
         last = self.current("decisions", "fingerprint").filter("active").select("fingerprint", "action")
         decided = every.join(life, "fingerprint").join(last, "fingerprint", "left").withColumn("decided", F.col("action").isNotNull())
-        rules = self.rules().select("rule_id", "pattern", F.col("action").alias("rule_action"))
+        rules = self.rules().filter("attribute IS NULL").select("rule_id", "pattern", F.col("action").alias("rule_action"))  # conditions are for who knows the attributes
         first = rules.groupBy("pattern").agg(F.min_by("rule_action", "rule_id").alias("rule_action"))
-        j = decided.join(F.broadcast(first) if first.count() <= 10_000 else first, decided["rule"] == first["pattern"], "left")
+        own = F.concat_ws("|", "rule", F.coalesce(F.col("attribute") if "attribute" in decided.columns else F.lit(None), F.lit("")))
+        j = decided.withColumn("_pattern", own).join(first, F.col("_pattern") == first["pattern"], "left")
         auto = F.col("rule_action").isNotNull() & (F.col("severity") != "critical") & ~F.col("decided")
         run = uuid.uuid4().hex
         j.select(*_issues.COLUMNS, "active", "event", F.when(auto, "auto").otherwise(status(F.col("action"))).alias("status")).write.parquet(self._path(f"issues/{run}"))

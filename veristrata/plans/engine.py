@@ -86,6 +86,29 @@ def totals_view(spark, d):
     return t.withColumns({c: F.col(c).cast("decimal(28,2)") for c in ("a", "b", "diff")})
 
 
+_ROLLING = """WITH o AS (SELECT o_custkey AS k, date_trunc('month', o_orderdate)::DATE AS s, (date_trunc('month', o_orderdate) + (CASE WHEN o_orderkey % 2 = 0 THEN 12 ELSE 1 END) * INTERVAL 1 MONTH - INTERVAL 1 DAY)::DATE AS t, o_orderpriority AS g, o_totalprice::DECIMAL(18,2) AS v FROM orders),
+b AS (SELECT o_custkey AS k, l_shipdate::DATE AS day, o_orderpriority AS g, CASE WHEN l_linenumber = 7 THEN 0 ELSE l_extendedprice END::DECIMAL(18,2) AS v FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+p AS (SELECT DISTINCT s, t FROM o), c AS (SELECT s, t FROM p WHERE (SELECT count(DISTINCT day) FROM b WHERE day BETWEEN s AND t) = t - s + 1),
+x AS (SELECT k, s, t, sum(v) AS a, list_sort(list(DISTINCT g)) AS ga FROM (SELECT k, s, t, g, sum(v) AS v FROM o JOIN c USING (s, t) GROUP BY ALL) GROUP BY ALL),
+y AS (SELECT k, s, t, sum(v) AS b, list_sort(list(DISTINCT g)) AS gb FROM (SELECT k, s, t, g, sum(v) AS v FROM b JOIN c ON day BETWEEN s AND t WHERE v <> 0 GROUP BY ALL) GROUP BY ALL),
+j AS (SELECT k, s, t, a, b, ga, gb, coalesce(a, 0) - coalesce(b, 0) AS diff FROM x FULL JOIN y USING (k, s, t))
+SELECT k AS entity_key, s AS start, t AS "end", a::DECIMAL(28,2) AS a, b::DECIMAL(28,2) AS b, diff::DECIMAL(28,2) AS diff, kind FROM (
+  SELECT *, CASE WHEN abs(diff) > 50000 THEN CASE WHEN b IS NULL THEN 'only a' WHEN a IS NULL THEN 'only b' ELSE 'both' END WHEN len(ga) > 0 AND len(gb) > 0 AND ga <> gb THEN 'group' END AS kind FROM j) WHERE kind IS NOT NULL"""
+
+
+@query(_ROLLING)
+def aggregate_compare_periods(spark, d):
+    """Months and years that begin with each month: periods overlap; rows of line 7 cover their day but don't count."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    month = F.trunc("o_orderdate", "month")
+    end = F.date_sub(F.add_months(month, F.when(F.col("o_orderkey") % 2 == 0, 12).otherwise(1)), 1)
+    a = o.select(F.col("o_custkey").alias("entity_key"), month.alias("start"), end.alias("end"), F.col("o_orderpriority").alias("grp"), money("o_totalprice").alias("amount"))
+    amount = F.when(F.col("l_linenumber") == 7, F.lit(0)).otherwise(F.col("l_extendedprice")).cast("decimal(18,2)")
+    b = li.join(o, F.expr("l_orderkey = o_orderkey")).select(F.col("o_custkey").alias("entity_key"), F.col("l_shipdate").cast("date").alias("day"), F.col("o_orderpriority").alias("grp"), amount.alias("amount"))
+    found = rules.aggregate_compare_periods(a, b, 50_000)
+    return found.select("entity_key", "start", "end", *(F.col(c).cast("decimal(28,2)").alias(c) for c in ("a", "b", "diff")), "kind")
+
+
 @query("""WITH p AS (SELECT o_orderkey AS r, o_custkey AS k, date_trunc('month', o_orderdate)::DATE AS s, o_orderstatus AS place, o_orderpriority AS role, o_totalprice::DECIMAL(18,2) AS v,
   o_orderkey % 50 = 0 OR EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0) OR o_orderkey % 11 = 0 AS bad FROM orders)
 SELECT s AS start, (s + INTERVAL 1 MONTH - INTERVAL 1 DAY)::DATE AS "end", place, role, sum(v)::DECIMAL(28,2) AS paid, count(DISTINCT k) AS staff, sum(CASE WHEN bad THEN v ELSE 0 END)::DECIMAL(28,2) AS flagged FROM p GROUP BY ALL""")
@@ -97,17 +120,18 @@ def staffing_view(spark, d):
     return business.staffing(paid, reasons).select("start", "end", "place", "role", F.col("paid").cast("decimal(28,2)").alias("paid"), "staff", F.col("flagged").cast("decimal(28,2)").alias("flagged"))
 
 
-@query("SELECT part, ok FROM (SELECT 1 AS part, true AS ok UNION ALL SELECT 2, false UNION ALL SELECT 3, false UNION ALL SELECT 4, true)")
+@query("""SELECT s_suppkey, s_suppkey % 3 = 0 AS ok FROM supplier""")
 def email_endings(spark, d):
     """Endings have two letters or more."""
-    rows = spark.createDataFrame([(1, " A@b.co"), (2, "a@b.c"), (3, "a@b.12"), (4, "x.y@z-1.museum")], "part int, e string")
-    return rows.select("part", normalize.email(F.col("e"))[1].isNull().alias("ok"))
+    end = F.when(F.col("s_suppkey") % 3 == 0, ".museum").when(F.col("s_suppkey") % 3 == 1, ".c").otherwise(".12")
+    return table(spark, d, "supplier").select("s_suppkey", normalize.email(F.concat(F.lit(" X.y@z-"), F.col("s_suppkey").cast("string"), end))[1].isNull().alias("ok"))
 
 
-@query("""SELECT DISTINCT trim(c_name) AS title, regexp_replace(regexp_replace(c_name || ' owes ' || c_acctbal || '.', '\\.$', ''), '[0-9]+([.,][0-9]+)*', '#', 'g') AS generic FROM customer""".replace("\\\\", "\\"))
+@query(r"""SELECT DISTINCT c_name AS title, trim(regexp_replace(regexp_replace(regexp_replace(c_name || ' owes  ' || c_acctbal || '. (' || (1 + c_nationkey % 12) || '/' || (1 + c_custkey % 28) || '–12/31)', '\(\d{1,2}/\d{1,2}[–-]\d{1,2}/\d{1,2}\)', '', 'g'), '\d[\d,.]*', '#', 'g'), '\s+', ' ', 'g')) AS generic FROM customer""")
 def issue_generic_title(spark, d):
     c = table(spark, d, "customer")
-    return c.select(F.trim("c_name").alias("title"), business.generic_title(F.concat("c_name", F.lit(" owes "), F.col("c_acctbal").cast("string"), F.lit("."))).alias("generic")).distinct()
+    period = F.concat(F.lit(". ("), (1 + F.col("c_nationkey") % 12).cast("string"), F.lit("/"), (1 + F.col("c_custkey") % 28).cast("string"), F.lit("–12/31)"))
+    return c.select(F.col("c_name").alias("title"), business.generic_title(F.concat("c_name", F.lit(" owes  "), F.col("c_acctbal").cast("string"), period)).alias("generic")).distinct()
 
 
 @query("""SELECT o_orderkey AS fingerprint, o_custkey AS entity_key, c_name AS entity_name, CASE o_orderstatus WHEN 'P' THEN 'critical' ELSE 'warning' END AS severity FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_acctbal > 0 WHERE o_orderpriority = '2-HIGH' AND o_orderstatus = 'P'""")
@@ -142,9 +166,9 @@ def summary_metrics(spark, d):
 
 
 @query("""SELECT o_orderkey AS entity_key, o_orderdate::DATE + 60 AS expiry, count(*) AS hits, min(l_shipdate)::DATE AS first_day
-FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity <> 7 AND l_shipdate::DATE > o_orderdate::DATE + 60 GROUP BY 1, 2""")
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey AND l_quantity <> 7 AND l_quantity % 5 <> 0 AND l_shipdate::DATE > o_orderdate::DATE + 60 GROUP BY 1, 2""")
 def activity_without_measure(spark, d):
-    """A record without a measure (every multiple of 5) counts as worked, one with zero (7) doesn't."""
+    """A record whose measure is blank (every multiple of 5) or zero (7) isn't worked."""
     e = table(spark, d, "orders").select(F.col("o_orderkey").alias("entity_key"), F.date_add(F.col("o_orderdate").cast("date"), 60).alias("expiry"))
     q = F.col("l_quantity")
     return rules.activity_after_expiry(e, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("entity_key"), F.col("l_shipdate").cast("date").alias("day"), F.when(q == 7, 0.0).when(q % 5 != 0, q).alias("worked")))

@@ -128,7 +128,30 @@ def top2_decision(spark, d):
     return resolve.decide(pairs, "rec", score, "entity", auto=0.5, floor=0.2)
 
 
-@query()
+_LADDER = """WITH RECURSIVE n AS (SELECT DISTINCT p_name AS d, string_split(p_name, ' ')[1] AS f, array_to_string(string_split(p_name, ' ')[2:], '') AS l FROM (SELECT DISTINCT p_name FROM part)),
+p AS MATERIALIZED (SELECT a.d AS a, b.d AS b, a.f AS fa, a.l AS la, b.f AS fb, b.l AS lb FROM n a JOIN n b ON a.d < b.d),
+t AS MATERIALIZED (SELECT DISTINCT fa AS x, fb AS y FROM p UNION SELECT DISTINCT la, lb FROM p),
+-- longest common block, the first in x and then in y; then what is left of it and right of it
+r(x, y, a0, a1, b0, b1, m) AS (
+  SELECT x, y, 1, length(x) + 1, 1, length(y) + 1, 0 FROM t
+  UNION ALL
+  SELECT x, y, CASE WHEN s = 0 THEN a0 ELSE i + k END, CASE WHEN s = 0 THEN i ELSE a1 END, CASE WHEN s = 0 THEN b0 ELSE j + k END, CASE WHEN s = 0 THEN j ELSE b1 END, CASE WHEN s = 0 THEN k ELSE 0 END
+  FROM (SELECT x, y, a0, a1, b0, b1, unnest([0, 1]) AS s, best[1] AS k, -best[2] AS i, -best[3] AS j FROM (
+    SELECT x, y, a0, a1, b0, b1, max([k, -i, -j]) AS best
+    FROM r, (SELECT unnest(range(1, 40)) AS i) u, (SELECT unnest(range(1, 40)) AS j) v, (SELECT unnest(range(1, 40)) AS k) w
+    WHERE i >= a0 AND i + k <= a1 AND j >= b0 AND j + k <= b1 AND substr(x, i, k) = substr(y, j, k)
+    GROUP BY ALL))),
+q AS MATERIALIZED (SELECT x, y, 2.0::DOUBLE * sum(m) / (length(x) + length(y)) AS ratio FROM r GROUP BY x, y),
+s AS (
+  SELECT a, b, CASE WHEN la = lb AND (starts_with(fa, fb) OR starts_with(fb, fa)) AND least(length(fa), length(fb)) >= 3 AND fa <> fb THEN 0.9
+      WHEN la = lb AND fa = fb THEN 1.0 WHEN fa = lb AND la = fb THEN 0.9
+      ELSE round(0.6::DOUBLE * ql.ratio + 0.4::DOUBLE * CASE WHEN fa = fb THEN 1.0::DOUBLE ELSE qf.ratio END, 3) END::DOUBLE AS score,
+    CASE WHEN la = lb AND fa = fb THEN 'exact' WHEN fa = lb AND la = fb THEN 'swapped' WHEN la = lb AND (starts_with(fa, fb) OR starts_with(fb, fa)) AND least(length(fa), length(fb)) >= 3 THEN 'shortened' ELSE 'fuzzy' END AS how
+  FROM p JOIN q ql ON ql.x = la AND ql.y = lb JOIN q qf ON qf.x = fa AND qf.y = fb)
+SELECT array_to_string(list_transform(string_split(a, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS a, array_to_string(list_transform(string_split(b, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS b, score, how FROM s WHERE score >= 0.65"""
+
+
+@query(_LADDER)
 def name_ladder(spark, d):
     p = table(spark, d, "part").select("p_name").distinct().select(names.parse_person(F.col("p_name")).alias("name")).withColumn("id", F.col("name.display"))
     return names.candidates(p, p, "id", "id").filter("rec < entity").select(F.col("rec").alias("a"), F.col("entity").alias("b"), "score", "how")
