@@ -31,6 +31,7 @@ def ascii_of(s: str) -> str:
 
 
 _ONE, _MORE = _folds()
+_FROM, _TO, _LONG = "".join(_ONE), "".join(_ONE.values()), "[" + "".join(_MORE) + "]"
 _SPELT = "\x01".join(f"{c}\x02{plain}" for c, plain in _MORE.items())
 
 # Date patterns in the order they are tried; two-digit years are handled apart.
@@ -43,11 +44,14 @@ def is_empty(c: Column) -> Column:
 
 def fold_ascii(c: Column) -> Column:
     """Letters with marks, wide forms and ligatures become plain; what is left beyond ASCII goes."""
-    spelt = F.str_to_map(F.lit(_SPELT), F.lit("\x01"), F.lit("\x02"))  # one literal: a map of literals would make plans huge
-    long = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(spelt, x), x)), "")
-    whole = F.when(c.rlike("[" + "".join(_MORE) + "]"), long).otherwise(c)
-    folded = F.translate(whole, "".join(_ONE), "".join(_ONE.values()))
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"[^\x00-\x7F]", "")).otherwise(c)
+
+    def plain(x: Column) -> Column:
+        spelt = F.str_to_map(F.lit(_SPELT), F.lit("\x01"), F.lit("\x02"))  # one literal: a map of literals would make plans huge
+        long = F.array_join(F.transform(F.split(x, ""), lambda v: F.coalesce(F.try_element_at(spelt, v), v)), "")
+        folded = F.translate(F.when(x.rlike(_LONG), long).otherwise(x), _FROM, _TO)
+        return F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"[^\x00-\x7F]", "")).otherwise(x)
+
+    return F.get(F.transform(F.array(c), plain), F.lit(0))  # so that plans hold c once
 
 
 def simplify(c: Column) -> Column:
