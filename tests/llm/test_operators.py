@@ -398,24 +398,59 @@ def test_cotraining(spark, empty):
     assert cotrain.classify(empty, none).count() == 0
 
 
-def test_views_teach_each_other(spark):
-    """Labels name a few sources only; pseudo-labels of the text view teach the other view the rest, summed over all partitions."""
+def _taught(spark, n: int, labelled: int, words_of, source_of):
+    """Documents whose words and source both tell their quality, which the first `labelled` rows have labels of."""
     rng = np.random.default_rng(8)
     rows = []
-    for i in range(3000):
+    for i in range(n):
         bad = bool(rng.random() < 0.4)
-        text = " ".join(rng.choice(["$$", "%%", "a1", "!!"] if bad else ["river", "stone", "letter", "music"], 30))
-        rows.append((i, text, "en", ("b" if bad else "g") + str(i % 4 if i >= 800 else i % 2), len(text)))
+        rows.append((i, " ".join(rng.choice(words_of(bad, i), 30)), "en", source_of(bad, i), 200))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
-    labels = spark.createDataFrame([(i, int(r[3][0] == "g")) for i, r in enumerate(rows[:800])], "doc_id long, quality int")
+    labels = spark.createDataFrame([(i, int(r[3][0] == "g")) for i, r in enumerate(rows[:labelled])], "doc_id long, quality int")
+    return rows, docs, labels
+
+
+def test_content_teaches_metadata(spark):
+    """Labels name a few sources only; pseudo-labels of the content view teach the other view the rest, summed over all partitions."""
+    rows, docs, labels = _taught(
+        spark, 3000, 800, lambda bad, i: ["zorkle", "blatum", "vexorn", "quobit"] if bad else ["rivers", "stones", "letter", "musics"], lambda bad, i: ("b" if bad else "g") + str(i % 4 if i >= 800 else i % 2)
+    )
     alone, taught = cotrain.fit(docs, labels, rounds=0), cotrain.fit(docs, labels)
-    x = cotrain.meta_features(["en"] * 2, ["b3", "g3"], [120, 120])
+    layout = np.stack([cotrain.text_features("rivers stones letter musics " * 7)[cotrain.LAYOUT_AT]] * 2)
+    x = cotrain.meta_features(["en"] * 2, ["b3", "g3"], [200, 200], layout)
     before, after = alone.views[1].probability(x), taught.views[1].probability(x)
     assert after[0] < before[0] and after[0] < 0.2 < 0.8 < after[1]
+    assert all(n > 0 for n in taught.taught[0]) and alone.taught == []
     out = cotrain.classify(docs, labels).collect()
     assert all(r["kept"] == (rows[r["doc_id"]][3][0] == "g") for r in out)
 
 
+def test_metadata_teaches_content(spark):
+    """Labels name a few words only; pseudo-labels of the metadata view teach the content view words that no label knows."""
+    new = (["grumfo", "hastil", "jovren", "klimpt"], ["garden", "winter", "yellow", "candle"])
+    old = (["zorkle", "blatum", "vexorn", "quobit"], ["rivers", "stones", "letter", "musics"])
+    rows, docs, labels = _taught(spark, 3000, 800, lambda bad, i: (new if i >= 800 else old)[not bad], lambda bad, i: ("b" if bad else "g") + str(i % 2))
+    alone, taught = cotrain.fit(docs, labels, rounds=0), cotrain.fit(docs, labels)
+    x = np.stack([cotrain.text_features(" ".join(w * 7)) for w in new])[:, cotrain.CONTENT_AT]
+    before, after = alone.views[0].probability(x), taught.views[0].probability(x)
+    assert after[1] - after[0] > before[1] - before[0] and after[0] < 0.5 < after[1]
+    assert taught.taught[0][0] > 1000
+
+
+def test_a_view_that_tells_nothing_teaches_nothing(spark):
+    rows, docs, labels = _taught(spark, 1000, 120, lambda bad, i: ["zorkle", "blatum", "vexorn", "quobit"] if bad else ["rivers", "stones", "letter", "musics"], lambda bad, i: "b" if bad else "g")
+    blind = docs.withColumn("source", F.lit("one"))
+    assert all(content == 0 and meta > 0 for content, meta in cotrain.fit(blind, labels).taught)
+
+
+def test_views_exchange_on_the_tables(spark):
+    path = Path("/root/testdata/sf0.1")
+    if not path.exists():
+        pytest.skip("no test data")
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    assert all(n > 1000 for pair in cotrain.fit(docs, labels).taught for n in pair)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
