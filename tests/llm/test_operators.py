@@ -370,6 +370,35 @@ def test_mix_comes_near(spark):
     assert all(abs(r["taken"] - r["target"]) <= 90 for r in got) and len(got) == 2
 
 
+def test_mix_draws_rows_without_ids(spark):
+    """Half of a source is due in the fractional part: of rows without an id, and of rows that share one, about half come in, whatever the seed."""
+    df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id")).alias("doc_id"), F.format_string("word a%d", "id").alias("text"), F.lit("a").alias("source"))
+    for seed in ("mix-1:", "x", "y", "z"):
+        got = mixing.mix(df, share=0.5, seed=seed, weight=F.lit(1.0)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("copies").alias("taken")).collect()
+        assert all(0.43 < r["taken"] / r["n"] < 0.57 for r in got if r["doc_id"] in (None, 7)) and abs(sum(r["taken"] for r in got) - 1500) <= 1
+
+
+def test_mix_weights(spark):
+    """Against brute force: the same keys, sorted, prefix sums to the target; heavy rows come in more often."""
+    rows = [(i, "w " * (1 + i % 5), "ab"[i % 3 == 0], 0.2 + i % 4) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, q double")
+    got = {r["doc_id"]: r for r in mixing.mix(df, share=0.7, weight=F.col("q")).collect()}
+    u = {r[0]: r[1] for r in df.select("doc_id", mixing.uniform(F.col("doc_id"), "mix-1:")).collect()}
+    for source in "ab":
+        mine = sorted((r for r in rows if r[2] == source), key=lambda r: -np.log(u[r[0]]) / r[3])
+        n = sum(1 + r[0] % 5 for r in mine)
+        target, done = got[mine[0][0]]["target"], 0
+        epochs = int(target // n)
+        for r in mine:
+            size = 1 + r[0] % 5
+            assert got[r[0]]["copies"] == epochs + (done + size / 2 <= target - epochs * n and target > epochs * n)
+            done += size
+    taken = Counter()
+    for r in rows:
+        taken[r[3]] += got[r[0]]["copies"]
+    assert taken[3.2] > taken[0.2]
+
+
 def test_histogram(docs, empty):
     enc = encoding.encoder(encoding.default_tokenizer())
     n = [len(x) // 4 for x in enc.ids([t or "" for _, t, _ in TEXTS])]

@@ -4,7 +4,8 @@ A source's target may be a multiple of its size: complete epochs take every docu
 each; the rest is a fractional selection. There each document draws an exponential key,
 -ln(u) / quality weight, and the documents of a source are taken in key order as long as
 their prefix sum stays within the source's remaining budget (a document is in when its middle
-is). u comes from a hash of the document's id, so reruns agree.
+is). u comes from a hash of the row's key, which is the document's id where ids are whole, so
+reruns agree and rows without an id, or with a repeated one, draw each on its own.
 
 Prefix sums don't need a whole source in one task: all documents are range-sorted by source and
 key, whatever the distribution of the keys and however large a source; sums per range and
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veristrata.llm.common import WORD, stage
+from veristrata.llm.common import WORD, row_keys, stage
 
 #: Relative weights of the sources in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -68,19 +69,17 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     size counts words (null text: 0). copies is how often the mix repeats the document, taken
     = copies * size, at most `most` times the size. weight: a document's quality, above 0, null
     as LEAST (default: quality_weight). A null source is a source of its own, the
-    last one. Documents with equal ids draw equal keys; ties are ordered by size and text
-    hash, and rows alike in all of them are alike in the result as well. A source of empty
+    last one. Every row is a document of its own, whatever its id; of rows alike in every
+    column used here, how many are taken is fixed, not which. A source of empty
     texts has target 0 and takes nothing; an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.regexp_count(text, F.lit(WORD)).cast("long")
     q = quality_weight(text) if weight is None else F.greatest(F.coalesce(weight, F.lit(LEAST)), F.lit(1e-6))
-    u = uniform(F.col(id_col), seed)
-    drawn = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), (-F.log(u) / q).alias("key"), F.xxhash64(text).alias("tie")
-    )
-    drawn = stage(drawn, "drawn")
-    order = ["key", "doc_id", "size", "tie"]
+    drawn = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), q.alias("quality"), F.xxhash64(text).alias("tie"))
+    keyed = row_keys(stage(drawn, "drawn"), key="row")
+    drawn = keyed.select("doc_id", "source", "size", "row", (-F.log(uniform(F.col("row"), seed)) / F.col("quality")).alias("key"))
+    order = ["key", "row"]
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), drawn.count() // RANGE_ROWS)
     ranged = stage(drawn.repartitionByRange(parts, "source", *order).withColumn("range", F.spark_partition_id()), "ranged")
     ranges = stage(ranged.groupBy("source", "range").agg(F.sum("size").cast("long").alias("n")), "ranges")
