@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veristrata.functions import names, normalize, schedule
+from veristrata.functions.settle import shared_folder
 from veristrata.operators import codes, infer, issues, resolve, state, views
 from veristrata.plans.queries import _last_order, query, table
+from veristrata.streaming import timers
 
 
 @query("SELECT p_partkey, string_split(p_name, ' ')[1] AS first, array_to_string(string_split(p_name, ' ')[2:-2], ' ') AS middle, string_split(p_name, ' ')[-1] AS last FROM part")
@@ -100,3 +102,23 @@ def code_similar(spark, d):
     k = F.col("o_orderkey") % 3
     o = table(spark, d, "orders").select("o_orderkey", F.when(k == 0, "Facilty").when(k == 1, "the facility").otherwise("zebra").alias("v"))
     return codes.with_codes(o, "v", normalize.vocabulary({"F": ["facility"], "W": ["warehouse"]})).select("o_orderkey", "code", F.col("code_problem").isNotNull().alias("problem"))
+
+
+@query("""WITH d AS (SELECT DISTINCT o_custkey AS k, o_orderdate::DATE AS d FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate IS NOT NULL), n AS (SELECT k, d, lead(d) OVER (PARTITION BY k ORDER BY d) AS nx FROM d),
+o AS (SELECT k, d + 366 AS day, nx FROM n WHERE d + 366 <= coalesce(nx, (SELECT max(d) FROM d)))
+SELECT k::VARCHAR AS entity_key, CASE row_number() OVER (PARTITION BY k ORDER BY day) WHEN 1 THEN 'issue_detected' ELSE 'issue_reopened' END AS event, day FROM o
+UNION ALL SELECT k::VARCHAR, 'issue_cleared', nx FROM o WHERE nx IS NOT NULL""")
+def quiet_customers(spark, d):
+    """Customers without an order for over a year, opened by timers and cleared by orders, as orders stream in."""
+    path, folder = f"{d}/orders.parquet", shared_folder(spark)
+    orders = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/orders.parque[t]")  # a pattern, as a stream takes no single file
+    day = F.col("o_orderdate").cast("date")
+    records = orders.select(F.col("o_custkey").cast("string").alias("entity_key"), F.lit("last_order").alias("attribute"), day.alias("day"), F.timestamp_millis(F.unix_date(day).cast("long") * timers.DAY_MS).alias("at"))
+    before = spark.conf.get(timers.PROVIDER)
+    timers.use_rocksdb(spark)
+    try:
+        found = timers.watch(records, {"last_order": timers.Stale(365)}).writeStream.format("parquet").option("path", f"{folder}/events").option("checkpointLocation", f"{folder}/state")
+        found.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(timers.PROVIDER, before)
+    return spark.read.parquet(f"{folder}/events").select("entity_key", "event", "day")
