@@ -5,7 +5,7 @@ import random
 import re
 from collections import defaultdict
 
-from veristrata.operators import intervals, rules
+from veristrata.operators import business, intervals, rules
 
 DAY = dt.date(2024, 1, 1)
 
@@ -66,3 +66,10 @@ def test_sums_stay_where_their_entity_is(spark, monkeypatch):
     assert dealt and dealt[0] > 20
     above = plan[: plan.index("REPARTITION_BY_NUM")]
     assert "hashpartitioning(entity_key" not in above[: above.rindex("Exchange")] and "collect_set" not in above
+
+
+def test_totals_move_rows_once(spark):
+    _, _, fa, fb = _tables(spark)
+    months = fa.filter("start = '2024-01-01' AND end = '2024-01-30' OR start = '2024-01-31' AND end = '2024-02-29'")
+    plan = _plan(business.totals(months, fb, 20))
+    assert len(re.findall(r"Exchange hashpartitioning\(entity_key", plan)) == 1

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veristrata.functions.normalize import simplify
 from veristrata.functions.settle import settle
 from veristrata.operators import issues as iss
-from veristrata.operators.intervals import covered_periods, period_sums
+from veristrata.operators.intervals import covered_periods, period_sums, sums_of_both
 
 # The bands of a day, in hours since its midnight.
 BANDS = {"Day": (7, 15), "Evening": (15, 23), "Night": (23, 31)}
@@ -43,9 +43,8 @@ def totals(a: DataFrame, b: DataFrame, tolerance: float, every_day: bool = True,
     dated = b.filter("day IS NOT NULL")
     covered = settle(covered_periods(a, dated.select("day"), every_day, slack_days), "covered")
     by = ["entity_key", "start", "end"]
-    one = a.join(covered, ["start", "end"]).groupBy(*by).agg(F.sum("amount").alias("a"))
-    two = period_sums(covered, dated, ["entity_key"], "amount").withColumnRenamed("amount", "b")
-    j = one.join(two, by, "full").filter("entity_key IS NOT NULL")
+    whole = F.lit(None).cast("string").alias("grp")
+    j = sums_of_both(a.filter("entity_key IS NOT NULL").withColumn("grp", whole), dated.filter("entity_key IS NOT NULL").withColumn("grp", whole), covered)
     x, y = (F.coalesce(c, F.lit(0)) for c in "ab")
     return j.select(*by, x.alias("a"), y.alias("b"), (x - y).alias("diff"), (F.abs(x - y) <= tolerance).alias("ok"))
 
