@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from veristrata.functions.normalize import is_empty, simplify
+from veristrata.functions.normalize import is_empty, let, simplify
 from veristrata.functions.settle import settle
 
 # Suffixes that aren't part of a last name.
@@ -37,10 +37,16 @@ def _words(c: Column) -> Column:
 
 
 def _struct(first: Column, last: Column) -> Column:
-    f, rest = _words(first), F.filter(_words(last), lambda w: ~w.isin(*SUFFIXES))
-    show = F.trim(F.concat(_title(first), F.lit(" "), _title(last)))
-    made = F.struct(F.coalesce(F.get(f, F.lit(0)), F.lit("")).alias("first"), F.array_join(F.slice(f, 2, F.greatest(F.size(f) - 1, F.lit(0))), " ").alias("middle"), F.array_join(rest, "").alias("last"), show.alias("display"), F.lit(False).alias("org"))
-    return F.when((F.size(f) > 0) | (F.size(rest) > 0), made)
+    def made(n: Column) -> Column:
+        show = F.trim(F.concat(_title(n["first"]), F.lit(" "), _title(n["last"])))
+        words = F.struct(_words(n["first"]).alias("f"), F.filter(_words(n["last"]), lambda w: ~w.isin(*SUFFIXES)).alias("rest"))
+        return let(words, lambda w: F.when((F.size(w["f"]) > 0) | (F.size(w["rest"]) > 0), named(w["f"], w["rest"], show)))
+
+    def named(f: Column, rest: Column, show: Column) -> Column:
+        middle = F.array_join(F.slice(f, 2, F.greatest(F.size(f) - 1, F.lit(0))), " ")
+        return F.struct(F.coalesce(F.get(f, F.lit(0)), F.lit("")).alias("first"), middle.alias("middle"), F.array_join(rest, "").alias("last"), show.alias("display"), F.lit(False).alias("org"))
+
+    return let(F.struct(first.alias("first"), last.alias("last")), made)
 
 
 def person(first: Column, last: Column) -> Column:
@@ -53,16 +59,23 @@ def parse_person(full: Column) -> Column:
 
     Trailing suffixes go as long as two words stay; words of a family name are joined.
     """
-    text = F.trim(F.coalesce(full, F.lit("")))
-    comma = F.contains(text, F.lit(","))
-    words = F.split(text, r"\s+")
-    held = F.array_max(F.transform(words, lambda w, i: F.when(simplify(w).isin(*SUFFIXES), F.least(i + 1, F.lit(2))).otherwise(i + 1)))
-    words = F.slice(words, 1, held)
-    tail = F.element_at(words, -1)
-    before = F.array_join(F.slice(words, 1, F.size(words) - 1), " ")
-    first = F.when(comma, F.regexp_replace(text, r"^[^,]*,", "")).otherwise(before)
-    last = F.when(comma, F.substring_index(text, ",", 1)).otherwise(tail)
-    return F.when(~is_empty(full), _struct(first, last))
+
+    def kept(words: Column) -> Column:
+        held = F.array_max(F.transform(words, lambda w, i: F.when(simplify(w).isin(*SUFFIXES), F.least(i + 1, F.lit(2))).otherwise(i + 1)))
+        return F.slice(words, 1, held)
+
+    def parsed(text: Column) -> Column:
+        comma = F.contains(text, F.lit(","))
+
+        def split(words: Column) -> Column:
+            before = F.array_join(F.slice(words, 1, F.size(words) - 1), " ")
+            first = F.when(comma, F.regexp_replace(text, r"^[^,]*,", "")).otherwise(before)
+            last = F.when(comma, F.substring_index(text, ",", 1)).otherwise(F.element_at(words, -1))
+            return _struct(first, last)
+
+        return let(let(F.split(text, r"\s+"), kept), split)
+
+    return F.when(~is_empty(full), let(F.trim(F.coalesce(full, F.lit(""))), parsed))
 
 
 def parse_org(c: Column) -> Column:

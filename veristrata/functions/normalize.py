@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -38,6 +39,21 @@ _SPELT = "\x01".join(f"{c}\x02{plain}" for c, plain in _MORE.items())
 DATE_PATTERNS = ("yyyy-M-d", "M/d/yyyy", "M-d-yyyy", "yyyy/M/d", "d-MMM-yyyy", "d MMM yyyy", "MMM d yyyy", "MMMM d yyyy", "MMM d, yyyy", "MMMM d, yyyy", "M.d.yyyy", "yyyy-M-d H:m:s", "yyyy-M-d'T'H:m:s")
 
 
+# Superset of what a run of pattern letters reads: years of four digits at least, months by name, numbers.
+_SHAPE = {"yyyy": r"[+-]?\d{4,}", "MMMM": r"\p{L}+", "MMM": r"\p{L}{1,5}\.?"}
+
+
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), with c worked out once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def _shape(pattern: str) -> str:
+    """A regular expression that holds for all texts that the date pattern can read; a pattern that can't is costly, as it fails by an exception."""
+    runs = [m.group(0) for m in re.finditer(r"'[^']*'|([A-Za-z])\1*|.", pattern)]
+    return "^(?i:" + "".join(r[1:-1] if r[0] == "'" else _SHAPE.get(r, r"[+-]?\d+") if r[0].isalpha() else re.escape(r) for r in runs) + ")$"
+
+
 def is_empty(c: Column) -> Column:
     return c.isNull() | F.lower(F.trim(c)).isin(*EMPTY_WORDS)
 
@@ -51,7 +67,7 @@ def fold_ascii(c: Column) -> Column:
         folded = F.translate(F.when(x.rlike(_LONG), long).otherwise(x), _FROM, _TO)
         return F.when(x.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"[^\x00-\x7F]", "")).otherwise(x)
 
-    return F.get(F.transform(F.array(c), plain), F.lit(0))  # so that plans hold c once
+    return let(c, plain)  # so that plans hold c once
 
 
 def simplify(c: Column) -> Column:
@@ -101,15 +117,18 @@ def number(c: Column, low: float | None = None, high: float | None = None) -> tu
 
 def date(c: Column) -> tuple[Column, Column]:
     """A date by the first pattern that reads it, a compact yyyymmdd, or a five-digit sheet serial."""
-    s = F.trim(F.regexp_replace(c, r"\s+", " "))
-    tries = [F.try_to_timestamp(s, F.lit(p)).cast("date") for p in DATE_PATTERNS]
-    short = r"^(\d{1,2})([/-])(\d{1,2})\2(\d{2})$"
-    year = F.regexp_extract(s, short, 4).try_cast("int")
-    full = F.concat_ws("-", F.when(year >= 69, year + 1900).otherwise(year + 2000), F.regexp_extract(s, short, 1), F.regexp_extract(s, short, 3))
-    compact = F.when(s.rlike(r"^\d{8}$"), F.try_to_timestamp(s, F.lit("yyyyMMdd")).cast("date"))
-    serial = F.when(s.rlike(r"^\d{5}(\.0+)?$"), F.regexp_extract(s, r"^\d{5}", 0).try_cast("int"))
-    sheet = F.when((serial > 20000) & (serial < 80000), F.date_add(F.lit("1899-12-30").cast("date"), serial))
-    value = F.when(~is_empty(c), F.coalesce(*tries, F.when(s.rlike(short), F.try_to_timestamp(full, F.lit("yyyy-M-d")).cast("date")), compact, sheet))
+
+    def read(s: Column) -> Column:
+        tries = [F.when(s.rlike(_shape(p)), F.try_to_timestamp(s, F.lit(p)).cast("date")) for p in DATE_PATTERNS]
+        short = r"^(\d{1,2})([/-])(\d{1,2})\2(\d{2})$"
+        year = F.regexp_extract(s, short, 4).try_cast("int")
+        full = F.concat_ws("-", F.when(year >= 69, year + 1900).otherwise(year + 2000), F.regexp_extract(s, short, 1), F.regexp_extract(s, short, 3))
+        compact = F.when(s.rlike(r"^\d{8}$"), F.try_to_timestamp(s, F.lit("yyyyMMdd")).cast("date"))
+        serial = F.when(s.rlike(r"^\d{5}(\.0+)?$"), F.regexp_extract(s, r"^\d{5}", 0).try_cast("int"))
+        sheet = F.when((serial > 20000) & (serial < 80000), F.date_add(F.lit("1899-12-30").cast("date"), serial))
+        return F.coalesce(*tries, F.when(s.rlike(short), F.try_to_timestamp(full, F.lit("yyyy-M-d")).cast("date")), compact, sheet)
+
+    value = let(c, lambda t: F.when(~is_empty(t), let(F.trim(F.regexp_replace(t, r"\s+", " ")), read)))
     return value, F.when(~is_empty(c) & value.isNull(), F.concat(F.lit("not a valid date: "), c))
 
 
