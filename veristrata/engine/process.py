@@ -163,6 +163,9 @@ class Engine:
 
     def orphan_groups(self, linked: DataFrame) -> DataFrame:
         """(rec_id, g, shown) of records without an entity: their group, by name, else by their first identifier; such without either stay out."""
+        return self._orphan_keys(linked).filter("g IS NOT NULL")
+
+    def _orphan_keys(self, linked: DataFrame) -> DataFrame:
         ids = []
         for s, spec in self.config["sources"].items():
             ids += [F.when(F.col("source") == s, F.col("v")[f]) for f, own in spec["fields"].items() if own.get("type") in ("id", "license")]
@@ -172,11 +175,12 @@ class Engine:
         left = linked.filter((F.col("source") != self.anchor) & F.col("entity_key").isNull())
         ident = F.coalesce(*ids, F.lit(None).cast("string"))
         left = left.select("rec_id", F.coalesce(by_name, F.concat(F.lit("i|"), ident)).alias("g"), F.when(F.col("name").isNotNull(), shown).otherwise(F.concat(F.lit("U-"), plain(ident))).alias("shown"))
-        return left.filter("g IS NOT NULL")
+        return left
 
     def orphans(self, linked: DataFrame) -> DataFrame:
         """(rec_id, entity_key) of records without an entity, one unverified entity a group, named by its first record."""
-        return clustered(self.orphan_groups(linked))
+        groups = settle(self._orphan_keys(linked), "orphan_groups").filter("g IS NOT NULL")  # a filter before it would work out names twice
+        return clustered(groups)
 
     # --- attributes ------------------------------------------------------------------------
 

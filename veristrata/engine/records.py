@@ -77,7 +77,7 @@ def normalize_records(rows: DataFrame, source: str, spec: dict, vocabularies: di
         if own.get("required"):
             problem = F.when(normalize.is_empty(c), F.lit(f"{words_for(f)} is blank")).otherwise(problem) if f in has else F.lit(f"{words_for(f)} is missing from the file")
         level = "info" if own.get("type") == "phone" else "warning"
-        value += [F.lit(f), F.nullif(shown, F.lit(""))]
+        value += [F.lit(f), normalize.let(shown, lambda x: F.nullif(x, F.lit("")))]
         raw += [F.lit(f), c]
         found.append(F.when(problem.isNotNull(), F.struct(F.lit(f).alias("field"), F.lit(level).alias("severity"), problem.alias("message"))))
     name = record_name(sorted(has), spec)
