@@ -46,3 +46,29 @@ def test_orphans_group_records_once(spark, monkeypatch):
     linked = process.normalize_records(rows, "part", config["sources"]["part"]).withColumn("entity_key", F.lit(None).cast("string"))
     got = {r["rec_id"]: r["entity_key"] for r in process.Engine(config, "1998-12-01").orphans(linked).collect()}
     assert got == {1: "U-doe-ann", 2: "U-doe-ann", 3: "U-p7"} and settled == ["orphan_groups"]
+
+
+def test_reconcile_moves_evidence_twice(spark, monkeypatch):
+    """Once to count what was seen, once to an entity's attribute; names are compared as before."""
+    from veristrata.engine import process
+
+    held = []
+    monkeypatch.setattr(process, "settle", lambda df, name: held.append(df._jdf.queryExecution().executedPlan().toString()) or df.localCheckpoint())
+    attributes = {"status": {"from": {"a": "status", "b": "status"}, "authority": ["b"]}, "boss": {"from": {"a": "boss", "b": "boss"}, "compare": "person_name"}}
+    rows = [("E", "status", "a", 1, "x"), ("E", "status", "b", 2, "z"), ("E", "status", "a", 0, "y"), ("F", "status", "a", 5, "y"), ("F", "status", "a", 6, "x"), ("F", "status", "a", 7, "x"), ("E", "boss", "a", 1, "Ann Doe"), ("E", "boss", "b", 2, "ANN DOE"), ("F", "boss", "a", 3, "Ann Doe"), ("F", "boss", "b", 4, "Zed Roe")]
+    e = spark.createDataFrame(rows, "entity_key string, attribute string, source string, rec_id long, value string").withColumns({"name": F.when(F.col("attribute") == "boss", names.parse_person(F.col("value"))), "match_status": F.lit("auto")})
+    e = e.withColumn("name", F.col("name").cast(names.NAME))
+    entities = spark.createDataFrame([("E",), ("F",), ("G",)], "entity_key string")
+
+    def made(only):
+        own = {k: attributes[k] for k in only}
+        engine = process.Engine({"entity": {"anchor_source": "x", "key_field": "id"}, "attributes": own, "sources": {"a": {}, "b": {}}}, "1998-12-01")
+        return {(r["entity_key"], r["attribute"]): r for r in engine.reconcile(e.filter(F.col("attribute").isin(list(own))), entities, None)[0].collect()}
+
+    got = made(attributes)
+    show = {k: (r["value"], r["status"], r["authority"], r["sources"], r["n_values"]) for k, r in got.items()}
+    assert show["E", "status"] == ("z", "CONFLICT", "b", {"a": ["y", "x"], "b": ["z"]}, 3)
+    assert show["F", "status"] == ("x", "CONFLICT", None, {"a": ["y", "x"]}, 2)
+    assert show["E", "boss"][1] == "CONFIRMED" and show["F", "boss"][1] == "CONFLICT" and show["G", "boss"][1] == "MISSING"
+    held.clear()
+    assert made(["status"])["E", "status"]["value"] == "z" and held[0].count("Exchange hashpartitioning(entity_key") == 2

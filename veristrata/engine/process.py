@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from veristrata.engine.records import normalize_records, union_all, words_for
 from veristrata.functions import names
-from veristrata.functions.normalize import simplify
+from veristrata.functions.normalize import let, simplify
 from veristrata.functions.settle import settle
 from veristrata.operators import issues, resolve, rules, state
 from veristrata.operators.intervals import covered_periods
@@ -201,18 +201,42 @@ class Engine:
         ranks = [(a, s, i) for a, spec in self.config["attributes"].items() for i, s in enumerate(spec.get("authority", []))]
         rank = F.coalesce(*(F.when((F.col("attribute") == a) & (F.col("source") == s), F.lit(i)) for a, s, i in ranks), F.lit(99))
         by = ["entity_key", "attribute"]
-        seen = evidence.filter("match_status <> 'review'").groupBy(*by, "source", "value").agg(F.min("rec_id").alias("first"), F.count(F.lit(1)).alias("n"), F.min_by("name", "rec_id").alias("name")).withColumn("rank", rank)
-        values = seen.groupBy(*by, "value").agg(F.min(F.struct("rank", "first", "source")).alias("best"), F.sum("n").alias("n"), F.min_by("name", "first").alias("name"))
-        # the authority's first value, else the commonest, then the lowest
-        order = F.when(F.col("best.rank") < 99, F.struct(F.col("best.rank").alias("a"), F.col("best.first").alias("b"), "value")).otherwise(F.struct(F.lit(99).alias("a"), (-F.col("n")).alias("b"), "value"))
-        chosen = values.withColumn("o", order).groupBy(*by).agg(F.min_by(F.struct("value", "name", F.when(F.col("best.rank") < 99, F.col("best.source")).alias("authority")), "o").alias("c"), F.count(F.lit(1)).alias("n_values"), F.array_sort(F.collect_set("value")).alias("options"))
-        per = seen.groupBy(*by, "source").agg(F.min("first").alias("f"), F.array_sort(F.collect_list(F.struct("first", "value"))).alias("x")).groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", F.col("x.value"))))).alias("sources"), F.array_sort(F.collect_list("f")).alias("cited"))
-        j = chosen.join(per, by)
         loose = [a for a, spec in self.config["attributes"].items() if spec.get("compare") == "person_name"]
-        pairs = values.filter(F.col("attribute").isin(loose)).join(j.filter("n_values > 1").select(*by, F.col("c.name").alias("b")), by).select(*by, F.col("name").alias("a"), "b")
-        scored = names.score_pairs(pairs.select("a", "b").distinct(), nicknames=self.nicknames)
-        apart = pairs.join(scored.filter(F.col("score") < self.auto).select("a", "b"), ["a", "b"], "left_semi").select(*by).distinct().withColumn("apart", F.lit(True))
-        j = j.join(apart, by, "left").withColumn("conflict", (F.col("n_values") > 1) & (~F.col("attribute").isin(loose) | F.coalesce("apart", F.lit(False))))
+        # names are carried only where they are compared: a struct's minimum sorts its rows
+        name = [F.min_by("name", "rec_id").alias("name")] if loose else []
+        seen = evidence.filter("match_status <> 'review'").groupBy(*by, "source", "value").agg(F.min("rec_id").alias("first"), F.count(F.lit(1)).alias("n"), *name)
+        if not loose:
+            seen = seen.withColumn("name", F.lit(None).cast(names.NAME))
+        # all that was seen of an entity's attribute in one row, ordered by source and first record; what follows is worked out within it
+        held = seen.select(*by, F.struct("source", "first", "value", "n", rank.alias("rank"), "name").alias("s")).groupBy(*by).agg(F.collect_list("s").alias("s"))
+        held = held.select(*by, F.sort_array("s").alias("s"))
+        held = held.withColumn("w", F.sort_array(F.transform("s", lambda x: F.struct(x["value"].alias("value"), x["rank"].alias("rank"), x["first"].alias("first"), x["source"].alias("source"), x["n"].alias("n"), x["name"].alias("name")))))
+
+        def runs(c: str, field: str) -> Column:
+            """A sorted array cut where the field changes."""
+            a, n = F.col(c), F.size(c)
+            starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(a, i - 1)[field] != F.get(a, i - 2)[field]))
+            return let(starts, lambda p: F.transform(p, lambda at, k: F.slice(a, at, F.coalesce(F.get(p, k + 1), n + 1) - at)))
+
+        def value_of(run: Column) -> Column:
+            x = F.get(run, F.lit(0))  # of the best rank, and its first
+            name = F.array_min(F.transform(run, lambda y: F.struct(y["first"].alias("first"), y["name"].alias("name"))))["name"]
+            return F.struct(x["value"].alias("value"), x["rank"].alias("rank"), x["first"].alias("first"), x["source"].alias("source"), F.aggregate(run, F.lit(0).cast("long"), lambda t, y: t + y["n"]).alias("n"), name.alias("name"))
+
+        held = held.select(*by, F.transform(runs("w", "value"), value_of).alias("vs"), runs("s", "source").alias("per"))
+        # the authority's first value, else the commonest, then the lowest
+        order = lambda v: F.when(v["rank"] < 99, F.struct(v["rank"].alias("a"), v["first"].alias("b"), v["value"].alias("value"))).otherwise(F.struct(F.lit(99).alias("a"), (-v["n"]).alias("b"), v["value"].alias("value")))
+        held = held.withColumn("c", F.array_min(F.transform("vs", lambda v: F.struct(order(v).alias("o"), v["value"].alias("value"), v["name"].alias("name"), F.when(v["rank"] < 99, v["source"]).alias("authority")))))
+        in_source = lambda r: F.struct(F.get(r, F.lit(0))["source"].alias("source"), F.transform(r, lambda x: x["value"]).alias("value"))
+        cited = F.sort_array(F.transform("per", lambda r: F.get(r, F.lit(0))["first"]))
+        j = held.select(*by, "c", "vs", F.size("vs").cast("long").alias("n_values"), F.col("vs.value").alias("options"), F.map_from_entries(F.transform("per", in_source)).alias("sources"), cited.alias("cited"))
+        unlike = F.col("n_values") > 1
+        if loose:
+            pairs = j.filter(F.col("attribute").isin(loose) & unlike).select(*by, F.explode("vs.name").alias("a"), F.col("c.name").alias("b"))
+            scored = names.score_pairs(pairs.select("a", "b").distinct(), nicknames=self.nicknames)
+            apart = pairs.join(scored.filter(F.col("score") < self.auto).select("a", "b"), ["a", "b"], "left_semi").select(*by).distinct().withColumn("apart", F.lit(True))
+            j, unlike = j.join(apart, by, "left"), unlike & (~F.col("attribute").isin(loose) | F.coalesce("apart", F.lit(False)))
+        j = j.withColumn("conflict", unlike)
         n_sources = F.size("sources")
         spec_of = lambda key, default: F.coalesce(*(F.when(F.col("attribute") == a, F.lit(s.get(key, default))) for a, s in self.config["attributes"].items()))
         j = j.withColumn("fingerprint", issues.fingerprint(F.lit("conflict"), F.col("entity_key"), F.col("attribute"), F.array_join("options", "|")))
